@@ -35,3 +35,119 @@ SELECT count(*) FILTER (WHERE "IOType" = 0) AS reads,
 FROM sector_trace""", "sector_trace"))
 def q_sector_trace_summary(spark, sf):
     return summary.sector_trace_summary(V.sector_trace(spark, sf))
+
+
+# ------------------------------------------------------------------ rates (V2)
+from iolens.operators import rates, sizes  # noqa: E402
+
+D = "CAST({} AS DOUBLE)"
+
+
+@register("requests_per_unit", with_views("""
+SELECT "timestamp" - "timestamp" % 1000000 AS bin_start, count(*) / CAST(1000 AS DOUBLE) AS kreq
+FROM trace_dense GROUP BY 1""", "trace_dense"))
+def q_requests_per_unit(spark, sf):
+    return rates.requests_per_unit(V.trace_dense(spark, sf), "second")
+
+
+@register("mean_rate_resampled", with_views("""
+, a3 AS (SELECT "timestamp" - "timestamp" % 1000000 AS bin_start, count(*) / CAST(1000 AS DOUBLE) AS kreq
+         FROM trace_dense GROUP BY 1),
+  b AS (SELECT min(bin_start) AS lo, max(bin_start) AS hi FROM a3),
+  g AS (SELECT unnest(generate_series(lo, hi, 1000000)) AS bin_start FROM b)
+SELECT g.bin_start, a3.kreq AS mean_kreq FROM g LEFT JOIN a3 USING (bin_start)""", "trace_dense"))
+def q_mean_rate_resampled(spark, sf):
+    return rates.mean_rate_resampled(V.trace_dense(spark, sf), "second")
+
+
+@register("iops_mean_peak", with_views("""
+, s AS (SELECT "timestamp" - "timestamp" % 1000000 AS sec, count(*) AS n FROM trace_dense GROUP BY 1),
+  a AS (SELECT min(sec) AS f, max(sec) AS l, min(sec) - min(sec) % 86400000000 AS d0 FROM s),
+  agg AS (SELECT s.sec - (s.sec - a.d0) % 10000000 AS bin_start, sum(n) / count(*) AS mean_iops,
+                 max(n) AS peak_iops FROM s, a GROUP BY 1),
+  g AS (SELECT unnest(generate_series(f - (f - d0) % 10000000, l - (l - d0) % 10000000, 10000000)) AS bin_start FROM a)
+SELECT g.bin_start, agg.mean_iops, agg.peak_iops FROM g LEFT JOIN agg USING (bin_start)""", "trace_dense"))
+def q_iops_mean_peak(spark, sf):
+    return rates.iops_mean_peak(V.trace_dense(spark, sf), 10)
+
+
+@register("interval_count_avg_peak", with_views("""
+, c AS (SELECT "timestamp" - "timestamp" % 60000000 AS bin_start, count(*) AS requests FROM trace_dense GROUP BY 1)
+SELECT bin_start, requests, (sum(requests) OVER ()) / (count(*) OVER ()) AS avg_requests,
+       max(requests) OVER () AS peak_requests FROM c""", "trace_dense"))
+def q_interval_count_avg_peak(spark, sf):
+    return rates.interval_count_avg_peak(V.trace_dense(spark, sf), 60)
+
+
+@register("device_totals", with_views("""
+SELECT device_id, count(*) AS requests FROM trace_dense GROUP BY 1""", "trace_dense"))
+def q_device_totals(spark, sf):
+    return rates.device_totals(V.trace_dense(spark, sf))
+
+
+@register("busiest_device_rate", with_views("""
+, t AS (SELECT device_id, count(*) AS n FROM trace_dense GROUP BY 1 ORDER BY n DESC, device_id LIMIT 1)
+SELECT device_id, "timestamp" - "timestamp" % 1000000 AS bin_start, count(*) / CAST(1000 AS DOUBLE) AS kreq
+FROM trace_dense WHERE device_id IN (SELECT device_id FROM t) GROUP BY 1, 2""", "trace_dense"))
+def q_busiest_device_rate(spark, sf):
+    return rates.busiest_device_rate(V.trace_dense(spark, sf), "second")
+
+
+@register("hourly_mean_size", with_views("""
+SELECT device_id, "timestamp" - "timestamp" % 3600000000 AS hour, sum("length") / count(*) AS mean_size
+FROM trace GROUP BY 1, 2""", "trace"))
+def q_hourly_mean_size(spark, sf):
+    return rates.hourly_mean_size(V.trace(spark, sf), keys=["device_id"])
+
+
+# ------------------------------------------------------------------ sizes (V2)
+@register("small_request_share", with_views("""
+SELECT opcode, count(*) FILTER (WHERE "length" <= 4096) / count(*) * CAST(100 AS DOUBLE) AS small_pct
+FROM trace_dense GROUP BY 1""", "trace_dense"))
+def q_small_request_share(spark, sf):
+    return sizes.small_request_share(V.trace_dense(spark, sf))
+
+
+@register("size_p99", with_views("""
+SELECT opcode, quantile_cont("length" / CAST(1024 AS DOUBLE), 0.99) AS p99_kb
+FROM trace_dense GROUP BY 1""", "trace_dense"))
+def q_size_p99(spark, sf):
+    return sizes.size_p99(V.trace_dense(spark, sf))
+
+
+@register("size_cdf_sampled", with_views("""
+, s AS (SELECT opcode, "length", row_number() OVER (PARTITION BY opcode ORDER BY "length") - 1 AS i,
+               count(*) OVER (PARTITION BY opcode) AS n FROM trace_dense),
+  t AS (SELECT opcode, n, unnest(generate_series(0, 999)) AS point
+        FROM (SELECT DISTINCT opcode, n FROM s) WHERE n > 1000),
+  tb AS (SELECT opcode, CAST(point AS INTEGER) AS point,
+                CASE WHEN point = 999 THEN n - 1 ELSE CAST(trunc(point * ((n - 1) / CAST(999 AS DOUBLE))) AS BIGINT) END AS rnk,
+                CASE WHEN point = 999 THEN CAST(1 AS DOUBLE) ELSE point * (CAST(1 AS DOUBLE) / 999) END AS cdf FROM t),
+  tsm AS (SELECT opcode, CAST(i AS INTEGER) AS point, i AS rnk, (i + 1) / n AS cdf FROM s WHERE n <= 1000)
+SELECT s.opcode, tb.point, s."length", tb.cdf FROM tb JOIN s ON s.opcode = tb.opcode AND s.i = tb.rnk
+UNION ALL
+SELECT s.opcode, tsm.point, s."length", tsm.cdf FROM tsm JOIN s ON s.opcode = tsm.opcode AND s.i = tsm.rnk""",
+    "trace_dense"))
+def q_size_cdf_sampled(spark, sf):
+    return sizes.size_cdf_sampled(V.trace_dense(spark, sf))
+
+
+def _pct_sql(src: str, keys: str, x: str, order: str, stop: str, xname: str) -> str:
+    """DuckDB brute force for the linspace CDF, grouped to the histogram form."""
+    return f"""
+, s AS (SELECT {keys}, {x} AS {xname}, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) - 1 AS i,
+               count(*) OVER (PARTITION BY {keys}) AS n FROM {src}),
+  g AS (SELECT {keys}, {xname}, count(*) AS cnt, min(i) AS fi, max(i) AS li, any_value(n) AS n FROM s GROUP BY ALL)
+SELECT {keys}, {xname}, cnt,
+  CASE WHEN n = 1 THEN CAST(0 AS DOUBLE) WHEN fi = n - 1 THEN CAST({stop} AS DOUBLE)
+       ELSE fi * (CAST({stop} AS DOUBLE) / (n - 1)) END AS pct_first,
+  CASE WHEN n = 1 THEN CAST(0 AS DOUBLE) WHEN li = n - 1 THEN CAST({stop} AS DOUBLE)
+       ELSE li * (CAST({stop} AS DOUBLE) / (n - 1)) END AS pct_last
+FROM g"""
+
+
+@register("size_cdf_percent", with_views(
+    _pct_sql("trace_dense", "opcode", '"length" / CAST(1024 AS DOUBLE)', '"length"', "100", "size_kb"),
+    "trace_dense"))
+def q_size_cdf_percent(spark, sf):
+    return sizes.size_cdf_percent(V.trace_dense(spark, sf))
