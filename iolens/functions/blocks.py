@@ -28,6 +28,12 @@ def idiv(c, b: int) -> Column:
     return ((c - F.pmod(c, F.lit(b))) / F.lit(b)).cast("long")
 
 
+def col_floordiv(a, b) -> Column:
+    """Exact floor division of two integral columns (b > 0)."""
+    a, b = _c(a).cast("long"), _c(b).cast("long")
+    return ((a - F.pmod(a, b)) / b).cast("long")
+
+
 def block_of_offset(offset="offset", block_size: int = BLOCK_SIZE) -> Column:
     """First block of a request."""
     return idiv(offset, block_size)
