@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from iolens.operators import summary
 from iolens.queries import register
 from iolens.sources import views as V
@@ -151,3 +153,60 @@ FROM g"""
     "trace_dense"))
 def q_size_cdf_percent(spark, sf):
     return sizes.size_cdf_percent(V.trace_dense(spark, sf))
+
+
+# ------------------------------------------------------------- features (V1)
+from iolens.operators import features  # noqa: E402
+from iolens.queries.sqlparts import SEQ_TRACE  # noqa: E402
+
+IA_SQL = SEQ_TRACE + """
+, ia AS (SELECT *, coalesce("timestamp" - lag("timestamp") OVER (PARTITION BY device_id ORDER BY seq), 0) AS ia,
+                CASE opcode WHEN 'R' THEN 1 WHEN 'W' THEN 0 END AS opi FROM r)"""
+A15_SQL = IA_SQL + """
+, a15 AS (SELECT device_id, count(*) AS io_count, sum("length") / count(*) AS io_size_avg,
+                 coalesce(stddev_samp("length"), 0) AS io_size_std, sum(opi) / count(opi) AS read_write_ratio,
+                 sum(ia) / count(ia) AS response_time_avg, coalesce(stddev_samp(ia), 0) AS response_time_std
+          FROM ia GROUP BY 1)"""
+
+# Standard deviations differ between engines in the last bits (summation
+# order); the registered queries round them on both sides.
+STD_DIGITS = {"io_size_std": 6, "response_time_std": 3, "interval_std": 3}
+
+
+def _round_std(df):
+    return df.select(*[F.round(c, STD_DIGITS[c]).alias(c) if c in STD_DIGITS else F.col(c) for c in df.columns])
+
+
+@register("device_features", with_views(A15_SQL + """
+SELECT * REPLACE (round(io_size_std, 6) AS io_size_std, round(response_time_std, 3) AS response_time_std)
+FROM a15""", "trace"))
+def q_device_features(spark, sf):
+    return _round_std(features.device_features(V.trace(spark, sf), V.TRACE_ORDER))
+
+
+@register("window_features", with_views(IA_SQL + """
+SELECT device_id, "timestamp" // 3600000000 AS time_window, count(*) AS avg_io_count,
+       sum("length") / count(*) AS avg_io_size, round(coalesce(stddev_samp("length"), 0), 6) AS io_size_std,
+       sum(opi) / count(opi) AS read_write_ratio, sum(ia) / count(ia) AS avg_response_time,
+       sum(ia) / count(ia) AS interval_mean, round(coalesce(stddev_samp(ia), 0), 3) AS interval_std
+FROM ia GROUP BY 1, 2""", "trace"))
+def q_window_features(spark, sf):
+    return _round_std(features.window_features(V.trace(spark, sf), V.TRACE_ORDER))
+
+
+def _z_sql(cols):
+    stats = ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in cols)
+    zs = ",\n       ".join(
+        f"round(CASE WHEN s_{c} IS NULL OR s_{c} = 0 THEN CAST(0 AS DOUBLE) ELSE ({c} - m_{c}) / s_{c} END, 6) AS z_{c}"
+        for c in cols)
+    return A15_SQL + f"""
+, st AS (SELECT {stats} FROM a15)
+SELECT device_id, {zs}
+FROM a15 CROSS JOIN st"""
+
+
+@register("standardize", with_views(_z_sql(features.DEVICE_FEATURES), "trace"))
+def q_standardize(spark, sf):
+    f = features.device_features(V.trace(spark, sf), V.TRACE_ORDER)
+    z = features.standardize(f, features.DEVICE_FEATURES)
+    return z.select("device_id", *[F.round("z_" + c, 6).alias("z_" + c) for c in features.DEVICE_FEATURES])
