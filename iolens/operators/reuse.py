@@ -29,7 +29,7 @@ def _seq(df: DataFrame, order, cols) -> Ordered:
 
 
 def _with(o: Ordered, df: DataFrame) -> Ordered:
-    return Ordered(df, o.nb, o.order)
+    return Ordered(df, o.nb, o.order, o.n)
 
 
 def reuse_gap_requests(df: DataFrame, order, mode: str = "count") -> DataFrame:

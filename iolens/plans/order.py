@@ -44,6 +44,7 @@ class Ordered:
     df: DataFrame
     nb: int          # number of buckets; 1 means the bucket column is constant
     order: tuple
+    n: int = -1      # number of rows when known
 
 
 def rows_per_bucket(df: DataFrame, override: int | None = None) -> int:
@@ -70,7 +71,7 @@ def assign_buckets(df: DataFrame, order, rpb: int | None = None) -> Ordered:
     n = df.count()
     nb = max(1, min(MAX_BUCKETS, math.ceil(n / rpb)))
     if nb == 1:
-        return Ordered(df.withColumn(BKT, F.lit(0).cast("long")), 1, order)
+        return Ordered(df.withColumn(BKT, F.lit(0).cast("long")), 1, order, n)
     first = order[0]
     ftype = df.schema[first].dataType
     integral = isinstance(ftype, _INTEGRAL)
@@ -98,7 +99,7 @@ def assign_buckets(df: DataFrame, order, rpb: int | None = None) -> Ordered:
     else:
         out = out.withColumnRenamed("__b1", BKT)
         nb = len(splits) + 1
-    return Ordered(out, nb, order)
+    return Ordered(out, nb, order, n)
 
 
 def _running_before(df: DataFrame, value: str, keys, bucket: str, out: str) -> DataFrame:
@@ -113,12 +114,12 @@ def global_index(df: DataFrame, order, out: str = "seq", rpb: int | None = None)
     w = Window.partitionBy(BKT).orderBy(*[F.col(c) for c in o.order])
     ranked = o.df.withColumn("__rn", F.row_number().over(w))
     if o.nb == 1:
-        return Ordered(ranked.withColumn(out, (F.col("__rn") - 1).cast("long")).drop("__rn"), 1, o.order)
+        return Ordered(ranked.withColumn(out, (F.col("__rn") - 1).cast("long")).drop("__rn"), 1, o.order, o.n)
     counts = o.df.groupBy(BKT).agg(F.count(F.lit(1)).alias("__n"))
     base = _running_before(counts, "__n", [], BKT, "__base").drop("__n")
     res = (ranked.join(F.broadcast(base), BKT)
            .withColumn(out, F.col("__base") + F.col("__rn") - 1).drop("__rn", "__base"))
-    return Ordered(res, o.nb, o.order)
+    return Ordered(res, o.nb, o.order, o.n)
 
 
 def prefix_sum(o: Ordered, value, keys=(), seq: str = "seq", out: str = "cum") -> Ordered:
@@ -134,7 +135,7 @@ def prefix_sum(o: Ordered, value, keys=(), seq: str = "seq", out: str = "cum") -
         base = _running_before(tot, "__t", keys, BKT, "__pb").drop("__t")
         df = (df.join(F.broadcast(base) if len(keys) <= 1 else base, keys + [BKT], "left")
               .withColumn(out, F.col(out) + F.coalesce(F.col("__pb"), F.lit(0))).drop("__pb"))
-    return Ordered(df.drop("__v"), o.nb, o.order)
+    return Ordered(df.drop("__v"), o.nb, o.order, o.n)
 
 
 def keyed_prev(o: Ordered, keys, cols, seq: str = "seq", prefix: str = "prev_",
@@ -156,7 +157,7 @@ def keyed_prev(o: Ordered, keys, cols, seq: str = "seq", prefix: str = "prev_",
     if o.nb == 1:
         if rank:
             df = df.withColumn(rank, F.row_number().over(w).cast("long"))
-        return Ordered(df, o.nb, o.order)
+        return Ordered(df, o.nb, o.order, o.n)
     df = df.withColumn("__krn", F.row_number().over(w))
     summ = o.df.groupBy(*part).agg(
         F.count(F.lit(1)).alias("__kn"),
@@ -170,4 +171,4 @@ def keyed_prev(o: Ordered, keys, cols, seq: str = "seq", prefix: str = "prev_",
                            .otherwise(F.col(prefix + c)))
     if rank:
         df = df.withColumn(rank, (F.col("__kbefore") + F.col("__krn")).cast("long"))
-    return Ordered(df.drop("__krn", "__kprev", "__kbefore"), o.nb, o.order)
+    return Ordered(df.drop("__krn", "__kprev", "__kbefore"), o.nb, o.order, o.n)

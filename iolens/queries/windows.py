@@ -161,3 +161,31 @@ def q_reuse_cdf_kblocks(spark, sf):
     w7 = reuse.all_reuse_volume(V.trace(spark, sf), TO)
     return cdf.percent_cdf(w7.withColumn("kb", F.col("distance") / F.lit(1000.0)), "kb", ["opcode"],
                            out="kblocks", stop=1.0)
+
+
+# ------------------------------------------------------------ W12 (exact)
+from iolens.operators.unique_distance import unique_reuse_distance  # noqa: E402
+
+W12_SQL = SEQ_TRACE + f"""
+, e AS ({exploded('r', 'cover', 'opcode, device_id, seq')}),
+  a AS (SELECT opcode, device_id, block, seq,
+               lag(seq) OVER (PARTITION BY opcode, device_id, block ORDER BY seq) AS p,
+               row_number() OVER (PARTITION BY opcode, device_id, block ORDER BY seq) AS acc FROM e)"""
+
+
+def _w12_select(where):
+    return f"""
+SELECT q.opcode, q.device_id, q.block, q.seq,
+       (SELECT count(*) FROM (SELECT DISTINCT e.device_id, e.block FROM e
+         WHERE e.opcode = q.opcode AND e.seq > q.p AND e.seq < q.seq)) AS distance
+FROM (SELECT * FROM a WHERE {where}) q"""
+
+
+@register("unique_reuse_distance", with_views(W12_SQL + _w12_select("p IS NOT NULL"), "trace"))
+def q_unique_reuse_distance(spark, sf):
+    return unique_reuse_distance(V.trace(spark, sf), TO)
+
+
+@register("unique_first_reuse_distance", with_views(W12_SQL + _w12_select("acc = 2"), "trace"))
+def q_unique_first_reuse_distance(spark, sf):
+    return unique_reuse_distance(V.trace(spark, sf), TO, first_only=True)

@@ -133,3 +133,30 @@ def test_hot_timestamp_gets_split(spark, small_buckets):
     o = assign_buckets(spark.createDataFrame(rows, COLS), ORDER)
     sizes = [r["count"] for r in o.df.groupBy(BKT).count().collect()]
     assert max(sizes) < 40, sizes
+
+
+def unique_loop(rows, first_only=False):
+    rows = ordered(rows)
+    acc = []  # (op, dev, block, seq)
+    for i, r in enumerate(rows):
+        for b in blocks(r[2], r[3], "cover"):
+            acc.append((r[1], r[0], b, i))
+    last, seen, out = {}, {}, []
+    for op, dev, b, i in acc:
+        k = (op, dev, b)
+        seen[k] = seen.get(k, 0) + 1
+        if k in last and (not first_only or seen[k] == 2):
+            p = last[k]
+            d = len({(x[1], x[2]) for x in acc if x[0] == op and p < x[3] < i})
+            out.append((op, dev, b, i, d))
+        last[k] = i
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed,first", [(9, False), (10, True)])
+def test_unique_distance(spark, small_buckets, seed, first):
+    from iolens.operators.unique_distance import unique_reuse_distance
+    rows = make_trace(seed, 250)
+    df = spark.createDataFrame(rows, COLS)
+    got = sorted(tuple(x) for x in unique_reuse_distance(df, ORDER, first_only=first).collect())
+    assert got == unique_loop(rows, first)
