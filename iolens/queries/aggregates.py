@@ -210,3 +210,20 @@ def q_standardize(spark, sf):
     f = features.device_features(V.trace(spark, sf), V.TRACE_ORDER)
     z = features.standardize(f, features.DEVICE_FEATURES)
     return z.select("device_id", *[F.round("z_" + c, 6).alias("z_" + c) for c in features.DEVICE_FEATURES])
+
+
+# ------------------------------------------------------- incremental A3 (V2)
+from iolens.session import scratch_path  # noqa: E402
+from iolens.streaming import rates as stream_rates  # noqa: E402
+
+
+@register("requests_per_unit_incremental", with_views("""
+SELECT "timestamp" - "timestamp" % 1000000 AS bin_start, count(*) / CAST(1000 AS DOUBLE) AS kreq
+FROM trace_dense GROUP BY 1""", "trace_dense"))
+def q_requests_per_unit_incremental(spark, sf):
+    src = scratch_path(spark, "stream-src")
+    V.trace_dense(spark, sf).repartition(6).write.csv(src)
+    out = scratch_path(spark, "stream-out")
+    stream_rates.count_incremental(spark, src, out, scratch_path(spark, "stream-ckpt"), "second",
+                                   files_per_trigger=2)
+    return stream_rates.read_counts(spark, out)
