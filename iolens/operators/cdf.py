@@ -29,7 +29,7 @@ def cumulative_histogram(df: DataFrame, x, keys=(), out: str = "x") -> DataFrame
     keys = list(keys)
     xc = F.col(x) if isinstance(x, str) else x
     h = df.groupBy(*keys, xc.alias(out)).agg(F.count(F.lit(1)).alias("cnt")).filter(F.col(out).isNotNull())
-    o = assign_buckets(h, [out])
+    o = assign_buckets(h, [out], materialize=True)
     o = prefix_sum(o, "cnt", keys, seq=out, out="__cum")
     tot = h.groupBy(*keys).agg(F.sum("cnt").alias("n"))
     r = o.df.withColumn("cb", (F.col("__cum") - F.col("cnt")).cast("long")).drop("__cum", "_bkt")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from iolens.functions.blocks import (BLOCK_SIZE, block_of_offset, col_floordiv, end_block, explode_blocks,
                                      idiv)
-from iolens.plans.order import BKT, Ordered, global_index, keyed_prev, prefix_sum
+from iolens.plans.order import BKT, Ordered, global_index, keyed_prev, number_rows, prefix_sum
 
 TRACE_COLS = ("device_id", "opcode", "offset", "length", "timestamp")
 
@@ -146,8 +146,10 @@ def first_arrival_rank(df: DataFrame, order, mode: str = "cover") -> DataFrame:
     (request order, then block order inside a request)."""
     o = _seq(df, order, TRACE_COLS)
     ex = explode_blocks(o.df, mode)
-    firsts = ex.groupBy("device_id", "block").agg(F.min("seq").alias("first_seq"))
-    return global_index(firsts, ("first_seq", "block"), "rank").df.drop(BKT)
+    # the first access's request bucket orders blocks by first appearance too
+    firsts = ex.groupBy("device_id", "block").agg(F.min(F.struct("seq", BKT)).alias("__f")).select(
+        "device_id", "block", F.col("__f.seq").alias("first_seq"), F.col(f"__f.{BKT}").alias(BKT))
+    return number_rows(Ordered(firsts, o.nb, ("first_seq", "block")), "rank").df.drop(BKT)
 
 
 def reuse_stats(distances: DataFrame, keys=("opcode",), col: str = "distance") -> DataFrame:

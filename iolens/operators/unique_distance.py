@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 
 from iolens.functions.blocks import explode_blocks
 from iolens.operators.reuse import TRACE_COLS, _seq, _with
-from iolens.plans.order import BKT, assign_buckets, keyed_prev, prefix_sum, rows_per_bucket
+from iolens.plans.order import (BKT, Ordered, assign_buckets, keyed_prev, materialized, prefix_sum,
+                                rows_per_bucket)
 
 
 def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only: bool = False) -> DataFrame:
@@ -46,6 +47,8 @@ def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only:
     ex = _with(o, explode_blocks(o.df, mode).select("opcode", "device_id", "block", "seq", BKT))
     acc = keyed_prev(ex, ["opcode", "device_id", "block"], ["seq"], rank="access" if first_only else None).df
     acc = acc.withColumn("prev", F.coalesce("prev_seq", F.lit(-1).cast("long")))
+    # three branches read the accesses: compute them once
+    acc = materialized(acc)
 
     top = max(1, math.ceil(math.log2(n + 1)))
     levels = F.sequence(F.lit(0), F.lit(top))
@@ -73,7 +76,7 @@ def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only:
     if top > small_lvl:
         # order key: 2*key + (1 - pt) keeps points before queries on equal keys
         high = high_rows.withColumn("__k", F.col("key") * 2 + (1 - F.col("pt")))
-        ho = assign_buckets(high, ["__k"])
+        ho = assign_buckets(high, ["__k"], materialize=True)
         high = prefix_sum(ho, "pt", grp, seq="__k", out="cnt").df.drop("__k", BKT)
         counted = low.unionByName(high)
     else:
@@ -82,9 +85,9 @@ def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only:
            .agg(F.sum("cnt").alias("dom")))
 
     # #{accesses of op o at requests <= p}: running count over requests
-    per_req = acc.groupBy("opcode", "seq").agg(F.count(F.lit(1)).alias("k"))
-    ro = assign_buckets(per_req, ["seq"])
-    upto = prefix_sum(ro, "k", ["opcode"], seq="seq", out="upto").df.select(
+    # (request buckets are contiguous seq ranges, so they are reused)
+    per_req = acc.groupBy("opcode", "seq", BKT).agg(F.count(F.lit(1)).alias("k"))
+    upto = prefix_sum(Ordered(per_req, o.nb, ("seq",)), "k", ["opcode"], seq="seq", out="upto").df.select(
         "opcode", F.col("seq").alias("p"), "upto")
     return (q.join(dom, ["opcode", "device_id", "block", "s"], "left")
             .join(upto, ["opcode", "p"], "left")

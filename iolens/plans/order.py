@@ -64,10 +64,23 @@ def _bucketize(df: DataFrame, col: str, splits: list[float], out: str) -> DataFr
     return b.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
 
 
-def assign_buckets(df: DataFrame, order, rpb: int | None = None) -> Ordered:
-    """Add ``_bkt`` (long): buckets are contiguous, ordered ranges of ``order``."""
+def materialized(df: DataFrame) -> DataFrame:
+    """Write a derived frame once to the shared checkpoint folder and read it
+    back, so the count / quantile jobs and the final plan do not each
+    recompute its upstream (this also cuts the lineage a lost executor replays)."""
+    from iolens.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def assign_buckets(df: DataFrame, order, rpb: int | None = None, materialize: bool = False) -> Ordered:
+    """Add ``_bkt`` (long): buckets are contiguous, ordered ranges of ``order``.
+
+    ``materialize``: the input is derived (not a plain scan); checkpoint it first."""
     order = tuple(order)
     rpb = rows_per_bucket(df, rpb)
+    if materialize:
+        df = materialized(df)
     n = df.count()
     nb = max(1, min(MAX_BUCKETS, math.ceil(n / rpb)))
     if nb == 1:
@@ -108,9 +121,14 @@ def _running_before(df: DataFrame, value: str, keys, bucket: str, out: str) -> D
     return df.withColumn(out, F.coalesce(F.sum(value).over(w), F.lit(0)).cast("long"))
 
 
-def global_index(df: DataFrame, order, out: str = "seq", rpb: int | None = None) -> Ordered:
+def global_index(df: DataFrame, order, out: str = "seq", rpb: int | None = None,
+                 materialize: bool = False) -> Ordered:
     """0-based position of every row in ``order`` (W1 ``request_sequence``)."""
-    o = assign_buckets(df, order, rpb)
+    return number_rows(assign_buckets(df, order, rpb, materialize), out)
+
+
+def number_rows(o: Ordered, out: str = "seq") -> Ordered:
+    """Positions for a frame whose bucket column already holds contiguous ranges of ``o.order``."""
     w = Window.partitionBy(BKT).orderBy(*[F.col(c) for c in o.order])
     ranked = o.df.withColumn("__rn", F.row_number().over(w))
     if o.nb == 1:

@@ -69,7 +69,8 @@ def sample_n_rows(df: DataFrame, nrows=None, rate: float = 0.1, seed: int = 42,
         return first.drop("__seq")
     n = first.count() if nrows is None else min(nrows, first.count())
     k = int(n * rate)
-    ranked = global_index(first.withColumn("__h", sample_hash("__seq", seed)), ("__h", "__seq"), "__r").df
+    ranked = global_index(first.withColumn("__h", sample_hash("__seq", seed)), ("__h", "__seq"), "__r",
+                          materialize=True).df
     return ranked.filter(F.col("__r") < k).drop("__seq", "__h", "__r", BKT)
 
 
