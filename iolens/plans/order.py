@@ -34,6 +34,7 @@ MAX_BUCKETS = 100_000
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
 CONF_ROWS_PER_BUCKET = "iolens.order.rowsPerBucket"
 
+
 _INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 _NUMERIC = _INTEGRAL + (T.FloatType, T.DoubleType)
 
@@ -170,6 +171,9 @@ def keyed_prev(o: Ordered, keys, cols, seq: str = "seq", prefix: str = "prev_",
     part = keys + [BKT]
     w = Window.partitionBy(*part).orderBy(seq)
     df = o.df
+    if o.nb == 1 and keys:
+        # one bucket: the frame sits in a single partition; spread it by key
+        df = df.repartition(*keys)
     for c in cols:
         df = df.withColumn(prefix + c, F.lag(c).over(w))
     if o.nb == 1:
