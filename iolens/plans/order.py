@@ -138,7 +138,10 @@ def number_rows(o: Ordered, out: str = "seq") -> Ordered:
     base = _running_before(counts, "__n", [], BKT, "__base").drop("__n")
     res = (ranked.join(F.broadcast(base), BKT)
            .withColumn(out, F.col("__base") + F.col("__rn") - 1).drop("__rn", "__base"))
-    return Ordered(res, o.nb, o.order, o.n)
+    # Several buckets = a large frame read by several branches downstream
+    # (windows, summaries, joins): write the numbered frame once instead of
+    # re-running its sort per branch or after a lost executor.
+    return Ordered(materialized(res), o.nb, o.order, o.n)
 
 
 def prefix_sum(o: Ordered, value, keys=(), seq: str = "seq", out: str = "cum") -> Ordered:
@@ -181,7 +184,9 @@ def keyed_prev(o: Ordered, keys, cols, seq: str = "seq", prefix: str = "prev_",
             df = df.withColumn(rank, F.row_number().over(w).cast("long"))
         return Ordered(df, o.nb, o.order, o.n)
     df = df.withColumn("__krn", F.row_number().over(w))
-    summ = o.df.groupBy(*part).agg(
+    # summarised from the windowed frame: it is already partitioned by (keys,
+    # bucket), so the upstream is not recomputed and no shuffle is added
+    summ = df.groupBy(*part).agg(
         F.count(F.lit(1)).alias("__kn"),
         F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), F.col(seq)).alias("__klast"))
     wk = Window.partitionBy(*keys).orderBy(BKT)
