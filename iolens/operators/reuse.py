@@ -88,7 +88,7 @@ def all_reuse_volume(df: DataFrame, order, mode: str = "floor", keys=()) -> Data
     requests strictly between - 4096) / 4096); an adjacent re-access gives -1."""
     v = _volume(df, order, mode, keys, rank=False)
     return (v.filter(F.col("prev_seq").isNotNull())
-            .select(*list(keys), "opcode", "device_id", "block", "seq", "distance"))
+            .select(*dict.fromkeys(list(keys) + ["opcode", "device_id", "block", "seq", "distance"])))
 
 
 def first_reuse_volume(df: DataFrame, order, mode: str = "floor", keys=(), access: int = 2) -> DataFrame:
@@ -96,7 +96,7 @@ def first_reuse_volume(df: DataFrame, order, mode: str = "floor", keys=(), acces
     W13 (access=3): at its second re-access."""
     v = _volume(df, order, mode, keys, rank=True)
     return (v.filter(F.col("access") == access)
-            .select(*list(keys), "opcode", "device_id", "block", "seq", "distance"))
+            .select(*dict.fromkeys(list(keys) + ["opcode", "device_id", "block", "seq", "distance"])))
 
 
 def annotate_first_reuse(df: DataFrame, order, ops=("R", "W"), mode: str = "floor") -> DataFrame:

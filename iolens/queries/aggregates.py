@@ -227,3 +227,36 @@ def q_requests_per_unit_incremental(spark, sf):
     stream_rates.count_incremental(spark, src, out, scratch_path(spark, "stream-ckpt"), "second",
                                    files_per_trigger=2)
     return stream_rates.read_counts(spark, out)
+
+
+# --------------------------------------------- keyed by device (per-device runs)
+@register("iops_mean_peak_per_device", with_views("""
+, s AS (SELECT device_id, "timestamp" - "timestamp" % 1000000 AS sec, count(*) AS n FROM trace_dense GROUP BY 1, 2),
+  a AS (SELECT device_id, min(sec) AS f, max(sec) AS l, min(sec) - min(sec) % 86400000000 AS d0 FROM s GROUP BY 1),
+  agg AS (SELECT s.device_id, s.sec - (s.sec - a.d0) % 10000000 AS bin_start, sum(n) / count(*) AS mean_iops,
+                 max(n) AS peak_iops FROM s JOIN a USING (device_id) GROUP BY 1, 2),
+  g AS (SELECT device_id, unnest(generate_series(f - (f - d0) % 10000000, l - (l - d0) % 10000000, 10000000))
+               AS bin_start FROM a)
+SELECT g.device_id, g.bin_start, agg.mean_iops, agg.peak_iops FROM g LEFT JOIN agg USING (device_id, bin_start)""",
+    "trace_dense"))
+def q_iops_mean_peak_per_device(spark, sf):
+    return rates.iops_mean_peak(V.trace_dense(spark, sf), 10, keys=["device_id"])
+
+
+@register("size_cdf_sampled_per_device", with_views("""
+, s AS (SELECT device_id, opcode, "length",
+               row_number() OVER (PARTITION BY device_id, opcode ORDER BY "length") - 1 AS i,
+               count(*) OVER (PARTITION BY device_id, opcode) AS n FROM trace_dense),
+  t AS (SELECT device_id, opcode, n, unnest(generate_series(0, 999)) AS point
+        FROM (SELECT DISTINCT device_id, opcode, n FROM s) WHERE n > 1000),
+  tb AS (SELECT device_id, opcode, CAST(point AS INTEGER) AS point,
+                CASE WHEN point = 999 THEN n - 1 ELSE CAST(trunc(point * ((n - 1) / CAST(999 AS DOUBLE))) AS BIGINT) END AS rnk,
+                CASE WHEN point = 999 THEN CAST(1 AS DOUBLE) ELSE point * (CAST(1 AS DOUBLE) / 999) END AS cdf FROM t),
+  tsm AS (SELECT device_id, opcode, CAST(i AS INTEGER) AS point, i AS rnk, (i + 1) / n AS cdf FROM s WHERE n <= 1000)
+SELECT s.device_id, s.opcode, tb.point, s."length", tb.cdf FROM tb
+  JOIN s ON s.device_id = tb.device_id AND s.opcode = tb.opcode AND s.i = tb.rnk
+UNION ALL
+SELECT s.device_id, s.opcode, tsm.point, s."length", tsm.cdf FROM tsm
+  JOIN s ON s.device_id = tsm.device_id AND s.opcode = tsm.opcode AND s.i = tsm.rnk""", "trace_dense"))
+def q_size_cdf_sampled_per_device(spark, sf):
+    return sizes.size_cdf_sampled(V.trace_dense(spark, sf), keys=["device_id"])

@@ -21,10 +21,11 @@ def exploded(src: str, mode: str, cols: str) -> str:
             f"FROM (SELECT *, {s} AS __s, {l} AS __l FROM {src}) WHERE __s <= __l")
 
 
-def volume(mode: str = "floor") -> str:
-    """CTEs r, c, e, p: accesses with previous same-op access and the byte volume between."""
+def volume(mode: str = "floor", per: str = "opcode") -> str:
+    """CTEs r, c, e, p: accesses with previous same-op access and the byte volume between
+    (summed per ``per``: the op, or device and op when keyed by device)."""
     return SEQ_TRACE + f"""
-, c AS (SELECT *, sum("length") OVER (PARTITION BY opcode ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cum FROM r),
+, c AS (SELECT *, sum("length") OVER (PARTITION BY {per} ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cum FROM r),
   e AS ({exploded('c', mode, 'opcode, device_id, seq, "length", cum')}),
   p AS (SELECT *, lag(seq) OVER w AS ps, lag(cum) OVER w AS pc, row_number() OVER w AS acc FROM e
         WINDOW w AS (PARTITION BY opcode, device_id, block ORDER BY seq)),

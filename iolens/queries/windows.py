@@ -189,3 +189,10 @@ def q_unique_reuse_distance(spark, sf):
 @register("unique_first_reuse_distance", with_views(W12_SQL + _w12_select("acc = 2"), "trace"))
 def q_unique_first_reuse_distance(spark, sf):
     return unique_reuse_distance(V.trace(spark, sf), TO, first_only=True)
+
+
+# --------------------------------------------- keyed by device (per-device runs)
+@register("all_reuse_volume_per_device", with_views(volume("floor", per="device_id, opcode") + """
+SELECT device_id, opcode, block, seq, distance FROM v WHERE ps IS NOT NULL""", "trace"))
+def q_all_reuse_volume_per_device(spark, sf):
+    return reuse.all_reuse_volume(V.trace(spark, sf), TO, keys=["device_id"])
