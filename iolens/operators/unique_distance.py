@@ -52,36 +52,40 @@ def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only:
 
     top = max(1, math.ceil(math.log2(n + 1)))
     levels = F.sequence(F.lit(0), F.lit(top))
+    # Points with equal (op, level, node, prev) are one weighted point: all
+    # blocks a request re-touches together share prev, all first accesses
+    # have prev = -1. Partial aggregation collapses them before the shuffle.
     points = (acc.select("opcode", "seq", "prev", F.explode(levels).alias("lvl"))
-              .select("opcode", "lvl", F.expr("shiftright(seq, lvl)").alias("node"),
-                      (F.col("prev") * 2).alias("key"), F.lit(1).alias("pt"),
-                      F.lit(None).cast("int").alias("device_id"), F.lit(None).cast("long").alias("block"),
-                      F.lit(None).cast("long").alias("s")))
+              .groupBy("opcode", "lvl", F.expr("shiftright(seq, lvl)").alias("node"),
+                       (F.col("prev") * 2).alias("key"))
+              .agg(F.count(F.lit(1)).alias("w"))
+              .withColumn("s", F.lit(None).cast("long")).withColumn("p", F.lit(None).cast("long")))
     q = acc.filter(F.col("prev_seq").isNotNull())
     if first_only:
         q = q.filter(F.col("access") == 2)
     q = q.select("opcode", "device_id", "block", F.col("seq").alias("s"), F.col("prev_seq").alias("p"))
-    queries = (q.select("*", F.explode(levels).alias("lvl"))
+    # Queries with equal (op, s, p) have equal answers: solve each once.
+    qd = q.select("opcode", "s", "p").distinct()
+    queries = (qd.select("*", F.explode(levels).alias("lvl"))
                .filter(F.expr("shiftright(s, lvl)") % 2 == 1)
                .select("opcode", "lvl", (F.expr("shiftright(s, lvl)") - 1).alias("node"),
-                       (F.col("p") * 2 + 1).alias("key"), F.lit(0).alias("pt"), "device_id", "block", "s"))
+                       (F.col("p") * 2 + 1).alias("key"), F.lit(0).cast("long").alias("w"), "s", "p"))
     u = points.unionByName(queries)
 
     small_lvl = int(math.floor(math.log2(max(2, rows_per_bucket(df)))))
     grp = ["opcode", "lvl", "node"]
-    w = (Window.partitionBy(*grp).orderBy("key", "pt")
+    w = (Window.partitionBy(*grp).orderBy("key")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    low = u.filter(F.col("lvl") <= small_lvl).withColumn("cnt", F.sum("pt").over(w))
+    low = u.filter(F.col("lvl") <= small_lvl).withColumn("cnt", F.sum("w").over(w))
     high_rows = u.filter(F.col("lvl") > small_lvl)
     if top > small_lvl:
-        # order key: 2*key + (1 - pt) keeps points before queries on equal keys
-        high = high_rows.withColumn("__k", F.col("key") * 2 + (1 - F.col("pt")))
-        ho = assign_buckets(high, ["__k"], materialize=True)
-        high = prefix_sum(ho, "pt", grp, seq="__k", out="cnt").df.drop("__k", BKT)
+        # keys are unique per group among points (aggregated) and odd for queries
+        ho = assign_buckets(high_rows, ["key"], materialize=True)
+        high = prefix_sum(ho, "w", grp, seq="key", out="cnt").df.drop(BKT)
         counted = low.unionByName(high)
     else:
         counted = low
-    dom = (counted.filter(F.col("pt") == 0).groupBy("opcode", "device_id", "block", "s")
+    dom = (counted.filter(F.col("s").isNotNull()).groupBy("opcode", "s", "p")
            .agg(F.sum("cnt").alias("dom")))
 
     # #{accesses of op o at requests <= p}: running count over requests
@@ -89,7 +93,7 @@ def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only:
     per_req = acc.groupBy("opcode", "seq", BKT).agg(F.count(F.lit(1)).alias("k"))
     upto = prefix_sum(Ordered(per_req, o.nb, ("seq",)), "k", ["opcode"], seq="seq", out="upto").df.select(
         "opcode", F.col("seq").alias("p"), "upto")
-    return (q.join(dom, ["opcode", "device_id", "block", "s"], "left")
+    return (q.join(dom, ["opcode", "s", "p"], "left")
             .join(upto, ["opcode", "p"], "left")
             .select("opcode", "device_id", "block", F.col("s").alias("seq"),
                     (F.coalesce("dom", F.lit(0)) - F.col("upto")).cast("long").alias("distance")))
