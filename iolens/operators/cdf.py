@@ -90,3 +90,27 @@ def index_cdf(df: DataFrame, x: str, keys=(), out: str = "x", one_based: bool =
     return h.select(*list(keys), out, "cnt",
                     ((F.col("cb") + add) / F.col("n")).alias("cdf_first"),
                     ((F.col("cb") + F.col("cnt") - 1 + add) / F.col("n")).alias("cdf_last"))
+
+
+def quantile_from_histogram(h: DataFrame, q: float, keys=(), x: str = "__x", out: str = "quantile",
+                            extra=()) -> DataFrame:
+    """Exact quantile (linear interpolation at position (n-1)*q) per key from a
+    ``cumulative_histogram``; ``extra`` aggregates ride along in the same pass."""
+    keys = list(keys)
+    pos = (F.col("n") - 1).cast("double") * F.lit(float(q))
+    lo, hi = F.floor(pos), F.ceil(pos)
+
+    def at(r):
+        return F.max(F.when((F.col("cb") <= r) & (r < F.col("cb") + F.col("cnt")), F.col(x)))
+    a = h.groupBy(*keys).agg(at(lo).alias("__lo"), at(hi).alias("__hi"), F.first(pos).alias("__pos"), *extra)
+    frac = F.col("__pos") - F.floor("__pos")
+    val = (F.col("__lo").cast("double") + (F.col("__hi").cast("double") - F.col("__lo").cast("double")) * frac)
+    return a.withColumn(out, val).drop("__lo", "__hi", "__pos")
+
+
+def exact_quantile(df: DataFrame, x: str, q: float, keys=(), out: str = "quantile") -> DataFrame:
+    """Exact quantile with linear interpolation at position (n-1)*q, from the
+    cumulative histogram: no group ever holds its distinct values in one map."""
+    keys = list(keys)
+    h = cumulative_histogram(df, x, keys, out="__x")
+    return quantile_from_histogram(h, q, keys, out=out)

@@ -154,13 +154,17 @@ def first_arrival_rank(df: DataFrame, order, mode: str = "cover") -> DataFrame:
 
 def reuse_stats(distances: DataFrame, keys=("opcode",), col: str = "distance") -> DataFrame:
     """Per op, count / mean / median / max / min of the distances."""
+    from iolens.operators.cdf import cumulative_histogram, quantile_from_histogram
     keys = list(keys)
-    d = F.col(col)
-    return distances.groupBy(*keys).agg(
-        F.count(d).alias("reuse_count"),
-        (F.sum(d) / F.count(d)).alias("mean_distance"),
-        F.percentile(d, F.lit(0.5)).alias("median_distance"),
-        F.max(d).alias("max_distance"), F.min(d).alias("min_distance"))
+    # one value -> count histogram (checkpointed once) gives every statistic
+    h = cumulative_histogram(distances, col, keys, out="__x")
+    stats = quantile_from_histogram(
+        h, 0.5, keys, out="median_distance",
+        extra=[F.first("n").alias("reuse_count"),
+               (F.sum(F.col("__x") * F.col("cnt")) / F.first("n")).alias("mean_distance"),
+               F.max("__x").alias("max_distance"), F.min("__x").alias("min_distance")])
+    return stats.select(*keys, "reuse_count", "mean_distance", "median_distance", "max_distance",
+                        "min_distance")
 
 
 def reuse_histogram(distances: DataFrame, col: str = "gap", bins: int = 50) -> DataFrame:

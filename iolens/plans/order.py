@@ -66,12 +66,14 @@ def _bucketize(df: DataFrame, col: str, splits: list[float], out: str) -> DataFr
 
 
 def materialized(df: DataFrame) -> DataFrame:
-    """Write a derived frame once to the shared checkpoint folder and read it
-    back, so the count / quantile jobs and the final plan do not each
-    recompute its upstream (this also cuts the lineage a lost executor replays)."""
-    from iolens.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write a derived frame once as Parquet under the shared checkpoint folder
+    and read it back, so the count / quantile jobs and the final plan do not
+    each recompute its upstream, and a lost executor replays only the read.
+    (An eager RDD checkpoint of an uncached frame would compute it twice.)"""
+    from iolens.session import scratch_path
+    path = scratch_path(df.sparkSession, "materialized")
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def assign_buckets(df: DataFrame, order, rpb: int | None = None, materialize: bool = False) -> Ordered:
