@@ -116,3 +116,24 @@ def test_grid_border_row_in_both_slices(spark):
     df = trace(spark, [(1, "R", 0, 512, t0 + 2 * 3_600_000_000, 1)]).drop("tie")
     got = sorted(r.slice_start for r in load_device_grid(df, [1], n_hours=6).collect())
     assert got == [t0, t0 + 2 * 3_600_000_000]
+
+
+def test_reuse_histogram_integer_bins(spark):
+    df = spark.createDataFrame([(g,) for g in [1, 1, 2, 50, 100]], "gap long")
+    h = {r.bin: r.n for r in reuse.reuse_histogram(df, "gap").collect()}
+    assert len(h) == 50 and sum(h.values()) == 5
+    # (x - 1) * 50 div 99: 1 -> 0, 2 -> 0, 50 -> 24, 100 -> last bin (closed)
+    assert h[0] == 3 and h[24] == 1 and h[49] == 1
+
+
+def test_reuse_histogram_single_value(spark):
+    df = spark.createDataFrame([(7,), (7,)], "gap long")
+    h = {r.bin: r.n for r in reuse.reuse_histogram(df, "gap").collect()}
+    assert h[0] == 2 and sum(h.values()) == 2
+
+
+def test_reuse_stats_median_interpolates(spark):
+    df = spark.createDataFrame([("R", 1), ("R", 2), ("R", 10), ("R", 11), ("W", 5)], "opcode string, distance long")
+    r = {x.opcode: x for x in reuse.reuse_stats(df).collect()}
+    assert r["R"].median_distance == 6.0 and r["R"].mean_distance == 6.0 and r["W"].median_distance == 5.0
+    assert (r["R"].min_distance, r["R"].max_distance, r["R"].reuse_count) == (1, 11, 4)
