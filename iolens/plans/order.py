@@ -157,7 +157,8 @@ def prefix_sum(o: Ordered, value, keys=(), seq: str = "seq", out: str = "cum") -
     if o.nb > 1:
         tot = df.groupBy(*keys, BKT).agg(F.sum("__v").alias("__t"))
         base = _running_before(tot, "__t", keys, BKT, "__pb").drop("__t")
-        df = (df.join(F.broadcast(base) if len(keys) <= 1 else base, keys + [BKT], "left")
+        # keyless: at most MAX_BUCKETS rows, broadcast; keyed: sized at run time by AQE
+        df = (df.join(F.broadcast(base) if not keys else base, keys + [BKT], "left")
               .withColumn(out, F.col(out) + F.coalesce(F.col("__pb"), F.lit(0))).drop("__pb"))
     return Ordered(df.drop("__v"), o.nb, o.order, o.n)
 
