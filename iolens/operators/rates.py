@@ -7,7 +7,7 @@ executors and left-joined, so they appear as rows with null values.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iolens.functions.time import time_floor, unit_micros
@@ -59,16 +59,15 @@ def iops_mean_peak(df: DataFrame, interval_s: int = 10, keys=(), ts: str = "time
 
 
 def interval_count_avg_peak(df: DataFrame, interval_s: int = 60, keys=(), ts: str = "timestamp") -> DataFrame:
-    """Requests per interval (epoch-anchored), with the mean and max over intervals."""
+    """Requests per interval (epoch-anchored), with the mean and max over intervals
+    (per key). The two scalars are a per-key aggregate joined back."""
+    from iolens.operators.cdf import join_on_keys
     keys = list(keys)
     c = df.groupBy(*keys, time_floor(ts, interval_s).alias("bin_start")).agg(
         F.count(F.lit(1)).alias("requests"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    # One row per non-empty interval; the per-key scalars ride along as window
-    # aggregates (the interval table is bounded by time range / interval).
-    return c.select(*keys, "bin_start", "requests",
-                    (F.sum("requests").over(w) / F.count(F.lit(1)).over(w)).alias("avg_requests"),
-                    F.max("requests").over(w).alias("peak_requests"))
+    s = c.groupBy(*keys).agg((F.sum("requests") / F.count(F.lit(1))).alias("avg_requests"),
+                             F.max("requests").alias("peak_requests"))
+    return join_on_keys(c, s, keys).select(*keys, "bin_start", "requests", "avg_requests", "peak_requests")
 
 
 def device_totals(df: DataFrame) -> DataFrame:
