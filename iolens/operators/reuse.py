@@ -147,8 +147,9 @@ def first_arrival_rank(df: DataFrame, order, mode: str = "cover") -> DataFrame:
     o = _seq(df, order, TRACE_COLS)
     ex = explode_blocks(o.df, mode)
     # the first access's request bucket orders blocks by first appearance too
-    firsts = ex.groupBy("device_id", "block").agg(F.min(F.struct("seq", BKT)).alias("__f")).select(
-        "device_id", "block", F.col("__f.seq").alias("first_seq"), F.col(f"__f.{BKT}").alias(BKT))
+    # buckets grow with seq, so min(bucket) is the first access's bucket; two
+    # primitive minima keep this a hash aggregate
+    firsts = ex.groupBy("device_id", "block").agg(F.min("seq").alias("first_seq"), F.min(BKT).alias(BKT))
     return number_rows(Ordered(firsts, o.nb, ("first_seq", "block")), "rank").df.drop(BKT)
 
 

@@ -147,19 +147,24 @@ def number_rows(o: Ordered, out: str = "seq") -> Ordered:
 
 
 def prefix_sum(o: Ordered, value, keys=(), seq: str = "seq", out: str = "cum") -> Ordered:
-    """Running sum of ``value`` in ``seq`` order per ``keys``, current row included."""
+    """Running sum of ``value`` in ``seq`` order per ``keys``, current row included.
+
+    With several buckets, each row first gets the total of its key's earlier
+    buckets (a (key, bucket) table joined before the window, so the big side is
+    shuffled once, by (key, bucket), and the window reuses that partitioning)."""
     keys = list(keys)
     v = value if not isinstance(value, str) else F.col(value)
     df = o.df.withColumn("__v", v)
     w = (Window.partitionBy(*keys, BKT).orderBy(seq)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    df = df.withColumn(out, F.sum("__v").over(w))
     if o.nb > 1:
         tot = df.groupBy(*keys, BKT).agg(F.sum("__v").alias("__t"))
         base = _running_before(tot, "__t", keys, BKT, "__pb").drop("__t")
-        # keyless: at most MAX_BUCKETS rows, broadcast; keyed: sized at run time by AQE
-        df = (df.join(F.broadcast(base) if not keys else base, keys + [BKT], "left")
-              .withColumn(out, F.col(out) + F.coalesce(F.col("__pb"), F.lit(0))).drop("__pb"))
+        # keyless: at most MAX_BUCKETS rows, broadcast; keyed: hash-joined per partition
+        df = df.join(F.broadcast(base) if not keys else base.hint("shuffle_hash"), keys + [BKT], "left")
+        df = df.withColumn(out, F.sum("__v").over(w) + F.coalesce(F.col("__pb"), F.lit(0))).drop("__pb")
+    else:
+        df = df.withColumn(out, F.sum("__v").over(w))
     return Ordered(df.drop("__v"), o.nb, o.order, o.n)
 
 
@@ -168,37 +173,41 @@ def keyed_prev(o: Ordered, keys, cols, seq: str = "seq", prefix: str = "prev_",
     """Per key, the previous row's ``cols`` in ``seq`` order (null for the first)
     and optionally the 1-based rank of the row inside its key.
 
-    Windows are partitioned by (keys, bucket); the first row of a key in a
-    bucket reads the key's last row of an earlier bucket from a summary table
-    with one row per (key, bucket).
+    Windows are partitioned by (keys, bucket). The first row of a key in a
+    bucket takes its predecessor from a summary with one row per (key, bucket)
+    -- the key's last row and row count in earlier buckets -- which is built by
+    a partial aggregate and hash-joined to the rows *before* the window, so the
+    rows are shuffled and sorted once.
     """
     keys = list(keys)
     cols = list(cols)
     part = keys + [BKT]
     w = Window.partitionBy(*part).orderBy(seq)
     df = o.df
-    if o.nb == 1 and keys:
-        # one bucket: the frame sits in a single partition; spread it by key
-        df = df.repartition(*keys)
-    for c in cols:
-        df = df.withColumn(prefix + c, F.lag(c).over(w))
     if o.nb == 1:
+        if keys:
+            # one bucket: the frame sits in a single partition; spread it by key
+            df = df.repartition(*keys)
+        for c in cols:
+            df = df.withColumn(prefix + c, F.lag(c).over(w))
         if rank:
             df = df.withColumn(rank, F.row_number().over(w).cast("long"))
         return Ordered(df, o.nb, o.order, o.n)
-    df = df.withColumn("__krn", F.row_number().over(w))
-    # summarised from the windowed frame: it is already partitioned by (keys,
-    # bucket), so the upstream is not recomputed and no shuffle is added
-    summ = df.groupBy(*part).agg(
-        F.count(F.lit(1)).alias("__kn"),
-        F.max_by(F.struct(*[F.col(c).alias(c) for c in cols]), F.col(seq)).alias("__klast"))
+    # one primitive aggregate per column keeps this a hash aggregate with
+    # map-side combining (a struct-valued max_by would force a sort aggregate)
+    last = [(F.max(seq) if c == seq else F.max_by(c, seq)).alias(f"__kl_{c}") for c in cols]
+    summ = df.groupBy(*part).agg(F.count(F.lit(1)).alias("__kn"), *last)
     wk = Window.partitionBy(*keys).orderBy(BKT)
     summ = _running_before(summ, "__kn", keys, BKT, "__kbefore")
-    summ = summ.select(*part, F.lag("__klast").over(wk).alias("__kprev"), "__kbefore")
-    df = df.join(summ, part, "left")
+    summ = summ.select(*part, *[F.lag(f"__kl_{c}").over(wk).alias(f"__kp_{c}") for c in cols], "__kbefore")
+    df = df.join(summ.hint("shuffle_hash"), part, "left")
+    krn = F.row_number().over(w)
+    for c in cols:
+        df = df.withColumn(prefix + c, F.lag(c).over(w))
+    df = df.withColumn("__krn", krn)
     for c in cols:
-        df = df.withColumn(prefix + c, F.when(F.col("__krn") == 1, F.col("__kprev")[c])
+        df = df.withColumn(prefix + c, F.when(F.col("__krn") == 1, F.col(f"__kp_{c}"))
                            .otherwise(F.col(prefix + c)))
     if rank:
         df = df.withColumn(rank, (F.col("__kbefore") + F.col("__krn")).cast("long"))
-    return Ordered(df.drop("__krn", "__kprev", "__kbefore"), o.nb, o.order, o.n)
+    return Ordered(df.drop("__krn", "__kbefore", *[f"__kp_{c}" for c in cols]), o.nb, o.order, o.n)
