@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from iolens.plans.order import assign_buckets, prefix_sum
+from iolens.plans.order import assign_buckets, materialized, prefix_sum
 
 
 def join_on_keys(df: DataFrame, small: DataFrame, keys) -> DataFrame:
@@ -24,12 +24,20 @@ def join_on_keys(df: DataFrame, small: DataFrame, keys) -> DataFrame:
         F.broadcast(small.withColumn("__one", F.lit(0))), "__one").drop("__one")
 
 
-def cumulative_histogram(df: DataFrame, x, keys=(), out: str = "x") -> DataFrame:
-    """(keys, x, cnt, cb, n): cnt rows equal x; cb rows with a smaller value; n rows in key."""
+# A value -> count table with at most this many rows is small enough for one
+# aggregation buffer per key (Spark's exact percentile keeps such a map).
+SMALL_HISTOGRAM_ROWS = 1_000_000
+
+
+def cumulative_histogram(df: DataFrame, x, keys=(), out: str = "x", weight: str | None = None,
+                         materialize: bool = True) -> DataFrame:
+    """(keys, x, cnt, cb, n): cnt rows equal x; cb rows with a smaller value; n rows in key.
+    ``weight``: the input is already a histogram with that count column."""
     keys = list(keys)
     xc = F.col(x) if isinstance(x, str) else x
-    h = df.groupBy(*keys, xc.alias(out)).agg(F.count(F.lit(1)).alias("cnt")).filter(F.col(out).isNotNull())
-    o = assign_buckets(h, [out], materialize=True)
+    c = F.sum(weight) if weight else F.count(F.lit(1))
+    h = df.groupBy(*keys, xc.alias(out)).agg(c.alias("cnt")).filter(F.col(out).isNotNull())
+    o = assign_buckets(h, [out], materialize=materialize)
     o = prefix_sum(o, "cnt", keys, seq=out, out="__cum")
     tot = h.groupBy(*keys).agg(F.sum("cnt").alias("n"))
     r = o.df.withColumn("cb", (F.col("__cum") - F.col("cnt")).cast("long")).drop("__cum", "_bkt")
@@ -114,3 +122,17 @@ def exact_quantile(df: DataFrame, x: str, q: float, keys=(), out: str = "quantil
     keys = list(keys)
     h = cumulative_histogram(df, x, keys, out="__x")
     return quantile_from_histogram(h, q, keys, out=out)
+
+
+def histogram_stats(df: DataFrame, x: str, q: float, keys=(), out: str = "quantile", extra=()) -> DataFrame:
+    """Exact quantile of ``x`` per key plus aggregates over the histogram (columns
+    __x and cnt available to ``extra``). The value -> count histogram is written
+    once; when its size is checked to be small, Spark's exact percentile with a
+    frequency column runs in one pass, otherwise the two-level cumulative form."""
+    keys = list(keys)
+    hist = materialized(df.groupBy(*keys, F.col(x).alias("__x")).agg(F.count(F.lit(1)).alias("cnt"))
+                        .filter(F.col("__x").isNotNull()))
+    if hist.count() <= SMALL_HISTOGRAM_ROWS:
+        return hist.groupBy(*keys).agg(F.percentile("__x", F.lit(float(q)), F.col("cnt")).alias(out), *extra)
+    h = cumulative_histogram(hist, "__x", keys, out="__x", weight="cnt", materialize=False)
+    return quantile_from_histogram(h, q, keys, out=out, extra=extra)

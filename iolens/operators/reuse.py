@@ -155,14 +155,14 @@ def first_arrival_rank(df: DataFrame, order, mode: str = "cover") -> DataFrame:
 
 def reuse_stats(distances: DataFrame, keys=("opcode",), col: str = "distance") -> DataFrame:
     """Per op, count / mean / median / max / min of the distances."""
-    from iolens.operators.cdf import cumulative_histogram, quantile_from_histogram
+    from iolens.operators.cdf import histogram_stats
     keys = list(keys)
-    # one value -> count histogram (checkpointed once) gives every statistic
-    h = cumulative_histogram(distances, col, keys, out="__x")
-    stats = quantile_from_histogram(
-        h, 0.5, keys, out="median_distance",
-        extra=[F.first("n").alias("reuse_count"),
-               (F.sum(F.col("__x") * F.col("cnt")) / F.first("n")).alias("mean_distance"),
+    # all statistics from one value -> count histogram (distinct distances grow
+    # with the trace, so the median is never a per-group map of raw values)
+    n = F.sum("cnt")
+    stats = histogram_stats(
+        distances, col, 0.5, keys, out="median_distance",
+        extra=[n.alias("reuse_count"), (F.sum(F.col("__x") * F.col("cnt")) / n).alias("mean_distance"),
                F.max("__x").alias("max_distance"), F.min("__x").alias("min_distance")])
     return stats.select(*keys, "reuse_count", "mean_distance", "median_distance", "max_distance",
                         "min_distance")

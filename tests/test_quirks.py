@@ -137,3 +137,15 @@ def test_reuse_stats_median_interpolates(spark):
     r = {x.opcode: x for x in reuse.reuse_stats(df).collect()}
     assert r["R"].median_distance == 6.0 and r["R"].mean_distance == 6.0 and r["W"].median_distance == 5.0
     assert (r["R"].min_distance, r["R"].max_distance, r["R"].reuse_count) == (1, 11, 4)
+
+
+def test_reuse_stats_both_histogram_paths_agree(spark, monkeypatch, small_buckets):
+    import random
+    from iolens.operators import cdf as C
+    rnd = random.Random(5)
+    rows = [(rnd.choice("RW"), rnd.randrange(-1, 40)) for _ in range(300)]
+    df = spark.createDataFrame(rows, "opcode string, distance long")
+    small = sorted(tuple(r) for r in reuse.reuse_stats(df).collect())
+    monkeypatch.setattr(C, "SMALL_HISTOGRAM_ROWS", 0)
+    big = sorted(tuple(r) for r in reuse.reuse_stats(df).collect())
+    assert small == big
