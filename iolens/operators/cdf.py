@@ -40,7 +40,7 @@ def cumulative_histogram(df: DataFrame, x, keys=(), out: str = "x", weight: str
     o = assign_buckets(h, [out], materialize=materialize)
     o = prefix_sum(o, "cnt", keys, seq=out, out="__cum")
     tot = h.groupBy(*keys).agg(F.sum("cnt").alias("n"))
-    r = o.df.withColumn("cb", (F.col("__cum") - F.col("cnt")).cast("long")).drop("__cum", "_bkt")
+    r = o.df.withColumn("cb", (F.col("__cum") - F.col("cnt")).cast("long")).drop("__cum", "_bkt", "_fb")
     return join_on_keys(r, tot, keys)
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from iolens.functions.blocks import explode_blocks
 from iolens.operators.reuse import TRACE_COLS, _seq, _with
-from iolens.plans.order import (BKT, Ordered, assign_buckets, keyed_prev, materialized, prefix_sum,
+from iolens.plans.order import (BKT, FB, Ordered, assign_buckets, keyed_prev, materialized, prefix_sum,
                                 rows_per_bucket)
 
 
@@ -81,7 +81,7 @@ def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only:
     if top > small_lvl:
         # keys are unique per group among points (aggregated) and odd for queries
         ho = assign_buckets(high_rows, ["key"], materialize=True)
-        high = prefix_sum(ho, "w", grp, seq="key", out="cnt").df.drop(BKT)
+        high = prefix_sum(ho, "w", grp, seq="key", out="cnt").df.drop(BKT, FB)
         counted = low.unionByName(high)
     else:
         counted = low

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BKT = "_bkt"
+FB = "_fb"
+FINE_SPLIT = 8
 MAX_BUCKETS = 100_000
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
 CONF_ROWS_PER_BUCKET = "iolens.order.rowsPerBucket"
@@ -46,6 +48,7 @@ class Ordered:
     nb: int          # number of buckets; 1 means the bucket column is constant
     order: tuple
     n: int = -1      # number of rows when known
+    nf: int = -1     # number of fine buckets (1: no numbering join needed)
 
 
 def rows_per_bucket(df: DataFrame, override: int | None = None) -> int:
@@ -79,27 +82,34 @@ def materialized(df: DataFrame) -> DataFrame:
 def assign_buckets(df: DataFrame, order, rpb: int | None = None, materialize: bool = False) -> Ordered:
     """Add ``_bkt`` (long): buckets are contiguous, ordered ranges of ``order``.
 
-    ``materialize``: the input is derived (not a plain scan); checkpoint it first."""
+    Two granularities come from one quantile pass: *fine* buckets (``_fb``, about
+    rows_per_bucket / FINE_SPLIT rows) parallelize the row numbering, whose cost
+    is a sort per bucket; *coarse* buckets (``_bkt``, runs of consecutive fine
+    buckets) partition the per-key windows, whose cross-bucket summaries grow
+    with the bucket count.
+
+    ``materialize``: the input is derived (not a plain scan); write it first."""
     order = tuple(order)
     rpb = rows_per_bucket(df, rpb)
     if materialize:
         df = materialized(df)
     n = df.count()
     nb = max(1, min(MAX_BUCKETS, math.ceil(n / rpb)))
-    if nb == 1:
-        return Ordered(df.withColumn(BKT, F.lit(0).cast("long")), 1, order, n)
+    nf = max(nb, min(MAX_BUCKETS, math.ceil(n / max(1, rpb // FINE_SPLIT))))
+    if nf == 1:
+        return Ordered(df.withColumn(BKT, F.lit(0).cast("long")).withColumn(FB, F.lit(0).cast("long")),
+                       1, order, n, 1)
     first = order[0]
     ftype = df.schema[first].dataType
     integral = isinstance(ftype, _INTEGRAL)
-    err = max(1e-6, 1.0 / (4 * nb))
-    qs = df.approxQuantile(first, [i / nb for i in range(1, nb)], err)
+    err = max(1e-6, 1.0 / (4 * nf))
+    qs = df.approxQuantile(first, [i / nf for i in range(1, nf)], err)
     mult: dict[float, int] = {}
     for q in qs:
         mult[q] = mult.get(q, 0) + 1
     hot = sorted(v for v, m in mult.items() if m >= 2)
     splits = sorted(set(qs) | {_next_up(v, integral) for v in hot})
     out = _bucketize(df, first, splits, "__b1").withColumn("__b1", F.col("__b1").cast("long"))
-    nsub = 0
     if hot and len(order) > 1 and isinstance(df.schema[order[1]].dataType, _NUMERIC):
         # A hot leading value has its own bucket; split it on the next column.
         nsub = min(MAX_BUCKETS, sum(mult[v] for v in hot) + 1)
@@ -110,12 +120,20 @@ def assign_buckets(df: DataFrame, order, rpb: int | None = None, materialize: bo
         out = _bucketize(out, order[1], s2, "__b2")
         out = out.withColumn("__b2", F.when(F.col(first).isin(hot), F.col("__b2").cast("long"))
                              .otherwise(F.lit(0).cast("long")))
-        out = out.withColumn(BKT, F.col("__b1") * (len(s2) + 1) + F.col("__b2")).drop("__b1", "__b2")
-        nb = (len(splits) + 1) * (len(s2) + 1)
+        # dense ids: each hot bucket (index of its split + 1) adds len(s2) ids,
+        # so consecutive ids hold similar row counts when grouped coarsely
+        hot_b1 = sorted(splits.index(v) + 1 for v in hot)
+        out = _bucketize(out, "__b1", [h + 0.5 for h in hot_b1], "__hb")
+        out = out.withColumn(FB, F.col("__b1") + F.lit(len(s2)) * F.col("__hb").cast("long") + F.col("__b2"))
+        out = out.drop("__b1", "__b2", "__hb")
+        nf_tot = len(splits) + 1 + len(hot_b1) * len(s2)
     else:
-        out = out.withColumnRenamed("__b1", BKT)
-        nb = len(splits) + 1
-    return Ordered(out, nb, order, n)
+        out = out.withColumnRenamed("__b1", FB)
+        nf_tot = len(splits) + 1
+    group = max(1, math.ceil(nf_tot / nb))
+    out = out.withColumn(BKT, (F.col(FB) - F.pmod(F.col(FB), F.lit(group))) / F.lit(group)).withColumn(
+        BKT, F.col(BKT).cast("long"))
+    return Ordered(out, max(1, math.ceil(nf_tot / group)), order, n, nf_tot)
 
 
 def _running_before(df: DataFrame, value: str, keys, bucket: str, out: str) -> DataFrame:
@@ -131,15 +149,22 @@ def global_index(df: DataFrame, order, out: str = "seq", rpb: int | None = None,
 
 
 def number_rows(o: Ordered, out: str = "seq") -> Ordered:
-    """Positions for a frame whose bucket column already holds contiguous ranges of ``o.order``."""
-    w = Window.partitionBy(BKT).orderBy(*[F.col(c) for c in o.order])
+    """Positions for a frame whose bucket column(s) already hold contiguous
+    ranges of ``o.order`` (fine buckets when present, else coarse)."""
+    fb = FB if FB in o.df.columns else BKT
+    w = Window.partitionBy(fb).orderBy(*[F.col(c) for c in o.order])
     ranked = o.df.withColumn("__rn", F.row_number().over(w))
-    if o.nb == 1:
-        return Ordered(ranked.withColumn(out, (F.col("__rn") - 1).cast("long")).drop("__rn"), 1, o.order, o.n)
-    counts = o.df.groupBy(BKT).agg(F.count(F.lit(1)).alias("__n"))
-    base = _running_before(counts, "__n", [], BKT, "__base").drop("__n")
-    res = (ranked.join(F.broadcast(base), BKT)
+    if o.nf == 1 or (o.nb == 1 and fb == BKT):
+        res = ranked.withColumn(out, (F.col("__rn") - 1).cast("long")).drop("__rn")
+        return Ordered(res.drop(FB) if fb == FB else res, 1, o.order, o.n)
+    counts = o.df.groupBy(fb).agg(F.count(F.lit(1)).alias("__n"))
+    base = _running_before(counts, "__n", [], fb, "__base").drop("__n")
+    res = (ranked.join(F.broadcast(base), fb)
            .withColumn(out, F.col("__base") + F.col("__rn") - 1).drop("__rn", "__base"))
+    if fb == FB:
+        res = res.drop(FB)
+    if o.nb == 1:
+        return Ordered(res, 1, o.order, o.n)
     # Several buckets = a large frame read by several branches downstream
     # (windows, summaries, joins): write the numbered frame once instead of
     # re-running its sort per branch or after a lost executor.
