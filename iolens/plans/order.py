@@ -188,8 +188,10 @@ def prefix_sum(o: Ordered, value, keys=(), seq: str = "seq", out: str = "cum") -
         # keyless: at most MAX_BUCKETS rows, broadcast; keyed: hash-joined per partition
         df = df.join(F.broadcast(base) if not keys else base.hint("shuffle_hash"), keys + [BKT], "left")
         df = df.withColumn(out, F.sum("__v").over(w) + F.coalesce(F.col("__pb"), F.lit(0))).drop("__pb")
-    else:
-        df = df.withColumn(out, F.sum("__v").over(w))
+        # the running sum is a sort of the whole frame and its consumers
+        # (per-key summaries and windows) read it more than once: write it once
+        return Ordered(materialized(df.drop("__v")), o.nb, o.order, o.n)
+    df = df.withColumn(out, F.sum("__v").over(w))
     return Ordered(df.drop("__v"), o.nb, o.order, o.n)
 
 
