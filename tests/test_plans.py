@@ -31,3 +31,14 @@ def test_trace_scan_prunes_columns(spark):
     p = plan(access.block_access_counts(V.trace(spark, SF)))
     schema = p.split("ReadSchema: ")[1].split("\n")[0]
     assert "event_type" not in schema and "ts" not in schema.replace("struct<", "")
+
+
+def test_multi_bucket_windows_hash_aggregate_and_hash_join(spark, small_buckets):
+    from iolens.operators import reuse
+    t = V.trace(spark, SF)
+    for df in (reuse.all_reuse_volume(t, V.TRACE_ORDER), reuse.first_reuse_segments(t, V.TRACE_ORDER),
+               reuse.first_arrival_rank(t, V.TRACE_ORDER)):
+        p = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in p
+    p = plan(reuse.reuse_gap_requests(t, V.TRACE_ORDER))
+    assert "ShuffledHashJoin" in p
