@@ -5,13 +5,15 @@ Spark a row number over an unpartitioned window would put the whole trace in
 one task, so positions are built in two levels:
 
 1. rows are cut into *buckets* that are contiguous ranges of the order key.
-   Bucket borders are approximate quantiles of the leading key column, so
-   buckets hold about ``rows_per_bucket`` rows each. A value of the leading
-   column that covers several quantiles (a hot timestamp) gets a bucket of its
-   own, which is then split again on the second key column.
-2. ``row_number`` inside a bucket plus the number of rows in all earlier
-   buckets. The per-bucket counts are a table of at most ``MAX_BUCKETS`` rows,
-   so broadcasting it is bounded.
+   Bucket borders are approximate quantiles of the leading key column. Fine
+   buckets (``_fb``, about rows_per_bucket / FINE_SPLIT rows) carry the row
+   numbering; coarse buckets (``_bkt``, about ``rows_per_bucket`` rows, runs
+   of consecutive fine buckets) partition the per-key windows. A value of the
+   leading column that covers several quantiles (a hot timestamp) gets fine
+   buckets of its own, split again on the second key column.
+2. ``row_number`` inside a fine bucket plus the number of rows in all earlier
+   fine buckets. The per-bucket counts are a table of at most ``MAX_BUCKETS``
+   rows, so broadcasting it is bounded.
 
 Per-key sequences (a block's previous access, its access rank) use windows
 partitioned by (key, bucket); the first row of a key inside a bucket takes
