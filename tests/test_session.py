@@ -9,3 +9,21 @@ def test_scratch_under_checkpoint_dir(spark):
     p = scratch_path(spark, "x")
     assert p.startswith(base.replace("file:", "")) and "iolens-scratch" in p
     assert scratch_path(spark, "x") != p
+
+
+def test_pandas_udf_query_runs_from_another_directory(tmp_path):
+    """The driver may import __spark_entry__ from elsewhere; Python workers then
+    get the package through addPyFile."""
+    import os
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        "import sys; sys.path.insert(0, %r)\n"
+        "from pyspark.sql import SparkSession\n"
+        "s = SparkSession.builder.master('local[2]').config('spark.ui.enabled','false').getOrCreate()\n"
+        "import __spark_entry__ as e\n"
+        "print('ROWS', e.queries()['forecast_hourly'](s, '/root/testdata/sf0.001').count())\n" % root)
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True,
+                         timeout=600, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
+    assert "ROWS" in out.stdout, out.stderr[-2000:]
