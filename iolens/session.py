@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,8 +47,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
     The folder named by ``spark.checkpoint.dir`` (or set on the context) is
-    used as is. Only when none is configured -- local tests -- a fresh folder
-    is created.
+    used as is. When none is configured a fresh folder is created, but only
+    for a local master: on several machines a machine-local folder would lose
+    rows, so that case raises.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
@@ -55,17 +57,26 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return d
     d = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = tempfile.mkdtemp(prefix="iolens-ckpt-")
     sc.setCheckpointDir(d)
     return sc.getCheckpointDir() or d
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared checkpoint folder (never reused)."""
-    base = ensure_checkpoint_dir(spark)
-    if base.startswith("file:"):
-        base = base[len("file:"):]
-    return os.path.join(base, "iolens-scratch", f"{name}-{uuid.uuid4().hex[:12]}")
+    """A fresh path under the shared checkpoint folder (never reused). The
+    folder's scheme is kept, so the path resolves on the same file system."""
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/iolens-scratch/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def clear_scratch(spark: SparkSession) -> bool:
+    """Delete what this application wrote with ``scratch_path``. Frames that
+    still read it can't be evaluated any more; call it when a job is done."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{ensure_checkpoint_dir(spark).rstrip('/')}/iolens-scratch")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 _SHIPPED: set[str] = set()
@@ -74,17 +85,14 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``iolens`` importable in the Python workers (pandas UDFs pickle
     references to its functions): zip the package once per application and
-    hand it to ``SparkContext.addPyFile``, which distributes it to executors."""
+    hand it to ``SparkContext.addPyFile``, which sends the driver's file to
+    every executor."""
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
     pkg = os.path.dirname(os.path.abspath(__file__))
     root = os.path.dirname(pkg)
-    base = ensure_checkpoint_dir(spark)
-    local = base.startswith("file:") or "://" not in base
-    folder = scratch_path(spark, "pyfiles") if local else tempfile.mkdtemp(prefix="iolens-pyfiles-")
-    os.makedirs(folder, exist_ok=True)
-    path = os.path.join(folder, "iolens.zip")
+    path = os.path.join(tempfile.mkdtemp(prefix="iolens-pyfiles-"), "iolens.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
         for d, _, files in os.walk(pkg):
             for f in files:

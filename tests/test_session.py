@@ -7,10 +7,22 @@ def test_scratch_under_checkpoint_dir(spark):
     base = ensure_checkpoint_dir(spark)
     assert base == spark.sparkContext.getCheckpointDir()
     p = scratch_path(spark, "x")
-    assert p.startswith(base.replace("file:", "")) and "iolens-scratch" in p
+    assert p.startswith(base) and "iolens-scratch" in p
     assert scratch_path(spark, "x") != p
 
 
+def test_no_private_folder_on_a_cluster(monkeypatch):
+    import types
+
+    import pytest
+
+    sc = types.SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077",
+                               getConf=lambda: types.SimpleNamespace(get=lambda k, d=None: d))
+    fake = types.SimpleNamespace(sparkContext=sc, conf=types.SimpleNamespace(get=lambda k, d=None: d))
+    with pytest.raises(RuntimeError):
+        ensure_checkpoint_dir(fake)
+
+
 def test_pandas_udf_query_runs_from_another_directory(tmp_path):
     """The driver may import __spark_entry__ from elsewhere; Python workers then
     get the package through addPyFile."""

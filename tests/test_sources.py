@@ -7,7 +7,7 @@ from iolens.sources import readers as R
 
 
 def _write(spark, name, text):
-    p = scratch_path(spark, name)
+    p = scratch_path(spark, name).removeprefix("file:")
     os.makedirs(p, exist_ok=True)
     with open(os.path.join(p, "part-0.csv"), "w") as f:
         f.write(text)
