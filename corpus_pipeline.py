@@ -1,5 +1,75 @@
-"""Corpus pipeline: documents to packed training sequences."""
+"""Corpus pipeline: documents to packed training sequences.
 
-STAGES = []
-QUERIES = {}
-SQL = {}
+Each stage takes ``(spark, docs, sf_dir)`` and works on all rows its predecessor
+kept; its result is written as Parquet and read again as the next one's ``docs``.
+All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from iolens.llm import langid, packing, quality, secrets, simhash
+from iolens.llm.common import prepare, table, written
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents whose language the model, learned from their labels, rejects."""
+    prepare(spark)
+    return docs.filter(langid.accepted(langid.fit(docs), F.col("text")))
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that fail the base rules or lie outside their language's perplexity band."""
+    prepare(spark)
+    return quality.filter_quality(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near copies the document with the smallest doc_id.
+    Of rows that repeat that doc_id one stays; rows without a doc_id go, as
+    they can't be told apart."""
+    prepare(spark)
+    groups = written(simhash.near_duplicates(docs), "pipeline-groups")
+    heads = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("head"))
+    n = heads.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("head").alias("ids")).first()
+    out = docs.join(heads.distinct(), docs["doc_id"].cast("long") == F.col("head"), "left_semi")
+    return out if n["rows"] == n["ids"] else out.dropDuplicates(["doc_id"])
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces the secrets in texts; no document goes."""
+    prepare(spark)
+    return secrets.redact(docs)
+
+
+def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents into sequences of 1024 tokens."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("quality_rules", quality_rules),
+    ("simhash_near_dedup", near_duplicates),
+    ("secret_scan", secret_scan),
+    ("best_fit_packing", best_fit_packing),
+]
+
+#: language models, perplexities, SimHash and tokenizers have no DuckDB SQL; tests/llm/test_pipeline.py
+#: holds every stage against brute force on its own input
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, one after another, over the documents."""
+    prepare(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": run}
+SQL: dict[str, str] = {}

@@ -1,10 +1,19 @@
 """Named queries of this subpackage: ``name -> fn(spark, sf_dir)``. None has an
-equivalent in plain SQL (tokenizers, trained models, hashing DuckDB lacks), so
+equivalent in plain SQL (tokenizers, trained models, hashes DuckDB lacks), so
 ``tests/llm`` holds them against brute force, round trips or held-out rows."""
 
+from iolens.llm.langid import op4_language_id
+from iolens.llm.licenses import op10_license_scan
+from iolens.llm.multi_index import op3_multi_index
+from iolens.llm.packing import op1_best_fit_packing
+from iolens.llm.pieces import op5_sentencepiece
+from iolens.llm.pii import op7_pii
+from iolens.llm.quality import op6_quality_rules
+from iolens.llm.secrets import op2_secret_scan
 from iolens.llm.simhash import op9_simhash_near_dedup
+from iolens.llm.tokenfile import op8_token_id_output
 
-QUERIES = {
-    "op9_simhash_near_dedup": op9_simhash_near_dedup,
-}
+QUERIES = {f.__name__: f for f in (
+    op1_best_fit_packing, op2_secret_scan, op3_multi_index, op4_language_id, op5_sentencepiece,
+    op6_quality_rules, op7_pii, op8_token_id_output, op9_simhash_near_dedup, op10_license_scan)}
 SQL: dict[str, str] = {}
