@@ -85,8 +85,6 @@ def op_indicator(opcode="opcode") -> Column:
 # Object-trace operation codes and their classes.
 GET_OPS = (2, 1, 5)
 PUT_OPS = (4, 3, 6)
-OP_NAMES = {1: "GET_TEMP", 2: "GET_PERM", 3: "PUT_TEMP", 4: "PUT_PERM",
-            5: "GET_NOT_INIT", 6: "PUT_NOT_INIT", 100: "UNKNOWN"}
 
 
 def op_class(op_name="op_name") -> Column:

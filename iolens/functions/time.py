@@ -23,7 +23,7 @@ def unit_micros(unit) -> int:
         return int(round(unit * 1_000_000))
     if unit in UNIT_MICROS:
         return UNIT_MICROS[unit]
-    raise ValueError("Invalid time unit, choose 'second', 'minute', or 'hour'.")
+    raise ValueError(f"no bin width called {unit!r}; use second, minute, hour or a number of seconds")
 
 
 def micros_to_datetime(c) -> Column:

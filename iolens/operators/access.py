@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 from iolens.functions.blocks import explode_blocks, idiv
 from iolens.functions.time import time_floor
 from iolens.operators import cdf
+from iolens.operators.cdf import join_on_keys
+from iolens.plans.order import join_null_safe, materialized
+from iolens.sources.readers import normalize_sector
 
 # Number of log-spaced edges of the access histogram; ranks.
 LOG_EDGES = 17
@@ -39,28 +42,26 @@ def access_count_distribution(counts: DataFrame, keys=()) -> DataFrame:
     return counts.groupBy(*list(keys), "accesses").agg(F.count(F.lit(1)).alias("blocks"))
 
 
-def access_histogram_log(counts: DataFrame, bins: int = LOG_EDGES - 1) -> DataFrame:
+def access_histogram_log(counts: DataFrame, bins: int = LOG_EDGES - 1, keys=()) -> DataFrame:
     """Blocks per log-spaced bin of the access count, edges from min to max
     (end edges pinned to the exact min and max, last bin closed)."""
-    spark = counts.sparkSession
-    dist = access_count_distribution(counts)
-    mm = dist.agg(F.min("accesses").alias("mn"), F.max("accesses").alias("mx"))
-    i = F.col("id")
+    keys = list(keys)
+    dist = materialized(access_count_distribution(counts, keys))  # one row per distinct count
+    mm = dist.groupBy(*keys).agg(F.min("accesses").alias("mn"), F.max("accesses").alias("mx"))
     l0, l1 = F.log10(F.col("mn")), F.log10(F.col("mx"))
-    edge = (F.when(i == 0, F.col("mn").cast("double")).when(i == bins, F.col("mx").cast("double"))
-            .otherwise(F.pow(F.lit(10.0), i * ((l1 - l0) / F.lit(float(bins))) + l0)))
-    edges = spark.range(bins + 1).withColumn("__k", F.lit(0)).join(
-        F.broadcast(mm.withColumn("__k", F.lit(0))), "__k").select(i.alias("i"), edge.alias("e"))
-    lo, hi = edges.alias("lo"), edges.alias("hi")
-    b = lo.join(hi, F.col("hi.i") == F.col("lo.i") + 1).select(
-        F.col("lo.i").alias("bin"), F.col("lo.e").alias("lo"), F.col("hi.e").alias("hi"))
-    # `dist` has one row per distinct count and `b` has `bins` rows: a small range join.
-    c = dist.join(F.broadcast(b), (F.col("accesses") >= F.col("lo")) &
-                  ((F.col("accesses") < F.col("hi")) |
-                   ((F.col("bin") == bins - 1) & (F.col("accesses") <= F.col("hi")))))
-    n = c.groupBy("bin").agg(F.sum("blocks").alias("blocks"))
-    return (b.join(n, "bin", "left")
-            .select("bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"),
+
+    def edge(i):
+        return (F.when(i == 0, F.col("mn").cast("double")).when(i == bins, F.col("mx").cast("double"))
+                .otherwise(F.pow(F.lit(10.0), i * ((l1 - l0) / F.lit(float(bins))) + l0)))
+    b = mm.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
+    b = b.select(*keys, "bin", edge(F.col("bin")).alias("lo"), edge(F.col("bin") + 1).alias("hi"))
+    # `bins` rows a key beside one row per distinct count: joined on the keys
+    j = join_on_keys(dist, b, keys)
+    inside = (F.col("accesses") >= F.col("lo")) & ((F.col("accesses") < F.col("hi")) |
+                                                   ((F.col("bin") == bins - 1) & (F.col("accesses") <= F.col("hi"))))
+    n = j.filter(inside).groupBy(*keys, "bin").agg(F.sum("blocks").alias("blocks"))
+    return (join_null_safe(b, n, [*keys, "bin"], "left")
+            .select(*keys, "bin", F.round("lo", 6).alias("lo"), F.round("hi", 6).alias("hi"),
                     F.coalesce("blocks", F.lit(0).cast("long")).alias("blocks")))
 
 
@@ -81,47 +82,49 @@ def access_count_cdf(counts: DataFrame, keys=()) -> DataFrame:
     return cdf.index_cdf(counts, "accesses", keys, out="accesses", one_based=True)
 
 
-def access_space(df: DataFrame, mode: str = "cover") -> DataFrame:
-    """(timestamp, device, block) for every access."""
-    return explode_blocks(df.select("device_id", "offset", "length", "timestamp"), mode) \
-        .select("timestamp", "device_id", "block")
+def _names(*cols) -> list:
+    return list(dict.fromkeys(cols))
 
 
-def access_arrival(df: DataFrame, ranks: DataFrame, mode: str = "cover") -> DataFrame:
-    """(timestamp, device, block, first-arrival rank) for every access."""
-    return access_space(df, mode).join(ranks.select("device_id", "block", "rank"), ["device_id", "block"])
+def access_space(df: DataFrame, mode: str = "cover", keys=()) -> DataFrame:
+    """(timestamp, device, block) for every access."""
+    return explode_blocks(df.select(*_names(*keys, "device_id", "offset", "length", "timestamp")), mode) \
+        .select(*_names(*keys, "timestamp", "device_id", "block"))
 
 
-def normalize_sector(df: DataFrame) -> DataFrame:
-    """Sector trace -> canonical bytes / microseconds (0 = R, 1 = W)."""
-    return df.select(
-        F.col("VolumeID").alias("device_id"),
-        F.when(F.col("IOType") == 0, "R").otherwise("W").alias("opcode"),
-        (F.col("Offset") * 512).alias("offset"), (F.col("Size") * 512).cast("int").alias("length"),
-        (F.col("Timestamp") * 1_000_000).alias("timestamp"))
+def access_arrival(df: DataFrame, ranks: DataFrame, mode: str = "cover", keys=()) -> DataFrame:
+    """(timestamp, device, block, first-arrival rank) for every access. Ranks
+    are one row per block; a hot block's accesses are counted by timestamp first,
+    so what meets at its rank is one row per (timestamp, block), then unfolded."""
+    by = _names(*keys, "device_id", "block")
+    times = access_space(df, mode, keys).groupBy(*_names(*by, "timestamp")).agg(F.count(F.lit(1)).alias("__n"))
+    j = join_null_safe(times, ranks.select(*by, "rank"), by)
+    return j.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(
+        *_names(*keys, "timestamp", "device_id", "block", "rank"))
 
 
-def access_pattern_sector(df: DataFrame, mode: str = "cover") -> DataFrame:
+def access_pattern_sector(df: DataFrame, mode: str = "cover", keys=()) -> DataFrame:
     """(timestamp, device, block) for every access of a sector trace."""
-    return access_space(normalize_sector(df), mode)
+    return access_space(normalize_sector(df, keys), mode, keys)
 
 
-def access_raw_offset(df: DataFrame) -> DataFrame:
+def access_raw_offset(df: DataFrame, keys=()) -> DataFrame:
     """(time in seconds, raw offset) per request of a sector trace."""
-    return df.select(F.col("Timestamp").alias("time_s"), F.col("Offset").alias("offset"))
+    return df.select(*keys, F.col("Timestamp").alias("time_s"), F.col("Offset").alias("offset"))
 
 
-def access_raw_offset_summary(df: DataFrame) -> DataFrame:
+def access_raw_offset_summary(df: DataFrame, keys=()) -> DataFrame:
     """X4 statistics: accesses per raw offset -> unique / min / max / mean."""
-    per = df.groupBy(F.col("Offset").alias("offset")).agg(F.count(F.lit(1)).alias("accesses"))
-    return access_summary(per).withColumnRenamed("unique_blocks", "unique_offsets")
+    keys = list(keys)
+    per = df.groupBy(*keys, F.col("Offset").alias("offset")).agg(F.count(F.lit(1)).alias("accesses"))
+    return access_summary(per, keys).withColumnRenamed("unique_blocks", "unique_offsets")
 
 
 def access_heatgrid(df: DataFrame, time_bin_s: int = 3600, block_bin: int = 1024,
-                    mode: str = "cover") -> DataFrame:
+                    mode: str = "cover", keys=()) -> DataFrame:
     """Accesses per (device, time bin, block bin) -- the scatter of X1-X4 at
     a size a chart can hold."""
-    ex = explode_blocks(df.select("device_id", "offset", "length", "timestamp"), mode)
-    return ex.groupBy("device_id", time_floor("timestamp", time_bin_s).alias("time_bin"),
+    ex = explode_blocks(df.select(*_names(*keys, "device_id", "offset", "length", "timestamp")), mode)
+    return ex.groupBy(*_names(*keys, "device_id"), time_floor("timestamp", time_bin_s).alias("time_bin"),
                       idiv("block", block_bin).alias("block_bin")).agg(F.count(F.lit(1)).alias("accesses"))
 

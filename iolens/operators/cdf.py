@@ -9,17 +9,17 @@ spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from iolens.plans.order import assign_buckets, materialized, prefix_sum
+from iolens.plans.order import BKT, FB, PLACE, assign_buckets, join_null_safe, materialized, prefix_sum
 
 
 def join_on_keys(df: DataFrame, small: DataFrame, keys) -> DataFrame:
     """Join a per-key table (one row per key); with no keys, on a constant."""
     keys = list(keys)
     if keys:
-        return df.join(small, keys)
+        return join_null_safe(df, small, keys)
     return df.withColumn("__one", F.lit(0)).join(
         F.broadcast(small.withColumn("__one", F.lit(0))), "__one").drop("__one")
 
@@ -37,10 +37,11 @@ def cumulative_histogram(df: DataFrame, x, keys=(), out: str = "x", weight: str
     xc = F.col(x) if isinstance(x, str) else x
     c = F.sum(weight) if weight else F.count(F.lit(1))
     h = df.groupBy(*keys, xc.alias(out)).agg(c.alias("cnt")).filter(F.col(out).isNotNull())
+    # the ranges are written: everything below reads the histogram, not the input
     o = assign_buckets(h, [out], materialize=materialize)
+    tot = o.df.groupBy(*keys).agg(F.sum("cnt").alias("n"))
     o = prefix_sum(o, "cnt", keys, seq=out, out="__cum")
-    tot = h.groupBy(*keys).agg(F.sum("cnt").alias("n"))
-    r = o.df.withColumn("cb", (F.col("__cum") - F.col("cnt")).cast("long")).drop("__cum", "_bkt", "_fb")
+    r = o.df.withColumn("cb", (F.col("__cum") - F.col("cnt")).cast("long")).drop("__cum", BKT, FB, PLACE)
     return join_on_keys(r, tot, keys)
 
 
@@ -56,29 +57,20 @@ def sampled_cdf(df: DataFrame, x: str, keys=(), points: int = 1000, out: str = "
     otherwise every rank i (1-based) with cdf i/n."""
     keys = list(keys)
     h = cumulative_histogram(df, x, keys, out)
-    tot = h.select(*keys, "n").distinct()
-    big = tot.filter(F.col("n") > points)
-    small = tot.filter(F.col("n") <= points)
-    j = F.col("point")
-    t_big = big.select(*keys, "n", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"))
-    t_big = t_big.select(
-        *keys, "point",
-        F.when(j == points - 1, F.col("n") - 1)
-        .otherwise((j * ((F.col("n") - 1) / F.lit(float(points - 1)))).cast("long")).alias("rank"),
-        F.when(j == points - 1, F.lit(1.0)).otherwise(j * F.lit(1.0 / (points - 1))).alias("cdf"))
-    t_small = small.select(*keys, "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("point"))
-    t_small = t_small.select(*keys, F.col("point").cast("int").alias("point"), F.col("point").alias("rank"),
-                             ((F.col("point") + 1) / F.col("n")).alias("cdf"))
-    targets = t_big.unionByName(t_small)
-    # value at a rank = value of the histogram row with the largest cb <= rank
-    marks = h.select(*keys, F.col("cb").alias("pos"), F.lit(0).alias("kind"), F.col(out).alias("__x"),
-                     F.lit(None).cast("int").alias("point"), F.lit(None).cast("double").alias("cdf"))
-    tq = targets.select(*keys, F.col("rank").alias("pos"), F.lit(1).alias("kind"),
-                        F.lit(None).cast(h.schema[out].dataType).alias("__x"), "point", "cdf")
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy("pos", "kind") \
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    u = marks.unionByName(tq).withColumn(out, F.last("__x", ignorenulls=True).over(w))
-    return u.filter(F.col("kind") == 1).select(*keys, "point", out, "cdf")
+    n, cb, cnt, j = F.col("n"), F.col("cb"), F.col("cnt"), F.col("point")
+    # a histogram row covers ranks cb .. cb + cnt - 1; the points whose rank falls there
+    # follow from the row alone: those near cb / step and (cb + cnt) / step, then tested
+    step = (n - 1) / F.lit(float(points - 1))
+    rank = F.when(j == points - 1, n - 1).otherwise((j * step).cast("long"))
+    near = F.sequence(F.greatest(F.lit(0).cast("long"), F.floor(cb / step) - 1),
+                      F.least(F.lit(points - 1).cast("long"), F.ceil((cb + cnt) / step) + 1))
+    big = (h.filter(n > points).withColumn("point", F.explode(near))
+           .filter((rank >= cb) & (rank < cb + cnt))
+           .withColumn("cdf", F.when(j == points - 1, F.lit(1.0)).otherwise(j * F.lit(1.0 / (points - 1)))))
+    small = (h.filter(n <= points).withColumn("point", F.explode(F.sequence(cb, cb + cnt - 1)))
+             .withColumn("cdf", (j + 1) / n))
+    cols = [*keys, j.cast("int").alias("point"), out, "cdf"]
+    return big.select(*cols).unionByName(small.select(*cols))
 
 
 def percent_cdf(df: DataFrame, x: str, keys=(), out: str = "x", stop: float = 100.0) -> DataFrame:
@@ -116,14 +108,6 @@ def quantile_from_histogram(h: DataFrame, q: float, keys=(), x: str = "__x", out
     return a.withColumn(out, val).drop("__lo", "__hi", "__pos")
 
 
-def exact_quantile(df: DataFrame, x: str, q: float, keys=(), out: str = "quantile") -> DataFrame:
-    """Exact quantile with linear interpolation at position (n-1)*q, from the
-    cumulative histogram: no group ever holds its distinct values in one map."""
-    keys = list(keys)
-    h = cumulative_histogram(df, x, keys, out="__x")
-    return quantile_from_histogram(h, q, keys, out=out)
-
-
 def histogram_stats(df: DataFrame, x: str, q: float, keys=(), out: str = "quantile", extra=()) -> DataFrame:
     """Exact quantile of ``x`` per key plus aggregates over the histogram (columns
     __x and cnt available to ``extra``). The value -> count histogram is written

@@ -1,8 +1,8 @@
 """Clustering and projection (M2-M5) with Spark ML on feature tables.
 
 Feature tables hold one row per device or per time window, so they are small
-next to the trace; they are cached because k-means and PCA pass over them
-several times.
+next to the trace; they are written once (``materialized``) because fitting and
+transforming pass over them several times.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from iolens.plans.order import materialized
+
 SEED = 42  # fixed value: the reference's random state
 
 
@@ -30,6 +32,7 @@ def pca_fit(df: DataFrame, cols, k: int = 2):
 
 def pca_project(df: DataFrame, cols, keys=(), k: int = 2) -> DataFrame:
     """M2: the first k principal components of every row (largest-|loading| positive)."""
+    df = materialized(df)
     model, _, signs = pca_fit(df, cols, k)
     arr = vector_to_array(F.col("pcs"))
     out = model.transform(_vec(df, cols))
@@ -38,13 +41,14 @@ def pca_project(df: DataFrame, cols, keys=(), k: int = 2) -> DataFrame:
 
 def pca_loadings(df: DataFrame, cols, k: int = 2) -> DataFrame:
     """M2: k x p loading matrix, one row per component."""
+    df = materialized(df)
     _, pc, signs = pca_fit(df, cols, k)
     rows = [(f"PCA{j + 1}", *[float(pc[i, j] * signs[j]) for i in range(len(cols))]) for j in range(k)]
     return df.sparkSession.createDataFrame(rows, ["component", *cols])
 
 
 def kmeans_fit(df: DataFrame, cols, k: int, seed: int = SEED):
-    data = _vec(df, cols).cache()
+    data = _vec(materialized(df), cols)
     return KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster").fit(data), data
 
 
@@ -63,7 +67,7 @@ def kmeans_centers(df: DataFrame, cols, k: int, seed: int = SEED) -> DataFrame:
 
 def kmeans_elbow(df: DataFrame, cols, ks=range(2, 12), seed: int = SEED) -> DataFrame:
     """M5: within-cluster sum of squares for each k (k >= distinct points skipped)."""
-    data = _vec(df, cols).cache()
+    data = _vec(materialized(df), cols)
     distinct = data.select(*cols).distinct().count()
     rows = []
     for k in ks:

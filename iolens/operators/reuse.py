@@ -13,120 +13,139 @@ from pyspark.sql import functions as F
 
 from iolens.functions.blocks import (BLOCK_SIZE, block_of_offset, col_floordiv, end_block, explode_blocks,
                                      idiv)
-from iolens.plans.order import BKT, Ordered, global_index, keyed_prev, number_rows, prefix_sum
+from iolens.operators.cdf import histogram_stats, join_on_keys
+from iolens.plans.order import (BKT, Ordered, global_index, join_null_safe, keyed_prev, materialized,
+                                number_in_cells, prefix_sum)
 
 TRACE_COLS = ("device_id", "opcode", "offset", "length", "timestamp")
 
 
-def request_sequence(df: DataFrame, order, out: str = "seq") -> DataFrame:
-    """0-based position of every request in time order."""
-    return global_index(df, order, out).df.drop(BKT)
+def request_sequence(df: DataFrame, order, out: str = "seq", keys=()) -> DataFrame:
+    """0-based position of every request in time order (``keys``: in its cell)."""
+    return number_in_cells(df, order, keys, out).df.drop(BKT)
 
 
-def _seq(df: DataFrame, order, cols) -> Ordered:
-    keep = list(dict.fromkeys(list(cols) + list(order)))
-    return global_index(df.select(*keep), order)
+def _seq(df: DataFrame, order, cols, keys=()) -> Ordered:
+    keep = list(dict.fromkeys(list(keys) + list(cols) + list(order)))
+    return number_in_cells(df.select(*keep), order, keys)
 
 
 def _with(o: Ordered, df: DataFrame) -> Ordered:
     return Ordered(df, o.nb, o.order, o.n)
 
 
-def reuse_gap_requests(df: DataFrame, order, mode: str = "count") -> DataFrame:
-    """Per (device, block), any op: requests since the block's previous access."""
-    o = _seq(df, order, TRACE_COLS)
-    ex = _with(o, explode_blocks(o.df, mode).select("device_id", "block", "seq", BKT))
-    p = keyed_prev(ex, ["device_id", "block"], ["seq"]).df
+def _names(*cols) -> list:
+    return list(dict.fromkeys(cols))
+
+
+def reuse_gap_requests(df: DataFrame, order, mode: str = "count", keys=()) -> DataFrame:
+    """Per (device, block), any op: requests since the block's previous access.
+    ``keys``: one run per cell, positions restart in each."""
+    o = _seq(df, order, TRACE_COLS, keys)
+    by = _names(*keys, "device_id", "block")
+    ex = _with(o, explode_blocks(o.df, mode).select(*by, "seq", BKT))
+    p = keyed_prev(ex, by, ["seq"]).df
     return (p.filter(F.col("prev_seq").isNotNull())
-            .select("device_id", "block", "seq", (F.col("seq") - F.col("prev_seq")).alias("gap")))
+            .select(*by, "seq", (F.col("seq") - F.col("prev_seq")).alias("gap")))
 
 
-def reuse_gap_by_op(df: DataFrame, order) -> DataFrame:
+def reuse_gap_by_op(df: DataFrame, order, keys=()) -> DataFrame:
     """Per (op, device, first block): requests since the previous same-op access;
-    positions count all requests."""
-    o = _seq(df, order, TRACE_COLS)
-    ex = _with(o, o.df.select("opcode", "device_id", block_of_offset().alias("block"), "seq", BKT))
-    p = keyed_prev(ex, ["opcode", "device_id", "block"], ["seq"]).df
+    positions count all requests (``keys``: of the cell)."""
+    o = _seq(df, order, TRACE_COLS, keys)
+    by = _names(*keys, "opcode", "device_id", "block")
+    ex = _with(o, o.df.withColumn("block", block_of_offset()).select(*by, "seq", BKT))
+    p = keyed_prev(ex, by, ["seq"]).df
     return (p.filter(F.col("prev_seq").isNotNull())
-            .select("opcode", "device_id", "block", "seq", (F.col("seq") - F.col("prev_seq")).alias("gap")))
+            .select(*by, "seq", (F.col("seq") - F.col("prev_seq")).alias("gap")))
 
 
-def reuse_gap_seconds(df: DataFrame, order, unit: int = 512) -> DataFrame:
+def reuse_gap_seconds(df: DataFrame, order, unit: int = 512, keys=()) -> DataFrame:
     """W4 (sector trace): per (volume, Offset // 512), any op: seconds since the previous access."""
-    o = _seq(df, order, ("VolumeID", "Offset", "Timestamp"))
-    ex = _with(o, o.df.select("VolumeID", idiv("Offset", unit).alias("block"), "Timestamp", "seq", BKT))
-    p = keyed_prev(ex, ["VolumeID", "block"], ["Timestamp"]).df
-    return (p.filter(F.col("prev_Timestamp").isNotNull())
-            .select("VolumeID", "block", "seq",
-                    (F.col("Timestamp") - F.col("prev_Timestamp")).cast("double").alias("gap_s")))
+    o = _seq(df, order, ("VolumeID", "Offset", "Timestamp"), keys)
+    by = _names(*keys, "VolumeID", "block")
+    ex = _with(o, o.df.withColumn("block", idiv("Offset", unit)).select(*_names(*by, "Timestamp", "seq", BKT)))
+    p = keyed_prev(ex, by, ["Timestamp", "seq"]).df
+    return (p.filter(F.col("prev_seq").isNotNull())
+            .select(*by, "seq", (F.col("Timestamp") - F.col("prev_Timestamp")).cast("double").alias("gap_s")))
 
 
-def object_reuse_gap(df: DataFrame, order) -> DataFrame:
+def object_reuse_gap(df: DataFrame, order, keys=()) -> DataFrame:
     """W5 (object trace): per block_id: requests since its previous access."""
-    o = _seq(df, order, ("block_id",))
-    p = keyed_prev(o, ["block_id"], ["seq"]).df
+    o = _seq(df, order, ("block_id",), keys)
+    by = _names(*keys, "block_id")
+    p = keyed_prev(o, by, ["seq"]).df
     return (p.filter(F.col("prev_seq").isNotNull())
-            .select("block_id", "seq", (F.col("seq") - F.col("prev_seq")).alias("gap")))
+            .select(*by, "seq", (F.col("seq") - F.col("prev_seq")).alias("gap")))
 
 
-def _volume(df: DataFrame, order, mode: str, keys, rank: bool) -> DataFrame:
+def _volume(o: Ordered, mode: str, keys, rank: bool) -> DataFrame:
     """Accesses with the summed same-op length strictly between them and the
-    previous access of the block (same op), as a block count minus one."""
+    previous access of the block (same op), as a block count minus one. ``o``: the
+    numbered trace."""
     keys = list(keys)
-    o = _seq(df, order, list(dict.fromkeys(keys + list(TRACE_COLS))))
-    o = prefix_sum(o, F.col("length").cast("long"), keys + ["opcode"], out="cum")
-    ex = _with(o, explode_blocks(o.df, mode).select(*keys, "opcode", "device_id", "block", "seq",
-                                                     "length", "cum", BKT))
-    bkeys = list(dict.fromkeys(keys + ["opcode", "device_id", "block"]))
+    o = prefix_sum(o, F.col("length").cast("long"), _names(*keys, "opcode"), out="cum")
+    ex = _with(o, explode_blocks(o.df, mode).select(*_names(*keys, "opcode", "device_id", "block", "seq",
+                                                            "length", "cum", BKT)))
+    bkeys = _names(*keys, "opcode", "device_id", "block")
     p = keyed_prev(ex, bkeys, ["seq", "cum"], rank="access" if rank else None).df
     between = F.col("cum") - F.col("length").cast("long") - F.col("prev_cum")
     return p.withColumn("distance", idiv(between - BLOCK_SIZE, BLOCK_SIZE))
 
 
+def _volume_cols(keys) -> list:
+    return _names(*keys, "opcode", "device_id", "block", "seq", "distance")
+
+
 def all_reuse_volume(df: DataFrame, order, mode: str = "floor", keys=()) -> DataFrame:
     """For every re-access of (op, device, block): floor((bytes of same-op
-    requests strictly between - 4096) / 4096); an adjacent re-access gives -1."""
-    v = _volume(df, order, mode, keys, rank=False)
-    return (v.filter(F.col("prev_seq").isNotNull())
-            .select(*dict.fromkeys(list(keys) + ["opcode", "device_id", "block", "seq", "distance"])))
+    requests strictly between - 4096) / 4096); an adjacent re-access gives -1.
+    ``keys``: sums and previous accesses of each cell; ``seq`` is the place in the trace."""
+    v = _volume(_seq(df, order, [*keys, *TRACE_COLS]), mode, keys, rank=False)
+    return v.filter(F.col("prev_seq").isNotNull()).select(*_volume_cols(keys))
 
 
 def first_reuse_volume(df: DataFrame, order, mode: str = "floor", keys=(), access: int = 2) -> DataFrame:
     """W6 (access=2): the volume distance at a block's first re-access only.
     W13 (access=3): at its second re-access."""
-    v = _volume(df, order, mode, keys, rank=True)
-    return (v.filter(F.col("access") == access)
-            .select(*dict.fromkeys(list(keys) + ["opcode", "device_id", "block", "seq", "distance"])))
+    v = _volume(_seq(df, order, [*keys, *TRACE_COLS]), mode, keys, rank=True)
+    return v.filter(F.col("access") == access).select(*_volume_cols(keys))
 
 
-def annotate_first_reuse(df: DataFrame, order, ops=("R", "W"), mode: str = "floor") -> DataFrame:
+def annotate_first_reuse(df: DataFrame, order, ops=("R", "W"), mode: str = "floor", keys=()) -> DataFrame:
     """The trace with blk_id, end_blk_id and first_rd (-1 unless a block of the
-    request has its first re-access here; then the value of its highest such block)."""
-    o = _seq(df, order, TRACE_COLS)
-    first = first_reuse_volume(df, order, mode).filter(F.col("opcode").isin(*ops))
-    per_req = first.groupBy("seq").agg(F.max_by("distance", "block").alias("__rd"))
-    return (o.df.drop(BKT).join(per_req, "seq", "left")
-            .select(*TRACE_COLS, "seq",
+    request has its first re-access here; then the value of its highest such block).
+    The trace is ordered and written once, for the distances and for the result."""
+    keys = list(keys)
+    o = _seq(df, order, [*keys, *TRACE_COLS])
+    first = _volume(o, mode, keys, rank=True).filter((F.col("access") == 2) & F.col("opcode").isin(*ops))
+    per_req = first.groupBy(*keys, "seq").agg(F.max_by("distance", "block").alias("__rd"))
+    return (join_null_safe(o.df.drop(BKT), per_req, [*keys, "seq"], "left")
+            .select(*_names(*keys, *TRACE_COLS, "seq"),
                     block_of_offset().alias("blk_id"), end_block().alias("end_blk_id"),
                     F.coalesce("__rd", F.lit(-1).cast("long")).alias("first_rd")))
 
 
-def first_reuse_segments(df: DataFrame, order) -> DataFrame:
-    """Per op over the whole frame, first block of each request. At a block's
-    first re-access emit the number of distinct blocks seen since the previous
-    emission (emitting accesses are not recorded), then start a new segment."""
-    o = _seq(df, order, TRACE_COLS)
-    b = _with(o, o.df.select("opcode", "device_id", block_of_offset().alias("block"), "seq", BKT))
-    r = keyed_prev(b, ["opcode", "device_id", "block"], [], rank="access")
+def first_reuse_segments(df: DataFrame, order, keys=()) -> DataFrame:
+    """Per op over the whole frame (``keys``: over each cell), first block of
+    each request. At a block's first re-access emit the number of distinct blocks
+    seen since the previous emission (emitting accesses are not recorded), then
+    start a new segment."""
+    keys = list(keys)
+    o = _seq(df, order, TRACE_COLS, keys)
+    by = _names(*keys, "opcode", "device_id", "block")
+    ops = _names(*keys, "opcode")
+    b = _with(o, o.df.withColumn("block", block_of_offset()).select(*by, "seq", BKT))
+    r = keyed_prev(b, by, [], rank="access")
     r = _with(o, r.df.withColumn("isF", (F.col("access") == 2).cast("long")))
-    s = prefix_sum(r, "isF", ["opcode"], out="cumF").df.withColumn("seg", F.col("cumF") - F.col("isF"))
+    s = prefix_sum(r, "isF", ops, out="cumF").df.withColumn("seg", F.col("cumF") - F.col("isF"))
     # distinct count per segment: Spark plans it as a two-phase aggregate keyed by
     # (opcode, seg, device, block) first, so a long segment is still split.
-    d = (s.filter(F.col("isF") == 0).groupBy("opcode", "seg")
-         .agg(F.countDistinct("device_id", "block").alias("distance")))
-    e = s.filter(F.col("isF") == 1).select("opcode", "seg", "seq", "device_id", "block")
-    return (e.join(d, ["opcode", "seg"], "left")
-            .select("opcode", "seq", "device_id", "block",
+    d = (s.filter(F.col("isF") == 0).groupBy(*ops, "seg")
+         .agg(F.countDistinct(F.struct("device_id", "block")).alias("distance")))
+    e = s.filter(F.col("isF") == 1).select(*_names(*ops, "seg", "seq", "device_id", "block"))
+    return (join_null_safe(e, d, [*ops, "seg"], "left")
+            .select(*_names(*ops, "seq", "device_id", "block"),
                     F.coalesce("distance", F.lit(0).cast("long")).alias("distance")))
 
 
@@ -134,58 +153,55 @@ def inter_arrival(df: DataFrame, order, keys=("device_id",), ts: str = "timestam
                   extra=()) -> DataFrame:
     """Ts - previous ts in request order per key; the first row gets 0."""
     keys = list(keys)
-    o = _seq(df, order, list(dict.fromkeys(keys + [ts] + list(extra))))
+    o = global_index(df.select(*_names(*keys, ts, *extra, *order)), order)
     p = keyed_prev(o, keys, [ts]).df
     return p.drop(BKT).withColumn(
         "inter_arrival", F.coalesce(F.col(ts) - F.col("prev_" + ts), F.lit(0).cast("long"))
     ).drop("prev_" + ts)
 
 
-def first_arrival_rank(df: DataFrame, order, mode: str = "cover") -> DataFrame:
+def first_arrival_rank(df: DataFrame, order, mode: str = "cover", keys=()) -> DataFrame:
     """0-based id of every (device, block) in order of first appearance
-    (request order, then block order inside a request)."""
-    o = _seq(df, order, TRACE_COLS)
-    ex = explode_blocks(o.df, mode)
-    # the first access's request bucket orders blocks by first appearance too
-    # buckets grow with seq, so min(bucket) is the first access's bucket; two
-    # primitive minima keep this a hash aggregate
-    firsts = ex.groupBy("device_id", "block").agg(F.min("seq").alias("first_seq"), F.min(BKT).alias(BKT))
-    return number_rows(Ordered(firsts, o.nb, ("first_seq", "block")), "rank").df.drop(BKT)
+    (request order, then block order inside a request); ``keys``: in each cell.
+    First accesses are numbered in ranges of their own order, so the many of a
+    trace's beginning are spread."""
+    o = _seq(df, order, TRACE_COLS, keys)
+    firsts = explode_blocks(o.df, mode).groupBy(*_names(*keys, "device_id", "block")).agg(F.min("seq").alias("first_seq"))
+    return number_in_cells(materialized(firsts), ("first_seq", "block", "device_id"), keys, "rank").df.drop(BKT)
 
 
 def reuse_stats(distances: DataFrame, keys=("opcode",), col: str = "distance") -> DataFrame:
     """Per op, count / mean / median / max / min of the distances."""
-    from iolens.operators.cdf import histogram_stats
     keys = list(keys)
     # all statistics from one value -> count histogram (distinct distances grow
     # with the trace, so the median is never a per-group map of raw values)
     n = F.sum("cnt")
     stats = histogram_stats(
         distances, col, 0.5, keys, out="median_distance",
-        extra=[n.alias("reuse_count"), (F.sum(F.col("__x") * F.col("cnt")) / n).alias("mean_distance"),
+        extra=[n.alias("reuse_count"),
+               # decimal: the sum of long distances passes a bigint on long traces
+               (F.sum(F.col("__x").cast("decimal(19,0)") * F.col("cnt").cast("decimal(19,0)")).cast("double") / n)
+               .alias("mean_distance"),
                F.max("__x").alias("max_distance"), F.min("__x").alias("min_distance")])
     return stats.select(*keys, "reuse_count", "mean_distance", "median_distance", "max_distance",
                         "min_distance")
 
 
-def reuse_histogram(distances: DataFrame, col: str = "gap", bins: int = 50) -> DataFrame:
+def reuse_histogram(distances: DataFrame, col: str = "gap", bins: int = 50, keys=()) -> DataFrame:
     """Equal-width bins between min and max (last bin closed); empty bins kept.
     Bin index is exact integer arithmetic: least((x-min)*bins div (max-min), bins-1)."""
-    spark = distances.sparkSession
-    mm = distances.agg(F.min(col).alias("mn"), F.max(col).alias("mx"))
+    keys = list(keys)
+    distances = materialized(distances.select(*keys, col))  # read for its bounds and for its bins
+    mm = distances.groupBy(*keys).agg(F.min(col).alias("mn"), F.max(col).alias("mx"))
     x = F.col(col)
     span = F.col("mx") - F.col("mn")
     b = F.when(span == 0, F.lit(0).cast("long")).otherwise(
         F.least(col_floordiv((x - F.col("mn")) * bins, span), F.lit(bins - 1)).cast("long"))
-    # mm is a single row: joined on a constant
-    j = distances.select(col).withColumn("__k", F.lit(0)).join(
-        F.broadcast(mm.withColumn("__k", F.lit(0))), "__k")
-    counts = j.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    grid = spark.range(bins).select(F.col("id").alias("bin"), F.lit(0).alias("__k")).join(
-        F.broadcast(mm.withColumn("__k", F.lit(0))), "__k")
+    counts = join_on_keys(distances, mm, keys).filter(x.isNotNull()).groupBy(*keys, b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    grid = mm.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(bins - 1).cast("long"))).alias("bin"))
     step = (F.col("mx") - F.col("mn")) / F.lit(float(bins))
-    return (grid.join(counts, "bin", "left")
-            .select("bin",
+    return (join_null_safe(grid, counts, [*keys, "bin"], "left")
+            .select(*keys, "bin",
                     (F.col("mn") + F.col("bin") * step).alias("lo"),
                     F.when(F.col("bin") == bins - 1, F.col("mx").cast("double"))
                     .otherwise(F.col("mn") + (F.col("bin") + 1) * step).alias("hi"),

@@ -5,20 +5,25 @@ the whole trace. The forecast re-aims the reference's ARIMA(p, 1, q) fit:
 Hannan-Rissanen -- a long autoregression gives residual estimates, then
 ordinary least squares on lags of the differenced series and of those
 residuals -- fitted on the training part of each series inside
-``applyInPandas`` keyed by the series key. Each group is one key's hourly
-series, so its size is bounded by the number of hours, not by the trace.
+``applyInPandas`` keyed by the series key. Fits that are not stationary or not
+invertible are rejected, and the orders are chosen on a held-out tail. Each
+group is one key's hourly series, bounded by the number of hours, not by the trace.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from iolens.functions.time import unit_micros
+from iolens.operators.cdf import join_on_keys
 from iolens.operators.rates import hourly_mean_size
 from iolens.plans.grid import fill_grid
+from iolens.plans.order import join_null_safe, materialized
 
 HOUR_US = unit_micros("hour")
 TRAIN_SHARE = 0.8  # fixed value: first int(0.8 n) points train
@@ -27,18 +32,17 @@ TRAIN_SHARE = 0.8  # fixed value: first int(0.8 n) points train
 def hourly_series_filled(df: DataFrame, keys=("device_id",)) -> DataFrame:
     """M6: A20 on a regular hourly grid per key; hours without requests are null."""
     keys = list(keys)
-    a = hourly_mean_size(df, keys)
+    a = materialized(hourly_mean_size(df, keys))  # read for the bounds and for the hours
     bounds = a.groupBy(*keys).agg(F.min("hour").alias("lo"), F.max("hour").alias("hi"))
     grid = fill_grid(bounds, keys, "lo", "hi", HOUR_US, "hour")
-    return grid.join(a, keys + ["hour"], "left")
+    return join_null_safe(grid, a, keys + ["hour"], "left")
 
 
 def chrono_split(series: DataFrame, keys=("device_id",), share: float = TRAIN_SHARE) -> DataFrame:
     """M7: per key the first int(share * n) grid points are 'train', the rest 'test'."""
     keys = list(keys)
     b = series.groupBy(*keys).agg(F.min("hour").alias("__h0"), F.count(F.lit(1)).alias("__n"))
-    j = series.join(b, keys) if keys else series.withColumn("__k", F.lit(0)).join(
-        F.broadcast(b.withColumn("__k", F.lit(0))), "__k").drop("__k")
+    j = join_on_keys(series, b, keys)
     idx = ((F.col("hour") - F.col("__h0")) / F.lit(HOUR_US)).cast("long")
     ntrain = (F.col("__n") * F.lit(share)).cast("long")
     return j.withColumn("split", F.when(idx < ntrain, "train").otherwise("test")).drop("__h0", "__n")
@@ -55,66 +59,143 @@ def _lagmat(x: np.ndarray, k: int) -> np.ndarray:
 
 def _ols(y, x):
     ok = ~np.isnan(y) & ~np.isnan(x).any(axis=1)
-    if ok.sum() <= x.shape[1]:
+    if ok.sum() <= 2 * (x.shape[1] + 1):
         return None, ok
     xx = np.column_stack([np.ones(ok.sum()), x[ok]])
     coef, *_ = np.linalg.lstsq(xx, y[ok], rcond=None)
     return coef, ok
 
 
-def fit_forecast(values: np.ndarray, steps: int, p: int, q: int, long_ar: int | None = None) -> np.ndarray:
-    """Hannan-Rissanen ARMA(p, q) on the first difference of ``values`` (NaN = missing),
-    rolled out ``steps`` ahead and integrated back. Rows with a missing lag are dropped,
-    never filled. Orders shrink until the fit is determined."""
-    y = np.asarray(values, dtype=float)
-    if steps <= 0:
-        return np.array([])
-    last = y[~np.isnan(y)][-1] if (~np.isnan(y)).any() else np.nan
-    d = np.diff(y)
-    while True:
+def _stable(coef: np.ndarray) -> bool:
+    """Whether the recursion x_t = sum coef_j x_(t-j) dies out."""
+    if not len(coef):
+        return True
+    m = np.zeros((len(coef), len(coef)))
+    m[0] = coef
+    m[1:, :-1] += np.eye(len(coef) - 1)
+    return bool(np.abs(np.linalg.eigvals(m)).max() < 0.999)
+
+
+@dataclass
+class Fit:
+    """ARMA(p, q) on differences: intercept, AR and MA coefficients, residuals."""
+    p: int
+    q: int
+    c: float
+    ar: np.ndarray
+    ma: np.ndarray
+    resid: np.ndarray
+
+
+def fit_arma(d: np.ndarray, p: int, q: int, long_ar: int | None = None) -> Fit | None:
+    """Hannan-Rissanen fit; None if the data don't determine it, the AR part is not
+    stationary or the MA part not invertible. Rows with a missing lag are left out."""
+    e = np.full(len(d), np.nan)
+    x = _lagmat(d, p)
+    if q:
         m = long_ar or max(p + q, 10)
         a, ok = _ols(d, _lagmat(d, m)) if len(d) > m else (None, None)
-        if a is not None:
-            e = np.full(len(d), np.nan)
-            e[ok] = d[ok] - np.column_stack([np.ones(ok.sum()), _lagmat(d, m)[ok]]) @ a
-            x = np.column_stack([_lagmat(d, p), _lagmat(e, q)]) if q else _lagmat(d, p)
-            b, ok2 = _ols(d, x)
-            if b is not None:
-                break
-        if p <= 1 and q == 0:
-            return np.full(steps, last)  # not enough data: last value
-        p, q = max(1, p // 2), q // 2
-    dh = list(np.nan_to_num(d[-p:] if p else [], nan=0.0))
-    eh = list(np.nan_to_num(e[-q:], nan=0.0)) if q else []
-    out, level = [], last
-    for _ in range(steps):
-        lags = dh[::-1][:p]
-        elag = eh[::-1][:q]
-        step = b[0] + float(np.dot(b[1:1 + p], lags)) + (float(np.dot(b[1 + p:], elag)) if q else 0.0)
-        level = level + step
+        if a is None:
+            return None
+        e[ok] = d[ok] - np.column_stack([np.ones(ok.sum()), _lagmat(d, m)[ok]]) @ a
+        x = np.column_stack([x, _lagmat(e, q)])
+    b, ok = _ols(d, x)
+    if b is None:
+        return None
+    ar, ma = b[1:1 + p], b[1 + p:]
+    if not (_stable(ar) and _stable(-ma)):
+        return None
+    e[ok] = d[ok] - np.column_stack([np.ones(ok.sum()), x[ok]]) @ b
+    return Fit(p, q, float(b[0]), ar, ma, e)
+
+
+def roll_out(y: np.ndarray, fit: Fit | None, steps: int) -> np.ndarray:
+    """Levels of the ``steps`` hours after the last one of ``y``. The recursion
+    starts at the last observed hour, so hours missing at the end are forecast
+    too; before it, a missing difference counts as its expectation."""
+    seen = np.flatnonzero(~np.isnan(y))
+    if not len(seen):
+        return np.full(steps, np.nan)
+    last = int(seen[-1])
+    if fit is None:
+        return np.full(steps, y[last])
+    mean = fit.c / (1 - fit.ar.sum()) if fit.p else fit.c
+    d = np.diff(y[:last + 1])
+    dh = [mean if np.isnan(v) else v for v in d[::-1][:fit.p]] + [mean] * max(0, fit.p - len(d))
+    eh = [0.0 if np.isnan(v) else v for v in fit.resid[:last][::-1][:fit.q]] + [0.0] * max(0, fit.q - last)
+    level, out = float(y[last]), []
+    for _ in range(len(y) - 1 - last + steps):
+        step = fit.c + float(np.dot(fit.ar, dh)) + float(np.dot(fit.ma, eh))
+        level += step
         out.append(level)
-        dh.append(step)
-        if q:
-            eh.append(0.0)
-    return np.array(out)
+        dh, eh = [step, *dh][:fit.p], [0.0, *eh][:fit.q]
+    return np.array(out[len(out) - steps:])
+
+
+def candidate_orders(p: int, q: int) -> list[tuple[int, int]]:
+    """The wanted orders and their halvings, down to a plain mean of differences."""
+    out = [(p, q)]
+    while (p, q) != (0, 0):
+        p, q = p // 2, q // 2
+        out.append((p, q))
+    return out
+
+
+def fit_forecast(values: np.ndarray, steps: int, p: int, q: int) -> tuple[np.ndarray, int, int]:
+    """ARIMA(p', 1, q') forecast of ``values`` (NaN = missing) ``steps`` hours ahead,
+    and the orders used. The orders are chosen among the wanted ones and their
+    halvings on a tail of the training part (its last fifth, at most ``steps``
+    hours), by mean absolute error, against repeating the last value, which has
+    orders (0, 0) and is used when no stable fit does better. Forecasts that leave
+    ten times the largest absolute training value are not stable either."""
+    y = np.asarray(values, dtype=float)
+    if steps <= 0:
+        return np.array([]), 0, 0
+    if np.isnan(y).all():
+        return np.full(steps, np.nan), 0, 0
+    bound = 10 * np.nanmax(np.abs(y))
+    tail = max(1, min(steps, len(y) // 5))
+    head, held = y[:len(y) - tail], y[len(y) - tail:]
+
+    def error(fit) -> float:
+        out = roll_out(head, fit, tail)
+        miss = np.abs(out - held)[~np.isnan(held)]
+        return float(np.mean(miss)) if len(miss) and np.nanmax(np.abs(out)) <= bound else np.inf
+
+    ranked = []
+    if (~np.isnan(head)).any() and (~np.isnan(held)).any():
+        last = error(None)
+        for a, b in candidate_orders(p, q):
+            fit = fit_arma(np.diff(head), a, b)
+            if fit is not None and (e := error(fit)) < last:
+                ranked.append((e, a, b))
+    for _, a, b in sorted(ranked):
+        fit = fit_arma(np.diff(y), a, b)
+        if fit is not None:
+            out = roll_out(y, fit, steps)
+            if np.abs(out).max() <= bound:
+                return out, a, b
+    return roll_out(y, None, steps), 0, 0
 
 
 def forecast_hourly(df: DataFrame, keys=("device_id",), p: int = 20, q: int = 15) -> DataFrame:
     """M8: per key, fit on the train part of the hourly series and forecast every
-    test hour. Output (keys, hour, actual, forecast)."""
+    test hour. Output (keys, hour, actual, forecast, ar_order, ma_order): the orders
+    used, which are at most the wanted ones."""
     keys = list(keys)
     s = chrono_split(hourly_series_filled(df, keys), keys)
     kschema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in s.schema.fields if f.name in keys)
-    schema = (kschema + ", " if kschema else "") + "hour bigint, actual double, forecast double"
+    schema = (kschema + ", " if kschema else "") + "hour bigint, actual double, forecast double, ar_order int, ma_order int"
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("hour")
         tr = pdf[pdf["split"] == "train"]
         te = pdf[pdf["split"] == "test"]
-        fc = fit_forecast(tr["mean_size"].to_numpy(dtype=float), len(te), p, q)
+        fc, ar, ma = fit_forecast(tr["mean_size"].to_numpy(dtype=float), len(te), p, q)
         out = te[keys + ["hour"]].copy()
         out["actual"] = te["mean_size"].astype(float).to_numpy()
         out["forecast"] = fc
+        out["ar_order"], out["ma_order"] = ar, ma
         return out
 
     g = s.groupBy(*keys) if keys else s.groupBy(F.lit(0).alias("__k"))

@@ -22,11 +22,10 @@ def size_p99(df: DataFrame, keys=(), op: str = "opcode", size_kb=None, p: float
     """A10: P99 of request size in KB per op, linear interpolation. An absent op has no row."""
     keys = list(keys)
     kb = size_kb if size_kb is not None else F.col("length") / F.lit(1024.0)
-    # Spark's exact `percentile` keeps a value -> count map per group; request
-    # sizes have few distinct values (bounded by the largest request / 512), so
-    # the map stays small at any trace size. Reuse distances, whose distinct
-    # values grow with the trace, use cdf.exact_quantile instead.
-    return df.groupBy(*keys, op).agg(F.percentile(kb, F.lit(p)).alias("p99_kb"))
+    h = df.groupBy(*keys, op, kb.alias("__kb")).agg(F.count(F.lit(1)).alias("__n"))
+    # from the value -> count histogram: a group's buffer holds its distinct sizes, and an
+    # int length of whole sectors has at most 2**31 / 512 of them, whatever the trace
+    return h.groupBy(*keys, op).agg(F.percentile("__kb", F.lit(p), F.col("__n")).alias("p99_kb"))
 
 
 def size_cdf_sampled(df: DataFrame, keys=(), op: str = "opcode", points: int = 1000) -> DataFrame:

@@ -15,18 +15,20 @@ def _ratios(reads, writes):
             F.when(total > 0, writes / total).otherwise(F.lit(0.0)))
 
 
-def trace_summary(df: DataFrame, keys=()) -> DataFrame:
-    """A1: read/write counts and shares, length range (KB), offset range (MB), time range."""
+def trace_summary(df: DataFrame, keys=(), extra=()) -> DataFrame:
+    """A1: read/write counts and shares, length range (KB), offset range (MB), time range;
+    ``extra`` named aggregates ride along in the same pass."""
     keys = list(keys)
     a = df.groupBy(*keys).agg(
         F.count(F.when(F.col("opcode") == "R", 1)).alias("reads"),
         F.count(F.when(F.col("opcode") == "W", 1)).alias("writes"),
         F.min("length").alias("_lmin"), F.max("length").alias("_lmax"),
         F.min("offset").alias("_omin"), F.max("offset").alias("_omax"),
-        F.min("timestamp").alias("_tmin"), F.max("timestamp").alias("_tmax"))
+        F.min("timestamp").alias("_tmin"), F.max("timestamp").alias("_tmax"), *extra)
     rr, wr = _ratios(F.col("reads"), F.col("writes"))
+    more = a.columns[len(a.columns) - len(extra):] if extra else []
     return a.select(
-        *keys, "reads", "writes", rr.alias("read_ratio"), wr.alias("write_ratio"),
+        *keys, *more, "reads", "writes", rr.alias("read_ratio"), wr.alias("write_ratio"),
         bytes_to_kb("_lmin").alias("length_min_kb"), bytes_to_kb("_lmax").alias("length_max_kb"),
         bytes_to_mb("_omin").alias("offset_min_mb"), bytes_to_mb("_omax").alias("offset_max_mb"),
         micros_to_datetime("_tmin").alias("time_min"), micros_to_datetime("_tmax").alias("time_max"))

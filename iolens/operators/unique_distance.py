@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from iolens.functions.blocks import explode_blocks
 from iolens.operators.reuse import TRACE_COLS, _seq, _with
-from iolens.plans.order import (BKT, FB, Ordered, assign_buckets, keyed_prev, materialized, prefix_sum,
+from iolens.plans.order import (BKT, FB, PLACE, Ordered, join_null_safe, assign_buckets, keyed_prev, materialized, prefix_sum,
                                 rows_per_bucket)
 
 
@@ -81,7 +81,7 @@ def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only:
     if top > small_lvl:
         # keys are unique per group among points (aggregated) and odd for queries
         ho = assign_buckets(high_rows, ["key"], materialize=True)
-        high = prefix_sum(ho, "w", grp, seq="key", out="cnt").df.drop(BKT, FB)
+        high = prefix_sum(ho, "w", grp, seq="key", out="cnt").df.drop(BKT, FB, PLACE)
         counted = low.unionByName(high)
     else:
         counted = low
@@ -93,7 +93,7 @@ def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only:
     per_req = acc.groupBy("opcode", "seq", BKT).agg(F.count(F.lit(1)).alias("k"))
     upto = prefix_sum(Ordered(per_req, o.nb, ("seq",)), "k", ["opcode"], seq="seq", out="upto").df.select(
         "opcode", F.col("seq").alias("p"), "upto")
-    return (q.join(dom, ["opcode", "s", "p"], "left")
-            .join(upto, ["opcode", "p"], "left")
+    j = join_null_safe(q, dom, ["opcode", "s", "p"], "left")
+    return (join_null_safe(j, upto, ["opcode", "p"], "left")
             .select("opcode", "device_id", "block", F.col("s").alias("seq"),
                     (F.coalesce("dom", F.lit(0)) - F.col("upto")).cast("long").alias("distance")))

@@ -4,21 +4,21 @@ The reference uses the row position of a time-sorted file as its clock. On
 Spark a row number over an unpartitioned window would put the whole trace in
 one task, so positions are built in two levels:
 
-1. rows are cut into *buckets* that are contiguous ranges of the order key.
-   Bucket borders are approximate quantiles of the leading key column. Fine
-   buckets (``_fb``, about rows_per_bucket / FINE_SPLIT rows) carry the row
-   numbering; coarse buckets (``_bkt``, about ``rows_per_bucket`` rows, runs
-   of consecutive fine buckets) partition the per-key windows. A value of the
-   leading column that covers several quantiles (a hot timestamp) gets fine
-   buckets of its own, split again on the second key column.
-2. ``row_number`` inside a fine bucket plus the number of rows in all earlier
-   fine buckets. The per-bucket counts are a table of at most ``MAX_BUCKETS``
+1. rows are range-partitioned on the *full* order key, sorted inside each
+   partition and written once, with the partition's number (``_fb``, the fine
+   bucket) and the row's place in it. Fine buckets are contiguous ranges of the
+   order; a hot timestamp is split on the following order columns, and nulls
+   sort first, as everywhere in Spark, whatever the size.
+2. a position is the place in the fine bucket plus the number of rows in all
+   earlier ones. The per-bucket counts are a table of at most ``MAX_BUCKETS``
    rows, so broadcasting it is bounded.
 
-Per-key sequences (a block's previous access, its access rank) use windows
-partitioned by (key, bucket); the first row of a key inside a bucket takes
-its predecessor from a per-(key, bucket) summary table, so one hot key is
-still spread over all buckets.
+Coarse buckets (``_bkt``) are runs of consecutive fine buckets, about
+``rows_per_bucket`` rows. Per-key sequences (a block's previous access, its
+access rank) use windows partitioned by (key, coarse bucket); the first row of
+a key inside a bucket takes its predecessor from a per-(key, bucket) summary
+table, so one hot key is still spread over all buckets. Keys may be null: all
+joins on keys are null-safe.
 """
 
 from __future__ import annotations
@@ -26,21 +26,17 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 BKT = "_bkt"
 FB = "_fb"
+PLACE = "_place"
 FINE_SPLIT = 8
 MAX_BUCKETS = 100_000
 DEFAULT_ROWS_PER_BUCKET = 2_000_000
 CONF_ROWS_PER_BUCKET = "iolens.order.rowsPerBucket"
-
-
-_INTEGRAL = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-_NUMERIC = _INTEGRAL + (T.FloatType, T.DoubleType)
+_PLACE_BITS = 33  # fixed value: bits of monotonically_increasing_id that count rows inside a partition
 
 
 @dataclass
@@ -50,7 +46,7 @@ class Ordered:
     nb: int          # number of buckets; 1 means the bucket column is constant
     order: tuple
     n: int = -1      # number of rows when known
-    nf: int = -1     # number of fine buckets (1: no numbering join needed)
+    nf: int = -1     # number of fine buckets
 
 
 def rows_per_bucket(df: DataFrame, override: int | None = None) -> int:
@@ -60,37 +56,35 @@ def rows_per_bucket(df: DataFrame, override: int | None = None) -> int:
     return int(v) if v else DEFAULT_ROWS_PER_BUCKET
 
 
-def _next_up(v: float, integral: bool) -> float:
-    return v + 1.0 if integral else math.nextafter(v, math.inf)
-
-
-def _bucketize(df: DataFrame, col: str, splits: list[float], out: str) -> DataFrame:
-    tmp = f"__{out}_in"
-    b = Bucketizer(splits=[-math.inf] + splits + [math.inf], inputCol=tmp, outputCol=out)
-    return b.transform(df.withColumn(tmp, F.col(col).cast("double"))).drop(tmp)
-
-
 def materialized(df: DataFrame) -> DataFrame:
     """Write a derived frame once as Parquet under the shared checkpoint folder
-    and read it back, so the count / quantile jobs and the final plan do not
-    each recompute its upstream, and a lost executor replays only the read.
+    and read it back, so its consumers do not each recompute its upstream, and a
+    lost executor replays only the read.
     (An eager RDD checkpoint of an uncached frame would compute it twice.)"""
     from iolens.session import scratch_path
     path = scratch_path(df.sparkSession, "materialized")
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def assign_buckets(df: DataFrame, order, rpb: int | None = None, materialize: bool = False) -> Ordered:
-    """Add ``_bkt`` (long): buckets are contiguous, ordered ranges of ``order``.
+def join_null_safe(left: DataFrame, right: DataFrame, keys, how: str = "inner", broadcast: bool = False) -> DataFrame:
+    """Equi-join on ``keys`` where null equals null; ``right``'s key columns are dropped."""
+    keys = list(keys)
+    named = right.select(*[F.col(f"`{k}`").alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    cond = None
+    for k in keys:
+        c = left[k].eqNullSafe(F.col(f"__r_{k}"))
+        cond = c if cond is None else cond & c
+    return left.join(F.broadcast(named) if broadcast else named, cond, how).drop(*[f"__r_{k}" for k in keys])
+
 
-    Two granularities come from one quantile pass: *fine* buckets (``_fb``, about
-    rows_per_bucket / FINE_SPLIT rows) parallelize the row numbering, whose cost
-    is a sort per bucket; *coarse* buckets (``_bkt``, runs of consecutive fine
-    buckets) partition the per-key windows, whose cross-bucket summaries grow
-    with the bucket count.
+def assign_buckets(df: DataFrame, order, rpb: int | None = None, materialize: bool = False) -> Ordered:
+    """Add ``_fb``, ``_bkt`` (long) and ``_place`` (long): buckets are contiguous,
+    ordered ranges of ``order`` and ``_place`` is a row's position in its fine
+    bucket. The result is a written table: one shuffle, one sort.
 
-    ``materialize``: the input is derived (not a plain scan); write it first."""
+    ``materialize``: the input is derived (not a plain scan); write it first, as
+    counting it, sampling its ranges and shuffling it each read it."""
     order = tuple(order)
     rpb = rows_per_bucket(df, rpb)
     if materialize:
@@ -98,44 +92,14 @@ def assign_buckets(df: DataFrame, order, rpb: int | None = None, materialize: bo
     n = df.count()
     nb = max(1, min(MAX_BUCKETS, math.ceil(n / rpb)))
     nf = max(nb, min(MAX_BUCKETS, math.ceil(n / max(1, rpb // FINE_SPLIT))))
-    if nf == 1:
-        return Ordered(df.withColumn(BKT, F.lit(0).cast("long")).withColumn(FB, F.lit(0).cast("long")),
-                       1, order, n, 1)
-    first = order[0]
-    ftype = df.schema[first].dataType
-    integral = isinstance(ftype, _INTEGRAL)
-    err = max(1e-6, 1.0 / (4 * nf))
-    qs = df.approxQuantile(first, [i / nf for i in range(1, nf)], err)
-    mult: dict[float, int] = {}
-    for q in qs:
-        mult[q] = mult.get(q, 0) + 1
-    hot = sorted(v for v, m in mult.items() if m >= 2)
-    splits = sorted(set(qs) | {_next_up(v, integral) for v in hot})
-    out = _bucketize(df, first, splits, "__b1").withColumn("__b1", F.col("__b1").cast("long"))
-    if hot and len(order) > 1 and isinstance(df.schema[order[1]].dataType, _NUMERIC):
-        # A hot leading value has its own bucket; split it on the next column.
-        nsub = min(MAX_BUCKETS, sum(mult[v] for v in hot) + 1)
-        hot_rows = df.filter(F.col(first).isin(hot))
-        q2 = hot_rows.approxQuantile(order[1], [j / nsub for j in range(1, nsub)],
-                                     max(1e-6, 1.0 / (4 * nsub)))
-        s2 = sorted(set(q2))
-        out = _bucketize(out, order[1], s2, "__b2")
-        out = out.withColumn("__b2", F.when(F.col(first).isin(hot), F.col("__b2").cast("long"))
-                             .otherwise(F.lit(0).cast("long")))
-        # dense ids: each hot bucket (index of its split + 1) adds len(s2) ids,
-        # so consecutive ids hold similar row counts when grouped coarsely
-        hot_b1 = sorted(splits.index(v) + 1 for v in hot)
-        out = _bucketize(out, "__b1", [h + 0.5 for h in hot_b1], "__hb")
-        out = out.withColumn(FB, F.col("__b1") + F.lit(len(s2)) * F.col("__hb").cast("long") + F.col("__b2"))
-        out = out.drop("__b1", "__b2", "__hb")
-        nf_tot = len(splits) + 1 + len(hot_b1) * len(s2)
-    else:
-        out = out.withColumnRenamed("__b1", FB)
-        nf_tot = len(splits) + 1
-    group = max(1, math.ceil(nf_tot / nb))
-    out = out.withColumn(BKT, (F.col(FB) - F.pmod(F.col(FB), F.lit(group))) / F.lit(group)).withColumn(
-        BKT, F.col(BKT).cast("long"))
-    return Ordered(out, max(1, math.ceil(nf_tot / group)), order, n, nf_tot)
+    group = math.ceil(nf / nb)
+    cols = [F.col(f"`{c}`") for c in order]
+    placed = (df.repartitionByRange(nf, *cols).sortWithinPartitions(*cols)
+              .withColumn(FB, F.spark_partition_id().cast("long"))
+              .withColumn(PLACE, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))))
+    out = materialized(placed)
+    out = out.withColumn(BKT, ((F.col(FB) - F.pmod(F.col(FB), F.lit(group))) / F.lit(group)).cast("long"))
+    return Ordered(out, math.ceil(nf / group), order, n, nf)
 
 
 def _running_before(df: DataFrame, value: str, keys, bucket: str, out: str) -> DataFrame:
@@ -151,26 +115,25 @@ def global_index(df: DataFrame, order, out: str = "seq", rpb: int | None = None,
 
 
 def number_rows(o: Ordered, out: str = "seq") -> Ordered:
-    """Positions for a frame whose bucket column(s) already hold contiguous
-    ranges of ``o.order`` (fine buckets when present, else coarse)."""
-    fb = FB if FB in o.df.columns else BKT
-    w = Window.partitionBy(fb).orderBy(*[F.col(c) for c in o.order])
-    ranked = o.df.withColumn("__rn", F.row_number().over(w))
-    if o.nf == 1 or (o.nb == 1 and fb == BKT):
-        res = ranked.withColumn(out, (F.col("__rn") - 1).cast("long")).drop("__rn")
-        return Ordered(res.drop(FB) if fb == FB else res, 1, o.order, o.n)
-    counts = o.df.groupBy(fb).agg(F.count(F.lit(1)).alias("__n"))
-    base = _running_before(counts, "__n", [], fb, "__base").drop("__n")
-    res = (ranked.join(F.broadcast(base), fb)
-           .withColumn(out, F.col("__base") + F.col("__rn") - 1).drop("__rn", "__base"))
-    if fb == FB:
-        res = res.drop(FB)
-    if o.nb == 1:
-        return Ordered(res, 1, o.order, o.n)
-    # Several buckets = a large frame read by several branches downstream
-    # (windows, summaries, joins): write the numbered frame once instead of
-    # re-running its sort per branch or after a lost executor.
-    return Ordered(materialized(res), o.nb, o.order, o.n)
+    """Positions for the result of ``assign_buckets``; drops its helper columns but ``_bkt``."""
+    if o.nf == 1:
+        return Ordered(o.df.withColumnRenamed(PLACE, out).drop(FB), o.nb, o.order, o.n)
+    counts = o.df.groupBy(FB).agg(F.count(F.lit(1)).alias("__n"))
+    base = _running_before(counts, "__n", [], FB, "__base").drop("__n")
+    res = o.df.join(F.broadcast(base), FB).withColumn(out, F.col("__base") + F.col(PLACE))
+    return Ordered(res.drop(FB, PLACE, "__base"), o.nb, o.order, o.n)
+
+
+def number_in_cells(df: DataFrame, order, keys, out: str = "seq") -> Ordered:
+    """0-based position of every row among the rows of its ``keys``. Buckets are
+    ranges of (keys, order), so a large cell is spread like a large trace."""
+    keys = list(keys)
+    if not keys:
+        return global_index(df, order, out)
+    o = global_index(df, [*keys, *order], out)
+    first = o.df.groupBy(*keys).agg(F.min(out).alias("__first"))
+    res = join_null_safe(o.df, first, keys).withColumn(out, F.col(out) - F.col("__first")).drop("__first")
+    return Ordered(res, o.nb, o.order, o.n)
 
 
 def prefix_sum(o: Ordered, value, keys=(), seq: str = "seq", out: str = "cum") -> Ordered:
@@ -187,8 +150,8 @@ def prefix_sum(o: Ordered, value, keys=(), seq: str = "seq", out: str = "cum") -
     if o.nb > 1:
         tot = df.groupBy(*keys, BKT).agg(F.sum("__v").alias("__t"))
         base = _running_before(tot, "__t", keys, BKT, "__pb").drop("__t")
-        # keyless: at most MAX_BUCKETS rows, broadcast; keyed: hash-joined per partition
-        df = df.join(F.broadcast(base) if not keys else base.hint("shuffle_hash"), keys + [BKT], "left")
+        # keyless: at most MAX_BUCKETS rows, broadcast; keyed: an ordinary join
+        df = join_null_safe(df, base, keys + [BKT], "left", broadcast=not keys)
         df = df.withColumn(out, F.sum("__v").over(w) + F.coalesce(F.col("__pb"), F.lit(0))).drop("__pb")
         # the running sum is a sort of the whole frame and its consumers
         # (per-key summaries and windows) read it more than once: write it once
@@ -205,7 +168,7 @@ def keyed_prev(o: Ordered, keys, cols, seq: str = "seq", prefix: str = "prev_",
     Windows are partitioned by (keys, bucket). The first row of a key in a
     bucket takes its predecessor from a summary with one row per (key, bucket)
     -- the key's last row and row count in earlier buckets -- which is built by
-    a partial aggregate and hash-joined to the rows *before* the window, so the
+    a partial aggregate and joined to the rows *before* the window, so the
     rows are shuffled and sorted once.
     """
     keys = list(keys)
@@ -214,9 +177,6 @@ def keyed_prev(o: Ordered, keys, cols, seq: str = "seq", prefix: str = "prev_",
     w = Window.partitionBy(*part).orderBy(seq)
     df = o.df
     if o.nb == 1:
-        if keys:
-            # one bucket: the frame sits in a single partition; spread it by key
-            df = df.repartition(*keys)
         for c in cols:
             df = df.withColumn(prefix + c, F.lag(c).over(w))
         if rank:
@@ -229,7 +189,7 @@ def keyed_prev(o: Ordered, keys, cols, seq: str = "seq", prefix: str = "prev_",
     wk = Window.partitionBy(*keys).orderBy(BKT)
     summ = _running_before(summ, "__kn", keys, BKT, "__kbefore")
     summ = summ.select(*part, *[F.lag(f"__kl_{c}").over(wk).alias(f"__kp_{c}") for c in cols], "__kbefore")
-    df = df.join(summ.hint("shuffle_hash"), part, "left")
+    df = join_null_safe(df, summ, part, "left")
     krn = F.row_number().over(w)
     for c in cols:
         df = df.withColumn(prefix + c, F.lag(c).over(w))

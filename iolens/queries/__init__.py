@@ -13,7 +13,7 @@ from collections.abc import Callable
 
 REGISTRY: dict[str, tuple[Callable, str | None]] = {}
 
-_MODULES = ("scalars", "aggregates", "windows", "access", "sources", "models")
+_MODULES = ("scalars", "aggregates", "windows", "access", "sources", "models", "cells")
 
 
 def register(name: str, sql: str | None = None):

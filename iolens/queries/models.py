@@ -1,8 +1,12 @@
-"""Modelling queries (M2-M8). M6/M7 have SQL oracles; the fits are checked by tests."""
+"""Modelling queries (M2-M8). M6/M7 have SQL oracles; the fits are checked by tests and
+by ``*_check`` queries on what must hold of any fit."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from iolens.operators import features, models, series
+from iolens.plans.order import materialized
 from iolens.queries import register
 from iolens.sources import views as V
 from iolens.sources.views import with_views
@@ -81,3 +85,74 @@ def q_chrono_split(spark, sf):
 @register("forecast_hourly")
 def q_forecast_hourly(spark, sf):
     return series.forecast_hourly(V.trace(spark, sf))
+
+
+@register("forecast_hourly_check", with_views(M6_SQL + """
+, n AS (SELECT device_id, min(hour) AS h0, count(*) AS n FROM m6 GROUP BY 1)
+SELECT m6.device_id, m6.hour, m6.mean_size AS actual, true AS bounded
+FROM m6 JOIN n USING (device_id)
+WHERE (m6.hour - n.h0) // 3600000000 >= CAST(trunc(n.n * CAST(0.8 AS DOUBLE)) AS BIGINT)""", "trace"))
+def q_forecast_hourly_check(spark, sf):
+    """M8: keys, hours and actual values, and that no forecast leaves ten times the largest training value."""
+    t = materialized(V.trace(spark, sf).select("device_id", "timestamp", "length"))
+    train = series.chrono_split(series.hourly_series_filled(t)).filter("split = 'train'")
+    top = train.groupBy("device_id").agg(F.max(F.abs("mean_size")).alias("top"))
+    f = series.forecast_hourly(t)
+    return f.join(top, "device_id").select("device_id", "hour", "actual", (F.abs("forecast") <= 10 * F.col("top")).alias("bounded"))
+
+
+# ------------------------------------------- invariants of the fits, against true
+DEVICES_SQL = "SELECT DISTINCT device_id, true AS holds FROM trace"
+
+
+def _distance2(cols, centre):
+    return sum(((F.col(c) - F.lit(float(v))) * (F.col(c) - F.lit(float(v))) for c, v in zip(cols, centre)), F.lit(0.0))
+
+
+def _nearest(cols, centres):
+    """Whether each row's label is its nearest centre (to rounding)."""
+    own = F.element_at(F.array(*[_distance2(cols, c) for c in centres]), F.col("cluster") + 1)
+    return own <= F.least(*[_distance2(cols, c) for c in centres]) + 1e-9
+
+
+@register("pca_check", with_views("""
+SELECT device_id, true AS holds FROM (SELECT DISTINCT device_id FROM trace)""", "trace"))
+def q_pca_check(spark, sf):
+    """M2: loadings are orthonormal and a projection is the loadings' product with the z-scores."""
+    z = materialized(_dev_z(spark, sf))
+    load = [[r[c] for c in ZDF] for r in models.pca_loadings(z, ZDF).orderBy("component").collect()]  # two rows
+    dot = [[sum(a * b for a, b in zip(x, y)) for y in load] for x in load]
+    fine = all(abs(dot[i][j] - (i == j)) < 1e-9 for i in range(2) for j in range(2))
+    p = models.pca_project(z, ZDF, keys=["device_id", *ZDF])
+    same = [F.abs(sum((F.col(c) * F.lit(v) for c, v in zip(ZDF, load[i])), F.lit(0.0)) - F.col(f"pca{i + 1}")) < 1e-6 for i in range(2)]
+    return p.select("device_id", (same[0] & same[1] & F.lit(fine)).alias("holds"))
+
+
+@register("kmeans_devices_check", with_views(DEVICES_SQL, "trace"))
+def q_kmeans_devices_check(spark, sf):
+    """M4: every device's label is its nearest centre."""
+    p = materialized(models.pca_project(_dev_z(spark, sf), ZDF, keys=["device_id"]))
+    model, data = models.kmeans_fit(p, ["pca1", "pca2"], 4)
+    return model.transform(data).select("device_id", _nearest(["pca1", "pca2"], model.clusterCenters()).alias("holds"))
+
+
+@register("kmeans_windows_check", with_views("""
+SELECT device_id, "timestamp" // 3600000000 AS time_window, true AS holds FROM trace GROUP BY 1, 2""", "trace"))
+def q_kmeans_windows_check(spark, sf):
+    """M3: every window's label is its nearest centre."""
+    model, data = models.kmeans_fit(_win_z(spark, sf), ZWF, 6)
+    return model.transform(data).select("device_id", "time_window", _nearest(ZWF, model.clusterCenters()).alias("holds"))
+
+
+@register("kmeans_elbow_check", "SELECT unnest(generate_series(2, 11)) AS k, true AS holds")
+def q_kmeans_elbow_check(spark, sf):
+    """M5: each cost is the sum of squares recomputed from the labels, or a little
+    more: it is taken before the last move of the centres."""
+    z = materialized(_win_z(spark, sf))
+    out = []
+    for k in range(2, 12):
+        model, data = models.kmeans_fit(z, ZWF, k)
+        own = F.element_at(F.array(*[_distance2(ZWF, c) for c in model.clusterCenters()]), F.col("cluster") + 1)
+        sse, cost = model.transform(data).agg(F.sum(own)).first()[0], model.summary.trainingCost
+        out.append((k, bool(0.9 * cost <= sse <= cost * (1 + 1e-6))))
+    return spark.createDataFrame(out, "k long, holds boolean")

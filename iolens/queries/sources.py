@@ -26,14 +26,34 @@ T0_TXT = "2024-01-05 00:00:00"
 T0 = R.to_micros(T0_TXT)
 
 
-def _canon_csv(spark, sf):
-    return W.write_csv(V.trace(spark, sf).select(*CANON), scratch_path(spark, "trace-csv"))
+def _corrupt_csv(spark, sf):
+    """Lines in trace order, some broken (see ``_corrupt_lines``)."""
+    p = scratch_path(spark, "trace-csv")
+    t = V.trace(spark, sf).orderBy("timestamp", "tie")
+    _corrupt_lines(t).write.text(p)
+    return p
 
 
 @register("load_trace_range", with_views(f"""
-SELECT {CANON_SQL} FROM trace WHERE "timestamp" BETWEEN {T0} AND {T0 + 240 * R.HOUR_US}""", "trace"))
+SELECT {CANON_SQL} FROM trace WHERE tie % 97 > 2 AND "timestamp" BETWEEN {T0} AND {T0 + 240 * R.HOUR_US}""", "trace"))
 def q_load_trace_range(spark, sf):
-    return R.load_trace_range(spark, _canon_csv(spark, sf), start=T0_TXT, nhours=240)
+    return R.load_trace_range(spark, _corrupt_csv(spark, sf), start=T0_TXT, nhours=240)
+
+
+@register("load_trace_range_one_column", with_views("""
+SELECT device_id, count(*) AS requests FROM trace WHERE tie % 97 > 2 GROUP BY 1""", "trace"))
+def q_load_trace_range_one_column(spark, sf):
+    """The rows are the same when one column is read."""
+    return R.load_trace_range(spark, _corrupt_csv(spark, sf)).select("device_id").groupBy("device_id").agg(
+        F.count(F.lit(1)).alias("requests"))
+
+
+@register("load_trace_nrows", with_views(f"""
+SELECT {CANON_SQL} FROM trace WHERE tie % 97 > 2
+ORDER BY "timestamp", device_id, opcode, "offset", "length" LIMIT 250""", "trace"))
+def q_load_trace_nrows(spark, sf):
+    """S1/S2 with nrows: the first rows of the trace."""
+    return R.load_trace_tolerant(spark, _corrupt_csv(spark, sf), nrows=250)
 
 
 def _corrupt_lines(t):
@@ -57,22 +77,25 @@ def q_load_trace_tolerant(spark, sf):
 
 
 @register("load_trace_stride", with_views(f"""
-, r AS (SELECT {CANON_SQL}, row_number() OVER (ORDER BY "timestamp", device_id, opcode, "offset", "length") - 1 AS line
-        FROM trace),
-  k AS (SELECT * FROM r WHERE line % 10 = 0),
+, r AS (SELECT *, row_number() OVER (ORDER BY "timestamp", tie) - 1 AS line FROM trace),
+  k AS (SELECT * FROM r WHERE line % 10 = 0 AND tie % 97 > 2),
   t AS (SELECT min("timestamp") AS t0 FROM k)
 SELECT {CANON_SQL} FROM k CROSS JOIN t WHERE "timestamp" <= t0 + {240 * R.HOUR_US}""", "trace"))
 def q_load_trace_stride(spark, sf):
-    return R.load_trace_stride(spark, _canon_csv(spark, sf), k=10, nhours=240)
+    return R.load_trace_stride(spark, _corrupt_csv(spark, sf), k=10, nhours=240)
 
 
 @register("load_sector_trace", with_views(f"""
 SELECT "VolumeID" AS device_id, CASE WHEN "IOType" = 0 THEN 'R' ELSE 'W' END AS opcode,
        "Offset" * 512 AS "offset", CAST("Size" * 512 AS INTEGER) AS "length", "Timestamp" * 1000000 AS "timestamp"
-FROM sector_trace WHERE "Timestamp" BETWEEN {T0 // 1000000} AND {T0 // 1000000 + 360 * 3600}""", "sector_trace"))
+FROM sector_trace WHERE tie % 89 > 1 AND "Timestamp" BETWEEN {T0 // 1000000} AND {T0 // 1000000 + 360 * 3600}""",
+    "sector_trace"))
 def q_load_sector_trace(spark, sf):
-    p = W.write_csv(V.sector_trace(spark, sf).select("Timestamp", "Offset", "Size", "IOType", "VolumeID"),
-                    scratch_path(spark, "sector-csv"))
+    p = scratch_path(spark, "sector-csv")
+    cols = ["Timestamp", "Offset", "Size", "IOType", "VolumeID"]
+    line, r = F.concat_ws(",", *[F.col(c).cast("string") for c in cols]), F.col("tie") % 89
+    V.sector_trace(spark, sf).select(F.when(r == 0, F.concat(line, F.lit("x"))).when(r == 1, F.concat(line, F.lit(",1")))
+                                     .otherwise(line).alias("value")).write.text(p)
     return R.load_sector_trace(spark, p, start=T0_TXT, nhours=360)
 
 
@@ -152,17 +175,15 @@ SELECT slice_start, device_id, count(*) AS requests,
        strftime(make_timestamp(max("timestamp")), '%Y-%m-%d %H:%M:%S.%f') AS time_max
 FROM g GROUP BY 1, 2""", "trace"))
 def q_slice_report(spark, sf):
-    g = _grid(spark, sf)
-    s = summary.trace_summary(g, keys=["slice_start", "device_id"])
-    n = g.groupBy("slice_start", "device_id").agg(F.count(F.lit(1)).alias("requests"))
-    return s.join(n, ["slice_start", "device_id"]).select(
-        "slice_start", "device_id", "requests", "reads", "writes", "time_min", "time_max")
+    s = summary.trace_summary(_grid(spark, sf), keys=["slice_start", "device_id"],
+                              extra=[F.count(F.lit(1)).alias("requests")])
+    return s.select("slice_start", "device_id", "requests", "reads", "writes", "time_min", "time_max")
 
 
 @register("sample_n_rows", with_views(f"""
 , r AS (SELECT {CANON_SQL}, row_number() OVER (ORDER BY "timestamp", device_id, opcode, "offset", "length") - 1 AS seq
         FROM trace),
-  h AS (SELECT *, (seq * {W.LEHMER_A} + 42) % {W.LEHMER_M} AS h, count(*) OVER () AS n FROM r),
+  h AS (SELECT *, CAST('0x' || substr(md5('42:' || seq), 1, 15) AS BIGINT) AS h, count(*) OVER () AS n FROM r),
   k AS (SELECT *, row_number() OVER (ORDER BY h, seq) - 1 AS rk FROM h)
 SELECT {CANON_SQL} FROM k WHERE rk < CAST(trunc(n * CAST(0.1 AS DOUBLE)) AS BIGINT)""", "trace"))
 def q_sample_n_rows(spark, sf):

@@ -2,6 +2,11 @@
 
 SEQ_TRACE = """, r AS (SELECT *, row_number() OVER (ORDER BY "timestamp", tie) - 1 AS seq FROM trace)"""
 
+# the trace with null timestamps and opcodes by a rule both engines repeat, and its order
+SEQ_NULLS = """, nt AS (SELECT device_id, CASE WHEN tie % 97 = 7 THEN NULL ELSE opcode END AS opcode, "offset", "length",
+                  CASE WHEN tie % 97 = 5 THEN NULL ELSE "timestamp" END AS "timestamp", tie FROM trace),
+  r AS (SELECT *, row_number() OVER (ORDER BY "timestamp" NULLS FIRST, tie) - 1 AS seq FROM nt)"""
+
 
 def block_bounds(mode: str, b: int = 4096) -> tuple[str, str]:
     s = f'"offset" // {b}'
@@ -21,10 +26,10 @@ def exploded(src: str, mode: str, cols: str) -> str:
             f"FROM (SELECT *, {s} AS __s, {l} AS __l FROM {src}) WHERE __s <= __l")
 
 
-def volume(mode: str = "floor", per: str = "opcode") -> str:
+def volume(mode: str = "floor", per: str = "opcode", seq: str = SEQ_TRACE) -> str:
     """CTEs r, c, e, p: accesses with previous same-op access and the byte volume between
     (summed per ``per``: the op, or device and op when keyed by device)."""
-    return SEQ_TRACE + f"""
+    return seq + f"""
 , c AS (SELECT *, sum("length") OVER (PARTITION BY {per} ORDER BY seq ROWS UNBOUNDED PRECEDING) AS cum FROM r),
   e AS ({exploded('c', mode, 'opcode, device_id, seq, "length", cum')}),
   p AS (SELECT *, lag(seq) OVER w AS ps, lag(cum) OVER w AS pc, row_number() OVER w AS acc FROM e

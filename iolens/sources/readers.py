@@ -56,35 +56,46 @@ def first_rows(df: DataFrame, nrows: int | None, order=CANONICAL_ORDER) -> DataF
     return global_index(df, order, "__seq").df.filter(F.col("__seq") < nrows).drop("__seq", BKT)
 
 
+def _parsed(lines: DataFrame, layout: T.StructType, keep=()) -> DataFrame:
+    """Columns of ``layout`` from comma-separated text lines (``value``): a line
+    counts if it has exactly that many fields and all its numbers parse. The test
+    is on the line, so the columns read later cannot change which rows there are."""
+    p = F.split(F.trim(F.col("value")), ",", -1)
+    raw = lines.select(p.alias("__p"), *keep).filter(F.size("__p") == len(layout))
+    cols = [F.col("__p")[i].alias(f.name) if isinstance(f.dataType, T.StringType)
+            else F.trim(F.col("__p")[i]).try_cast(f.dataType).alias(f.name) for i, f in enumerate(layout)]
+    numbers = [f.name for f in layout if not isinstance(f.dataType, T.StringType)]
+    return raw.select(*cols, *keep).na.drop(subset=numbers)
+
+
 def load_trace_range(spark: SparkSession, path, start=None, nhours=None, nrows=None) -> DataFrame:
     """Canonical CSV; keep start <= ts <= start + nhours (both inclusive); bad lines skipped;
     then the first ``nrows``."""
-    df = spark.read.schema(CANONICAL).option("mode", "DROPMALFORMED").csv(path)
-    return first_rows(_range(df, "timestamp", start, nhours), nrows)
+    return first_rows(_range(_parsed(spark.read.text(path), CANONICAL), "timestamp", start, nhours), nrows)
 
 
 def load_trace_tolerant(spark: SparkSession, path, start=None, nhours=None, nrows=None) -> DataFrame:
     """Line reader: only lines with exactly five fields whose numbers parse."""
-    parts = F.split(F.trim(F.col("value")), ",", -1)
-    raw = spark.read.text(path).select(parts.alias("p")).filter(F.size("p") == 5)
+    return load_trace_range(spark, path, start, nhours, nrows)
+
 
-    def num(i, t):
-        return F.trim(F.col("p")[i]).try_cast(t)
-    df = raw.select(num(0, "int").alias("device_id"), F.col("p")[1].alias("opcode"),
-                    num(2, "bigint").alias("offset"), num(3, "int").alias("length"),
-                    num(4, "bigint").alias("timestamp")).na.drop(subset=["device_id", "offset", "length", "timestamp"])
-    return first_rows(_range(df, "timestamp", start, nhours), nrows)
+def numbered_lines(spark: SparkSession, path) -> DataFrame:
+    """``value`` and ``__line``: the lines of the files in ``path``, counted from 0
+    in order of file name and place in the file."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("__file"), F.col("_metadata.file_block_start").alias("__at"),
+        F.monotonically_increasing_id().alias("__i"))
+    return global_index(lines, ("__file", "__at", "__i"), "__line", materialize=True).df.select("value", "__line")
 
 
 def load_trace_stride(spark: SparkSession, path, k: int = 1, nhours=None, nrows=None) -> DataFrame:
-    """S3: keep line 0 and every k-th line of a time-sorted trace, drop null
-    timestamps, optionally keep ``nhours`` from the first kept row (inclusive)."""
-    df = spark.read.schema(CANONICAL).option("mode", "DROPMALFORMED").csv(path).na.drop(subset=["timestamp"])
-    o = global_index(df, CANONICAL_ORDER, "__line")
-    kept = o.df.filter(F.col("__line") % k == 0).drop(BKT)
+    """S3: keep line 0 and every k-th line of a time-sorted file, bad ones
+    included, of these the first ``nrows``; then drop lines that don't parse, and
+    optionally keep ``nhours`` from the first kept row (inclusive)."""
+    lines = numbered_lines(spark, path).filter(F.col("__line") % k == 0)
     if nrows is not None:
-        kept = kept.filter(F.col("__line") < nrows * k)
-    kept = kept.drop("__line")
+        lines = lines.filter(F.col("__line") < nrows * k)
+    kept = _parsed(lines, CANONICAL)
     if nhours is None:
         return kept
     first = kept.agg(F.min("timestamp").alias("__t0"))
@@ -92,10 +103,10 @@ def load_trace_stride(spark: SparkSession, path, k: int = 1, nhours=None, nrows=
             .filter(F.col("timestamp") <= F.col("__t0") + F.lit(int(nhours * HOUR_US))).drop("__k", "__t0"))
 
 
-def normalize_sector(df: DataFrame) -> DataFrame:
+def normalize_sector(df: DataFrame, keep=()) -> DataFrame:
     """Sector trace -> canonical bytes and microseconds; IOType 0 = R, 1 = W (Q5, Q6)."""
     return df.select(
-        F.col("VolumeID").alias("device_id"),
+        *keep, F.col("VolumeID").alias("device_id"),
         F.when(F.col("IOType") == 0, "R").otherwise("W").alias("opcode"),
         (F.col("Offset") * 512).alias("offset"), (F.col("Size") * 512).cast("int").alias("length"),
         (F.col("Timestamp") * 1_000_000).alias("timestamp"))
@@ -104,8 +115,8 @@ def normalize_sector(df: DataFrame) -> DataFrame:
 def load_sector_trace(spark: SparkSession, path, start=None, nhours=None, nrows=None,
                       normalize: bool = True) -> DataFrame:
     """Sector-unit CSV (seconds, 512-byte sectors); the range filter applies only
-    when both start and nhours are given."""
-    df = spark.read.schema(SECTOR).csv(path)
+    when both start and nhours are given; bad lines are skipped."""
+    df = _parsed(spark.read.text(path), SECTOR)
     if start is not None and nhours is not None:
         df = _range(df, "Timestamp", start, nhours, unit_per_hour=3600, scale=1_000_000)
     if nrows is not None:
@@ -113,12 +124,19 @@ def load_sector_trace(spark: SparkSession, path, start=None, nhours=None, nrows=
     return normalize_sector(df) if normalize else df
 
 
-def load_object_trace(spark: SparkSession, path) -> DataFrame:
-    """Whitespace-separated object trace; '#' lines are comments."""
-    v = F.trim(F.col("value"))
-    lines = spark.read.text(path).filter(~v.startswith("#") & (v != ""))
-    p = lines.select(F.split(v, r"\s+").alias("p")).filter(F.size("p") == len(OBJECT_FIELDS))
-    return p.select(*[F.col("p")[i].try_cast(t).alias(n) for i, (n, t) in enumerate(OBJECT_FIELDS)])
+def load_object_trace(spark: SparkSession, path, bad_lines: str = "error") -> DataFrame:
+    """Whitespace-separated object trace; text after '#' is a comment. A line has
+    all ten fields or the first eight (the rest null); any other line is an error,
+    or left out with ``bad_lines="skip"``."""
+    if bad_lines not in ("error", "skip"):
+        raise ValueError("bad_lines is error or skip")
+    lines = spark.read.text(path).select(F.split(F.col("value"), "#", 2)[0].alias("v"))
+    v = F.regexp_replace("v", r"^\s+|\s+$", "")
+    p = lines.select(v.alias("v")).filter(F.col("v") != "").select("v", F.split("v", r"\s+").alias("p"))
+    full, short = len(OBJECT_FIELDS), len(OBJECT_FIELDS) - 2
+    bad = F.raise_error(F.concat(F.lit("object trace line without eight or ten fields: "), F.col("v"))).cast("boolean")
+    p = p.filter(F.when(F.size("p").isin(short, full), F.lit(True)).otherwise(bad if bad_lines == "error" else F.lit(False)))
+    return p.select(*[F.get("p", F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(OBJECT_FIELDS)])
 
 
 def load_device_slice(spark: SparkSession, path, device_id: int, start_hour: float = 0,

@@ -15,10 +15,9 @@ from iolens.plans.order import BKT, global_index
 from iolens.sources.readers import CANONICAL, CANONICAL_ORDER, OBJECT_FIELDS, to_micros
 
 DAY_US = 86_400_000_000
-# A Lehmer generator (modulus 2^31 - 1, multiplier 48271) used as
-# a reproducible row hash that SQL engines compute identically.
-LEHMER_M = 2147483647
-LEHMER_A = 48271
+#: rows of one output file at most, and input bytes of one writing task
+FILE_ROWS = 20_000_000
+TASK_BYTES = 512 << 20
 
 
 def _ranged(df: DataFrame, start, end) -> DataFrame:
@@ -30,15 +29,23 @@ def _ranged(df: DataFrame, start, end) -> DataFrame:
 
 
 def _layout(df: DataFrame, n: int | None) -> DataFrame:
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """Ranges of (device, time), as many as the input's size asks for."""
+    if not n:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // TASK_BYTES)))
     return df.repartitionByRange(n, "device_id", "timestamp").sortWithinPartitions("device_id", "timestamp")
 
 
+def _write(df: DataFrame, path: str, by, partitions: int | None) -> str:
+    (_layout(df, partitions).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS)
+     .partitionBy(*by).parquet(path))
+    return path
+
+
 def split_by_device(df: DataFrame, path: str, start=None, end=None, partitions: int | None = None) -> str:
     """One pass: filter the time range, write Parquet partitioned by device."""
     d = _ranged(df.select(*CANONICAL.fieldNames()), start, end)
-    _layout(d, partitions).write.mode("overwrite").partitionBy("device_id").parquet(path)
-    return path
+    return _write(d, path, ["device_id"], partitions)
 
 
 def split_by_day(df: DataFrame, path: str, start, end=None, partitions: int | None = None) -> str:
@@ -47,13 +54,14 @@ def split_by_day(df: DataFrame, path: str, start, end=None, partitions: int | No
     d = _ranged(df.select(*CANONICAL.fieldNames()), t0, end)
     rel = F.col("timestamp") - F.lit(t0)
     d = d.withColumn("day", ((rel - F.pmod(rel, F.lit(DAY_US))) / F.lit(DAY_US)).cast("long"))
-    _layout(d, partitions).write.mode("overwrite").partitionBy("device_id", "day").parquet(path)
-    return path
+    return _write(d, path, ["device_id", "day"], partitions)
 
 
 def sample_hash(seq_col: str, seed: int):
-    """Reproducible pseudo-random key of a row position (no overflow: < 2^62)."""
-    return F.pmod(F.col(seq_col) * F.lit(LEHMER_A) + F.lit(seed), F.lit(LEHMER_M))
+    """Reproducible key of a row position: the leading 60 bits of the MD5 of
+    'seed:position', which SQL engines compute identically."""
+    text = F.concat(F.lit(f"{seed}:"), F.col(seq_col).cast("string"))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def sample_n_rows(df: DataFrame, nrows=None, rate: float = 0.1, seed: int = 42,
@@ -67,7 +75,7 @@ def sample_n_rows(df: DataFrame, nrows=None, rate: float = 0.1, seed: int = 42,
         first = first.filter(F.col("__seq") < nrows)
     if rate >= 1:
         return first.drop("__seq")
-    n = first.count() if nrows is None else min(nrows, first.count())
+    n = o.n if nrows is None else min(nrows, o.n)
     k = int(n * rate)
     ranked = global_index(first.withColumn("__h", sample_hash("__seq", seed)), ("__h", "__seq"), "__r",
                           materialize=True).df
@@ -82,7 +90,7 @@ def write_csv(df: DataFrame, path: str, header: bool = False) -> str:
 def write_annotated_trace(df: DataFrame, path: str, fmt: str = "parquet") -> str:
     """Annotated trace (W8) per device; ``path`` is named by the caller
     (device and range label in the reference)."""
-    w = df.write.mode("overwrite").partitionBy("device_id")
+    w = _layout(df, None).write.mode("overwrite").option("maxRecordsPerFile", FILE_ROWS).partitionBy("device_id")
     (w.parquet(path) if fmt == "parquet" else w.option("header", "true").csv(path))
     return path
 

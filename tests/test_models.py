@@ -51,7 +51,7 @@ def test_forecast_beats_last_value():
     errs_model, errs_last = [], []
     for start in range(0, len(te) - h, 5):
         hist = np.concatenate([tr, te[:start]])
-        f = series.fit_forecast(hist, h, 2, 0)
+        f, _, _ = series.fit_forecast(hist, h, 2, 0)
         errs_model.append((f[-1] - te[start + h - 1]) ** 2)
         errs_last.append((hist[-1] - te[start + h - 1]) ** 2)
     assert np.mean(errs_model) < np.mean(errs_last)
@@ -63,3 +63,56 @@ def test_forecast_rows_per_test_hour(spark):
     split = e.queries()["chrono_split"](spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) == (split["split"] == "test").sum()
     assert out["forecast"].notna().all()
+
+
+def arma_series(rng, n, gaps=True):
+    d, e = np.zeros(n), rng.normal(size=n)
+    for t in range(2, n):
+        d[t] = 0.5 * d[t - 1] - 0.2 * d[t - 2] + e[t] + 0.4 * e[t - 1]
+    y = 500 + np.cumsum(d) * 0.3
+    if gaps:
+        y[rng.choice(n, n // 6, replace=False)] = np.nan
+    return y
+
+
+def test_forecast_with_gaps_ma_part_and_many_steps_stays_bounded():
+    worse = 0
+    for seed in range(8):
+        rng = np.random.default_rng(seed)
+        y = arma_series(rng, 500)
+        train, test = y[:400], y[400:]
+        f, p, q = series.fit_forecast(train, 100, 20, 15)
+        assert len(f) == 100 and (p, q) in series.candidate_orders(20, 15)
+        assert np.abs(f).max() <= 10 * np.nanmax(np.abs(train))
+        last = train[~np.isnan(train)][-1]
+        worse += np.nanmean(np.abs(f - test)) > np.nanmean(np.abs(last - test)) + 1e-9
+    assert worse <= 4
+
+
+def test_roll_out_starts_at_the_last_observed_hour():
+    y = np.r_[np.arange(50.0), [np.nan] * 5]
+    fit = series.fit_arma(np.diff(y), 1, 0)
+    assert fit is None or fit.p == 1
+    drift = series.Fit(0, 0, 1.0, np.array([]), np.array([]), np.zeros(len(y) - 1))
+    assert series.roll_out(y, drift, 3).tolist() == [55.0, 56.0, 57.0]
+
+
+def test_unstable_fits_are_rejected():
+    y = 1.5 ** np.arange(40.0)
+    assert not series._stable(np.array([1.5])) and series._stable(np.array([0.5, -0.2]))
+    f, p, q = series.fit_forecast(y, 30, 2, 1)
+    assert np.abs(f).max() <= 10 * y.max()
+
+
+def test_forecast_is_no_worse_than_the_last_value_on_most_devices(spark):
+    import __spark_entry__ as e
+    sf = "/root/testdata/sf0.01"
+    out = e.queries()["forecast_hourly"](spark, sf).toPandas()
+    s = e.queries()["chrono_split"](spark, sf).toPandas()
+    better = 0
+    for d, g in out.groupby("device_id"):
+        tr = s[(s.device_id == d) & (s.split == "train")].sort_values("hour").mean_size.dropna()
+        mae = (g.forecast - g.actual).abs().mean()
+        better += mae <= (tr.iloc[-1] - g.actual).abs().mean() + 1e-6
+    assert better > out.device_id.nunique() / 2
+    assert {"ar_order", "ma_order"} <= set(out.columns)

@@ -33,12 +33,39 @@ def test_trace_scan_prunes_columns(spark):
     assert "event_type" not in schema and "ts" not in schema.replace("struct<", "")
 
 
-def test_multi_bucket_windows_hash_aggregate_and_hash_join(spark, small_buckets):
+def test_multi_bucket_windows_hash_aggregate_and_plain_joins(spark, small_buckets):
     from iolens.operators import reuse
     t = V.trace(spark, SF)
     for df in (reuse.all_reuse_volume(t, V.TRACE_ORDER), reuse.first_reuse_segments(t, V.TRACE_ORDER),
                reuse.first_arrival_rank(t, V.TRACE_ORDER)):
         p = df._jdf.queryExecution().executedPlan().toString()
-        assert "SortAggregate" not in p
-    p = plan(reuse.reuse_gap_requests(t, V.TRACE_ORDER))
-    assert "ShuffledHashJoin" in p
+        assert "SortAggregate" not in p and "CartesianProduct" not in p and "NestedLoop" not in p
+    # the build side of a keyed join grows with the trace: no forced hash table
+    assert "ShuffledHashJoin" not in plan(reuse.reuse_gap_requests(t, V.TRACE_ORDER))
+
+
+def test_only_the_bucket_counts_go_to_one_partition(spark, small_buckets):
+    from iolens.operators import reuse
+    df = reuse.reuse_gap_requests(V.trace(spark, SF), V.TRACE_ORDER)
+    p = plan(df)
+    # only the window over one row per fine bucket, in each branch that reads positions
+    for below in p.split("SinglePartition")[1:]:
+        assert "HashAggregate(keys=[_fb" in below.split("Exchange")[0]
+
+
+def scans(df, table):
+    """How often the final plan reads a table of the input."""
+    import re
+
+    return len(re.findall(rf"FileScan parquet[^\n]*{table}.parquet", plan(df)))
+
+
+def test_one_read_of_the_trace(spark):
+    """Bounds, bins and counts come from one written aggregate, not from the trace again."""
+    from iolens.operators import cdf, rates, reuse, series, sizes
+    t = V.trace(spark, SF)
+    o = V.TRACE_ORDER
+    for df in (rates.mean_rate_resampled(t), rates.iops_mean_peak(t), rates.busiest_device_rate(t), series.hourly_series_filled(t),
+               series.chrono_split(series.hourly_series_filled(t)), sizes.size_cdf_sampled(t), sizes.size_cdf_percent(t),
+               reuse.annotate_first_reuse(t, o), cdf.index_cdf(reuse.reuse_gap_requests(t, o), "gap")):
+        assert scans(df, "events") == 0  # everything below a written table

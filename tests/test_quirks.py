@@ -149,3 +149,37 @@ def test_reuse_stats_both_histogram_paths_agree(spark, monkeypatch, small_bucket
     monkeypatch.setattr(C, "SMALL_HISTOGRAM_ROWS", 0)
     big = sorted(tuple(r) for r in reuse.reuse_stats(df).collect())
     assert small == big
+
+
+def test_reuse_stats_of_long_distances(spark):
+    df = spark.range(4000).selectExpr("'R' as opcode", "10000000000000000 as distance")
+    r = reuse.reuse_stats(df).collect()[0]
+    assert r.reuse_count == 4000 and r.mean_distance == 1e16 and r.median_distance == 1e16
+
+
+@pytest.mark.parametrize("rows_per_bucket", ["7", "64", "100000"])
+def test_nulls_keep_their_rows_at_any_size(spark, rows_per_bucket):
+    key = "iolens.order.rowsPerBucket"
+    rows = [(i % 3, None if i % 2 else "R", (i % 5) * 4096, 4096, None if i % 10 == 0 else i, i) for i in range(100)]
+    df = trace(spark, rows)
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, rows_per_bucket)
+    try:
+        seq = {r.tie: r.seq for r in reuse.request_sequence(df, ORDER).collect()}
+        w7 = reuse.all_reuse_volume(df, ORDER).count()
+        w10 = reuse.inter_arrival(df, ORDER).count()
+    finally:
+        spark.conf.set(key, old) if old else spark.conf.unset(key)
+    want = sorted(rows, key=lambda r: (r[4] is not None, r[4] or 0, r[5]))
+    assert seq == {r[5]: k for k, r in enumerate(want)}
+    seen, again = set(), 0
+    for r in want:
+        again += (r[1], r[0], r[2]) in seen
+        seen.add((r[1], r[0], r[2]))
+    assert w7 == again and w10 == 100
+
+
+def test_positions_restart_in_each_cell(spark, small_buckets):
+    rows = [(d, "R", (k % 4) * 4096, 4096, k, k) for k in range(40) for d in (1, 2)]
+    got = reuse.request_sequence(trace(spark, rows), ORDER, keys=["device_id"]).collect()
+    assert sorted((r.device_id, r.timestamp, r.seq) for r in got) == sorted((d, k, k) for k in range(40) for d in (1, 2))

@@ -46,7 +46,7 @@ def test_object_loader_comments_and_blanks(spark):
             "311\t0  4096 1572074462.5 4 ns2 u2 0 1 h2\n"
             "short line 1 2\n"
             "312 0 8192 1572074463.0 100 ns3 u3 1 1 h3")
-    df = R.load_object_trace(spark, _write(spark, "obj", text))
+    df = R.load_object_trace(spark, _write(spark, "obj", text), bad_lines="skip")
     rows = sorted(df.collect(), key=lambda r: r.block_id)
     assert [r.block_id for r in rows] == [310, 311, 312]
     assert rows[0].time == 1572074461.57806 and rows[1].op_name == 4 and rows[2].host_name == "h3"
@@ -63,3 +63,46 @@ def test_sector_loader_normalizes_units(spark):
     df = R.load_sector_trace(spark, _write(spark, "sector", text))
     got = sorted(tuple(r) for r in df.collect())
     assert got == [(5, "R", 4096, 8192, 1577836800000000), (5, "W", 0, 512, 1577836801000000)]
+
+
+LINES = ["0,R,0,512,10", "1,W,8,512,20", "1,W,8", "2,R,x,512,30", "3,R,16,512,40,9", "4,W,24,512,50"]
+
+
+def test_bad_lines_do_not_depend_on_the_columns_read(spark):
+    p = _write(spark, "bad", "\n".join(LINES) + "\n")
+    df = R.load_trace_range(spark, p)
+    assert len(df.collect()) == df.count() == df.select("device_id").count() == 3
+    assert R.load_trace_tolerant(spark, p, nrows=2).select("device_id").count() == 2
+    s = R.load_sector_trace(spark, _write(spark, "bads", "1,2,3,0,5\n1,x,3,0,5\n1,2,3,0\n"), normalize=False)
+    assert [tuple(r) for r in s.collect()] == [(1, 2, 3, 0, 5)] and s.select("Size").count() == 1
+
+
+def test_stride_counts_lines_of_the_file(spark):
+    lines = [f"{i},R,0,512,{i * 10}" for i in range(10)]
+    lines[3] = "broken"
+    lines[4] = "4,R,0,512,"
+    got = R.load_trace_stride(spark, _write(spark, "stride", "\n".join(lines) + "\n"), k=4)
+    assert sorted(r.device_id for r in got.collect()) == [0, 8]
+    got = R.load_trace_stride(spark, _write(spark, "stride", "\n".join(lines) + "\n"), k=4, nrows=2)
+    assert sorted(r.device_id for r in got.collect()) == [0]
+
+
+def test_object_lines_with_eight_or_ten_fields_and_comments(spark):
+    import pytest
+
+    text = "# head\n310 262144 4325376 1572074461.57806 1 24 3 5\n\t7 1 2 3.5 2 a b 4 9 host # note\n  \n"
+    rows = sorted(R.load_object_trace(spark, _write(spark, "obj", text)).collect(), key=lambda r: r.block_id)
+    assert [(r.block_id, r.rs_shard_id, r.op_count, r.host_name) for r in rows] == [(7, 4, 9, "host"), (310, 5, None, None)]
+    with pytest.raises(Exception, match="eight or ten"):
+        R.load_object_trace(spark, _write(spark, "obj", "1 2 3\n")).count()
+
+
+def test_sample_is_spread_and_depends_on_the_seed(spark):
+    from iolens.sources import writers as W
+    n = 20_000
+    df = spark.range(n).selectExpr("cast(id % 5 as int) device_id", "'R' opcode", "id * 8 as offset", "512 as length", "id as timestamp")
+    a = {r.timestamp for r in W.sample_n_rows(df, rate=0.1, seed=1).collect()}
+    b = {r.timestamp for r in W.sample_n_rows(df, rate=0.1, seed=2).collect()}
+    assert len(a) == len(b) == n // 10 and len(a & b) < n // 50
+    for k in range(10):
+        assert 140 <= sum(k * n // 10 <= t < (k + 1) * n // 10 for t in a) <= 260
