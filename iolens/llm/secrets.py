@@ -72,11 +72,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def mixed(s: str) -> bool:
+    """Long enough for a credential, with a digit and a letter."""
+    return len(s) >= 12 and any(map(str.isdigit, s)) and any(map(str.isalpha, s))
+
+
 def candidates(text: str) -> Iterator[tuple[int, int]]:
-    """Other strings that could be credentials: runs with a digit and a letter."""
+    """Other strings that could be credentials."""
     for m in CANDIDATE.finditer(text):
         s = m.group().rstrip("=-_/+") or m.group()
-        if len(s) >= 12 and not s.isalpha() and any(map(str.isdigit, s)) and any(map(str.isalpha, s)):
+        if mixed(s):
             yield m.start(), m.start() + len(s)
 
 
@@ -211,8 +216,9 @@ class Model:
 # ------------------------------------------------------------------ Spark side
 
 def labelled(docs: DataFrame) -> DataFrame:
-    """``kind, value``: values of base matches, and as ``plain`` the other
-    candidates and words of text that no base match touches."""
+    """``kind, value``: values of base matches, and as ``plain`` words, numbers and
+    names from texts without one. Candidates themselves are nobody's examples:
+    unlabelled credentials are among them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found: set[tuple[str, str]] = set()
@@ -222,9 +228,7 @@ def labelled(docs: DataFrame) -> DataFrame:
                     value = ASSIGN.match(text, a).group(2) if k == 0 else text[a:e]
                     found.add((KINDS[k], value))
                 if not spans:
-                    found.update((PLAIN, text[x:y]) for x, y in candidates(text))
-                    # ordinary writing: the longest words of the text's first line with any
-                    words = re.findall(r"[A-Za-z0-9+/_=-]{8,}", text)
+                    words = [w for w in re.findall(r"[A-Za-z0-9+/_=-]{8,}", text) if not mixed(w)]
                     found.update((PLAIN, w) for w in words[:: max(1, len(words) // 4)])
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.string()) for i in (0, 1)], names=["kind", "value"])
 
@@ -255,7 +259,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         by[PLAIN] = [s for k, s in enumerate(sorted(by[PLAIN])) if k % 4]
     model = Model({k: infer(sorted(v)) for k, v in by.items() if v}, 0.0)
     if len(model.automata) > 1 and PLAIN in model.automata:
-        ratios = sorted(model.ratio(s) for s in held if len(s) >= 12) or [0.0]
+        ratios = sorted(map(model.ratio, held)) or [0.0]
         model.least = max(0.0, ratios[min(len(ratios) - 1, int(len(ratios) * (1 - FALSE_RATE)))]) + MARGIN
     return model
 
