@@ -6,14 +6,21 @@ by the sum of their distances to the query's halves until the cells passed hold
 ``FRACTION`` of all entries (at least ``LEAST``), and the entries of those cells
 are reranked by their exact distance in double precision.
 
+How many entries a query must see is a property of the vectors. Those of the
+test tables are close to isotropic (a tenth neighbour is hardly nearer than a
+thousandth); with the defaults, recall at 10 against brute force is 0.96 on the
+51,282 vectors of the larger check table. Clustered vectors need a small part of
+``FRACTION``.
+
 How it runs. Equal vectors are one entry with their smallest ids: as ties go to
 the smaller id, an entry never needs more ids than are asked for, and one more
 as a query skips its own. Codebooks are fitted on a bounded sample
-(``SAMPLE`` vectors); every entry is indexed. Entries are dealt by (first
-centroid, chunk), queries go as blocks to the chunks whose cells they visit,
-and a task holds one chunk of entries and one block of queries at a time. Cell
-counts, at most codebook size squared, are broadcast. A chunk returns the best
-of each query, so rows made are queries x chunks visited x ``k``.
+(``SAMPLE`` vectors); every entry is indexed. Entries are dealt into chunks of
+about ``CHUNK_ROWS``, whole first centroids together and large ones split;
+queries go as blocks to the chunks whose cells they visit, and a task holds one
+chunk of entries and one block of queries at a time. Cell counts, at most
+codebook size squared, are broadcast. A chunk returns the best of each query,
+so rows made are queries x chunks visited x ``k``.
 
 Defined results: vectors that are null, of another length than most, zero, or
 hold null or non-finite components take no part; a query with fewer other
@@ -35,10 +42,10 @@ from pyspark.sql import functions as F
 from iolens.llm.common import prepare, table, written
 
 K = 10
-CODES = 32
+CODES = 128
 SAMPLE = 20_000
 ROUNDS = 15
-FRACTION = 0.3
+FRACTION = 0.4
 LEAST = 5_000
 CHUNK_ROWS = 20_000
 BLOCK_QUERIES = 2_000
@@ -70,13 +77,14 @@ def traverse(d1: np.ndarray, d2: np.ndarray, cells: np.ndarray, want: int) -> li
     ``want`` entries; empty cells are passed but not returned."""
     o1, o2 = np.argsort(d1, kind="stable"), np.argsort(d2, kind="stable")
     s1, s2 = d1[o1].tolist(), d2[o2].tolist()
+    o1, o2, full = o1.tolist(), o2.tolist(), cells.tolist()
     heap, out, got = [(s1[0] + s2[0], 0, 0)], [], 0
     while heap and got < want:
         _, a, b = heapq.heappop(heap)
-        i, j = int(o1[a]), int(o2[b])
-        if cells[i, j]:
+        i, j = o1[a], o2[b]
+        if full[i][j]:
             out.append((i, j))
-            got += int(cells[i, j])
+            got += full[i][j]
         if b + 1 < len(s2):
             heapq.heappush(heap, (s1[a] + s2[b + 1], a, b + 1))
         if b == 0 and a + 1 < len(s1):
@@ -84,6 +92,26 @@ def traverse(d1: np.ndarray, d2: np.ndarray, cells: np.ndarray, want: int) -> li
     return out
 
 
+def deal(sizes: list[int], chunk_rows: int) -> tuple[list[int], list[int], int]:
+    """Chunks of about ``chunk_rows`` entries: for each first centroid its first
+    chunk and over how many it is split, and the number of chunks."""
+    first, split, now, held = [], [], 0, 0
+    for n in sizes:
+        if n >= chunk_rows:
+            now += held > 0
+            parts = -(-n // chunk_rows)
+            first.append(now)
+            split.append(parts)
+            now, held = now + parts, 0
+        else:
+            if held + n > chunk_rows:
+                now, held = now + 1, 0
+            first.append(now)
+            split.append(1)
+            held += n
+    return first, split, now + (held > 0)
+
+
 def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """``vec_id, v`` (array<double>) of the rows that take part."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).cast("array<double>").alias("v"))
@@ -135,46 +163,45 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_
     for r in index.groupBy("i", "j").count().collect():  # at most codes * codes rows
         cells[r.i, r.j] = r["count"]
     want = max(least, int(fraction * n))
-    chunks = np.maximum(1, -(-cells.sum(axis=1) // chunk_rows)).tolist()
+    first, split, _ = deal(cells.sum(axis=1).tolist(), chunk_rows)
 
-    # entries by (first centroid, chunk); queries, in blocks, go where they visit
     n_asked = asked.count()
     blocks = max(1, -(-n_asked // block_queries))
-    count_of = F.element_at(F.array(*map(F.lit, chunks)), F.col("i") + 1)
-    here = index.withColumn("chunk", F.pmod(F.xxhash64("ids"), count_of).cast("int"))
-    here = here.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    at = lambda xs: F.element_at(F.array(*map(F.lit, xs)), F.col("i") + 1)
+    here = index.withColumn("chunk", (at(first) + F.pmod(F.xxhash64("ids"), at(split))).cast("int"))
+    here = here.select("v", "ids", (F.col("i") * len(c2) + F.col("j")).alias("cell"), "chunk",
+                       F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             m = _matrix(b.column("v"), dim)
             d1, d2 = distances(m[:, :half], c1), distances(m[:, half:], c2)
-            row, i, chunk, js = [], [], [], []
-            for k_ in range(len(m)):
-                by: dict[int, list[int]] = {}
-                for a, c in traverse(d1[k_], d2[k_], cells, want):
-                    by.setdefault(a, []).append(c)
-                for a, c in by.items():
-                    for s in range(chunks[a]):
-                        row.append(k_)
-                        i.append(a)
-                        chunk.append(s)
-                        js.append(c)
-            q = b.column("q").to_numpy()[row]
-            yield pa.RecordBatch.from_arrays([pa.array(q), b.column("v").take(pa.array(row, pa.int64())), pa.array(i, pa.int32()), pa.array(chunk, pa.int32()),
-                                              pa.array(js, pa.list_(pa.int32())), pa.array((q % blocks).astype(np.int32))],
-                                             names=["q", "v", "i", "chunk", "js", "block"])
-
-    ask = asked.mapInArrow(visits, "q long, v array<double>, i int, chunk int, js array<int>, block int")
+            for low in range(0, len(m), 64):
+                row, chunk, passed = [], [], []
+                for r in range(low, min(low + 64, len(m))):
+                    by: dict[int, list[int]] = {}
+                    for i, j in traverse(d1[r], d2[r], cells, want):
+                        for s in range(split[i]):
+                            by.setdefault(first[i] + s, []).append(i * len(c2) + j)
+                    row += [r] * len(by)
+                    chunk += by.keys()
+                    passed += by.values()
+                q = b.column("q").to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([pa.array(q), b.column("v").take(pa.array(row, pa.int64())), pa.array(chunk, pa.int32()),
+                                                  pa.array(passed, pa.list_(pa.int32())), pa.array((q % blocks).astype(np.int32))],
+                                                 names=["q", "v", "chunk", "cells", "block"])
+
+    ask = asked.mapInArrow(visits, "q long, v array<double>, chunk int, cells array<int>, block int")
 
     def rerank(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = {"q": [], "vec_id": [], "score": []}
         if len(left) and len(right):
-            order = np.argsort(left["j"].to_numpy(), kind="stable")
-            m = np.stack(left["v"].to_numpy())[order]
-            ids = left["ids"].to_numpy()[order]
-            at = np.searchsorted(left["j"].to_numpy()[order], np.arange(len(c2) + 1))
-            for q, v, js in zip(right["q"], right["v"], right["js"]):
-                pick = np.concatenate([np.arange(at[j], at[j + 1]) for j in js])
+            m, ids, cell = np.stack(left["v"].to_numpy()), left["ids"].to_numpy(), left["cell"].to_numpy()
+            seen = np.zeros(cells.size, bool)
+            for q, v, passed in zip(right["q"], right["v"], right["cells"]):
+                seen[:] = False
+                seen[passed] = True
+                pick = np.flatnonzero(seen[cell])
                 if not len(pick):
                     continue
                 d = np.sqrt(((m[pick] - v) ** 2).sum(axis=1))
@@ -188,7 +215,7 @@ def search(vectors: DataFrame, every: int = 100, k: int = K, id_col: str = "vec_
                 out["score"] += [dist for dist, _ in found]
         return pd.DataFrame(out).astype({"q": "int64", "vec_id": "int64", "score": "float64"})
 
-    keys = ["i", "chunk", "block"]
+    keys = ["chunk", "block"]
     found = here.groupBy(*keys).cogroup(ask.groupBy(*keys)).applyInPandas(rerank, "q long, vec_id long, score double")
     best = Window.partitionBy("q").orderBy("score", "vec_id")
     found = found.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1)

@@ -56,6 +56,22 @@ def test_everything_found_when_everything_is_asked_for(spark):
     assert {q: [i for _, i in v] for q, v in got.items()} == {q: [i for _, i in v] for q, v in want.items()}
 
 
+def test_chunks_hold_whole_or_split_centroids():
+    first, split, n = M.deal([3, 4, 25, 0, 9, 2], 10)
+    assert (first, split, n) == ([0, 0, 1, 4, 4, 5], [1, 1, 3, 1, 1, 1], 6)
+    assert M.deal([], 10) == ([], [], 0) and M.deal([10], 10) == ([0], [1], 1)
+
+
+def test_recall_where_not_all_entries_are_seen(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(6000, 16)) + 4 * rng.normal(size=(20, 16))[rng.integers(0, 20, 6000)]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = result(M.search(df, fraction=0.05, least=100, chunk_rows=1500).collect())
+    want = brute(list(range(6000)), x, list(got))
+    assert len(got) == 60
+    assert np.mean([len({i for _, i in got[q]} & {i for _, i in want[q]}) / 10 for q in got]) >= 0.9
+
+
 def test_edge_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [inf, 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0, 3.0]),
