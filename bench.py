@@ -20,6 +20,8 @@ HEADLINE = [
     "block_access_counts", "access_histogram_log", "reuse_gap_requests", "all_reuse_volume",
     "reuse_stats", "first_reuse_segments", "first_arrival_rank", "device_features",
     "window_features", "hourly_series_filled", "load_trace_range",
+    # the path of large traces (several order buckets), the heaviest operators, a sink and a model
+    "reuse_gap_requests_bucketed", "all_reuse_volume_bucketed", "unique_reuse_distance", "split_by_device", "kmeans_devices",
 ]
 
 

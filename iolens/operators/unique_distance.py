@@ -14,16 +14,17 @@ first access after p of every block seen in (p, s)). The second term is a
 running count by request. The first is a 2-D dominance count, computed offline
 without a sort of everything:
 
-* dyadic levels l = 0..L over seq: a point a lies in node seq(a) >> l; the
-  query range [0, s) is the union, over set bits l of s, of node (s >> l) - 1;
+* a tree over seq with ``FAN`` children a node: at level l, a point a lies in the
+  child (seq(a) / FAN^l) mod FAN of the node seq(a) / FAN^(l+1); the query range
+  [0, s) is, over the levels, the children of s's node before s's own child;
 * per (op, level, node), points and queries are ordered by one key,
-  2*prev for points and 2*p + 1 for queries, so a running count of points
-  read at a query row counts exactly the points with prev <= p;
+  2*prev for points and 2*p + 1 for queries, so a running count of points by
+  child, read at a query row, counts exactly those with prev <= p;
 * nodes of up to ``rows_per_bucket`` requests use a plain window per node; the
   few large top-level nodes use the two-level prefix sum, which splits them
   into key buckets, so no node is one task.
 
-Cost: about (L + 1) rows per access, spread by (op, level, node).
+Cost: about log2(N) / 3 rows per access, spread by (op, level, node).
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ from iolens.operators.reuse import TRACE_COLS, _seq, _with
 from iolens.plans.order import (BKT, FB, PLACE, Ordered, join_null_safe, assign_buckets, keyed_prev, materialized, prefix_sum,
                                 rows_per_bucket)
 
+FAN_BITS = 3
+FAN = 1 << FAN_BITS
+
 
 def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only: bool = False) -> DataFrame:
     """(opcode, device_id, block, seq, distance) for every re-access
@@ -50,43 +54,52 @@ def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only:
     # three branches read the accesses: compute them once
     acc = materialized(acc)
 
-    top = max(1, math.ceil(math.log2(n + 1)))
-    levels = F.sequence(F.lit(0), F.lit(top))
-    # Points with equal (op, level, node, prev) are one weighted point: all
-    # blocks a request re-touches together share prev, all first accesses
-    # have prev = -1. Partial aggregation collapses them before the shuffle.
+    top = max(1, math.ceil(math.log2(n + 1) / FAN_BITS))
+    levels = F.sequence(F.lit(0), F.lit(top - 1))
+
+    def node(c):
+        return F.expr(f"shiftright({c}, {FAN_BITS} * (lvl + 1))")
+
+    def child(c):
+        return F.expr(f"shiftright({c}, {FAN_BITS} * lvl) & {FAN - 1}")
+
+    # Points with equal (op, level, node, prev) are one row with a count for each
+    # child: all blocks a request re-touches together share prev, all first
+    # accesses have prev = -1. Partial aggregation collapses them before the
+    # shuffle. No query counts the last child.
+    kids = [f"w{j}" for j in range(FAN - 1)]
     points = (acc.select("opcode", "seq", "prev", F.explode(levels).alias("lvl"))
-              .groupBy("opcode", "lvl", F.expr("shiftright(seq, lvl)").alias("node"),
-                       (F.col("prev") * 2).alias("key"))
-              .agg(F.count(F.lit(1)).alias("w"))
-              .withColumn("s", F.lit(None).cast("long")).withColumn("p", F.lit(None).cast("long")))
+              .groupBy("opcode", "lvl", node("seq").alias("node"), (F.col("prev") * 2).alias("key"))
+              .agg(*[F.count(F.when(child("seq") == j, 1)).alias(w) for j, w in enumerate(kids)])
+              .withColumns({c: F.lit(None).cast("long") for c in ("s", "p", "c")}))
     q = acc.filter(F.col("prev_seq").isNotNull())
     if first_only:
         q = q.filter(F.col("access") == 2)
     q = q.select("opcode", "device_id", "block", F.col("seq").alias("s"), F.col("prev_seq").alias("p"))
     # Queries with equal (op, s, p) have equal answers: solve each once.
     qd = q.select("opcode", "s", "p").distinct()
-    queries = (qd.select("*", F.explode(levels).alias("lvl"))
-               .filter(F.expr("shiftright(s, lvl)") % 2 == 1)
-               .select("opcode", "lvl", (F.expr("shiftright(s, lvl)") - 1).alias("node"),
-                       (F.col("p") * 2 + 1).alias("key"), F.lit(0).cast("long").alias("w"), "s", "p"))
+    queries = (qd.select("*", F.explode(levels).alias("lvl")).withColumn("c", child("s").cast("long")).filter("c > 0")
+               .select("opcode", "lvl", node("s").alias("node"), (F.col("p") * 2 + 1).alias("key"),
+                       *[F.lit(0).cast("long").alias(w) for w in kids], "s", "p", "c"))
     u = points.unionByName(queries)
 
-    small_lvl = int(math.floor(math.log2(max(2, rows_per_bucket(df)))))
+    # levels whose nodes hold at most a bucket's rows
+    small = int(math.log2(max(2, rows_per_bucket(df))) // FAN_BITS) - 1
     grp = ["opcode", "lvl", "node"]
     w = (Window.partitionBy(*grp).orderBy("key")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    low = u.filter(F.col("lvl") <= small_lvl).withColumn("cnt", F.sum("w").over(w))
-    high_rows = u.filter(F.col("lvl") > small_lvl)
-    if top > small_lvl:
+    before = [f"r{j}" for j in range(FAN - 1)]
+    low = u.filter(F.col("lvl") <= small).withColumns({r: F.sum(k).over(w) for r, k in zip(before, kids)})
+    if top - 1 > small:
         # keys are unique per group among points (aggregated) and odd for queries
-        ho = assign_buckets(high_rows, ["key"], materialize=True)
-        high = prefix_sum(ho, "w", grp, seq="key", out="cnt").df.drop(BKT, FB, PLACE)
+        ho = assign_buckets(u.filter(F.col("lvl") > small), ["key"], materialize=True)
+        high = prefix_sum(ho, list(kids), grp, seq="key", out=before).df.drop(BKT, FB, PLACE)
         counted = low.unionByName(high)
     else:
         counted = low
-    dom = (counted.filter(F.col("s").isNotNull()).groupBy("opcode", "s", "p")
-           .agg(F.sum("cnt").alias("dom")))
+    cnt = sum((F.when(F.col("c") > j, F.col(r)).otherwise(0) for j, r in enumerate(before)), F.lit(0))
+    counted = counted.filter(F.col("s").isNotNull()).withColumn("cnt", cnt)
+    dom = counted.groupBy("opcode", "s", "p").agg(F.sum("cnt").alias("dom"))
 
     # #{accesses of op o at requests <= p}: running count over requests
     # (request buckets are contiguous seq ranges, so they are reused)

@@ -46,7 +46,7 @@ class Ordered:
     nb: int          # number of buckets; 1 means the bucket column is constant
     order: tuple
     n: int = -1      # number of rows when known
-    nf: int = -1     # number of fine buckets
+    nf: int = -1     # number of fine buckets asked for
 
 
 def rows_per_bucket(df: DataFrame, override: int | None = None) -> int:
@@ -98,8 +98,10 @@ def assign_buckets(df: DataFrame, order, rpb: int | None = None, materialize: bo
               .withColumn(FB, F.spark_partition_id().cast("long"))
               .withColumn(PLACE, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))))
     out = materialized(placed)
-    out = out.withColumn(BKT, ((F.col(FB) - F.pmod(F.col(FB), F.lit(group))) / F.lit(group)).cast("long"))
-    return Ordered(out, math.ceil(nf / group), order, n, nf)
+    nb = math.ceil(nf / group)
+    run = ((F.col(FB) - F.pmod(F.col(FB), F.lit(group))) / F.lit(group)).cast("long")
+    # a session may deal more partitions than asked for: the last bucket takes them
+    return Ordered(out.withColumn(BKT, F.least(run, F.lit(nb - 1).cast("long"))), nb, order, n, nf)
 
 
 def _running_before(df: DataFrame, value: str, keys, bucket: str, out: str) -> DataFrame:
@@ -116,8 +118,6 @@ def global_index(df: DataFrame, order, out: str = "seq", rpb: int | None = None,
 
 def number_rows(o: Ordered, out: str = "seq") -> Ordered:
     """Positions for the result of ``assign_buckets``; drops its helper columns but ``_bkt``."""
-    if o.nf == 1:
-        return Ordered(o.df.withColumnRenamed(PLACE, out).drop(FB), o.nb, o.order, o.n)
     counts = o.df.groupBy(FB).agg(F.count(F.lit(1)).alias("__n"))
     base = _running_before(counts, "__n", [], FB, "__base").drop("__n")
     res = o.df.join(F.broadcast(base), FB).withColumn(out, F.col("__base") + F.col(PLACE))
@@ -136,28 +136,31 @@ def number_in_cells(df: DataFrame, order, keys, out: str = "seq") -> Ordered:
     return Ordered(res, o.nb, o.order, o.n)
 
 
-def prefix_sum(o: Ordered, value, keys=(), seq: str = "seq", out: str = "cum") -> Ordered:
-    """Running sum of ``value`` in ``seq`` order per ``keys``, current row included.
+def prefix_sum(o: Ordered, value, keys=(), seq: str = "seq", out="cum") -> Ordered:
+    """Running sum of ``value`` in ``seq`` order per ``keys``, current row included;
+    with lists of values and names, several in one pass.
 
-    With several buckets, each row first gets the total of its key's earlier
+    With several buckets, each row first gets the totals of its key's earlier
     buckets (a (key, bucket) table joined before the window, so the big side is
     shuffled once, by (key, bucket), and the window reuses that partitioning)."""
     keys = list(keys)
-    v = value if not isinstance(value, str) else F.col(value)
-    df = o.df.withColumn("__v", v)
+    values, outs = (value, out) if isinstance(out, list) else ([value], [out])
+    tmp = [f"__v{k}" for k in range(len(outs))]
+    df = o.df.withColumns({t: F.col(v) if isinstance(v, str) else v for t, v in zip(tmp, values)})
     w = (Window.partitionBy(*keys, BKT).orderBy(seq)
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    run = {c: F.sum(t).over(w) for t, c in zip(tmp, outs)}
     if o.nb > 1:
-        tot = df.groupBy(*keys, BKT).agg(F.sum("__v").alias("__t"))
-        base = _running_before(tot, "__t", keys, BKT, "__pb").drop("__t")
+        base = df.groupBy(*keys, BKT).agg(*[F.sum(t).alias(f"{t}_t") for t in tmp])
+        for t in tmp:
+            base = _running_before(base, f"{t}_t", keys, BKT, f"{t}_b")
         # keyless: at most MAX_BUCKETS rows, broadcast; keyed: an ordinary join
-        df = join_null_safe(df, base, keys + [BKT], "left", broadcast=not keys)
-        df = df.withColumn(out, F.sum("__v").over(w) + F.coalesce(F.col("__pb"), F.lit(0))).drop("__pb")
+        df = join_null_safe(df, base.drop(*[f"{t}_t" for t in tmp]), keys + [BKT], "left", broadcast=not keys)
+        df = df.withColumns({c: run[c] + F.coalesce(F.col(f"{t}_b"), F.lit(0)) for t, c in zip(tmp, outs)})
         # the running sum is a sort of the whole frame and its consumers
         # (per-key summaries and windows) read it more than once: write it once
-        return Ordered(materialized(df.drop("__v")), o.nb, o.order, o.n)
-    df = df.withColumn(out, F.sum("__v").over(w))
-    return Ordered(df.drop("__v"), o.nb, o.order, o.n)
+        return Ordered(materialized(df.drop(*tmp, *[f"{t}_b" for t in tmp])), o.nb, o.order, o.n)
+    return Ordered(df.withColumns(run).drop(*tmp), o.nb, o.order, o.n)
 
 
 def keyed_prev(o: Ordered, keys, cols, seq: str = "seq", prefix: str = "prev_",

@@ -21,12 +21,13 @@ from iolens.sources import readers as R
 from iolens.sources import views as V
 from iolens.sources.views import with_views
 
-SMALL_BUCKET_ROWS = 1500
+BUCKETS = 7
 
 
 @contextmanager
-def small_buckets(spark, rows: int = SMALL_BUCKET_ROWS):
-    """Buckets are cut while a query is built; only these are small."""
+def small_buckets(spark, sf):
+    """Buckets are cut while a query is built; only these are small, about ``BUCKETS`` to the event trace."""
+    rows = max(100, V.trace(spark, sf).count() // BUCKETS)
     old = spark.conf.get(CONF_ROWS_PER_BUCKET, None)
     spark.conf.set(CONF_ROWS_PER_BUCKET, str(min(rows, int(old)) if old else rows))
     try:
@@ -42,7 +43,7 @@ def _bucketed(name: str, sql: str):
     """Register a query that is built with small buckets."""
     def deco(fn):
         def run(spark, sf):
-            with small_buckets(spark):
+            with small_buckets(spark, sf):
                 return fn(spark, sf)
         run.__name__, run.__doc__ = fn.__name__, fn.__doc__
         return register(name, sql)(run)
