@@ -22,7 +22,7 @@ import regex
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: the byte-level splitting pattern (fixed value)
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ROWS = 1_000_000
+CACHE_ROWS = 400_000
 _LONGEST = 64
 
 
