@@ -5,7 +5,7 @@ run of characters that are not white space followed by white space. So a text
 is cut there into chunks, each chunk is encoded by the library once, and its
 ids (little-endian bytes) are kept in a bounded cache: a text's ids are the
 joined ids of its chunks, exactly those of the whole text
-(``tests/llm/test_tokens.py``). A tokenizer of another kind, or a text that
+(``tests/llm/test_packing.py``). A tokenizer of another kind, or a text that
 holds one of its added tokens as a string, is encoded whole.
 """
 
