@@ -11,6 +11,17 @@ def test_scratch_under_checkpoint_dir(spark):
     assert scratch_path(spark, "x") != p
 
 
+def test_clear_scratch_deletes_only_scratch(spark, tmp_path, monkeypatch):
+    import os
+
+    from iolens import session
+    monkeypatch.setattr(session, "ensure_checkpoint_dir", lambda s: f"file://{tmp_path}")
+    (tmp_path / "other").mkdir()
+    spark.range(3).write.parquet(scratch_path(spark, "t"))
+    assert os.listdir(tmp_path / "iolens-scratch")
+    assert session.clear_scratch(spark) and os.listdir(tmp_path) == ["other"]
+
+
 def test_no_private_folder_on_a_cluster(monkeypatch):
     import types
 
