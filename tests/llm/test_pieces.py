@@ -98,3 +98,19 @@ def test_query_and_columns(spark, model):
     assert all(r.back == (r.text or "") for r in out)
     got = sorted(((r.doc_id or 0, r.n_pieces) for r in P.describe(docs, path).collect()))
     assert got[1:3] == [(1, 0), (2, 0)] and P.describe(docs.limit(0), path).count() == 0
+
+
+def test_ids_are_the_librarys(spark, model, sp):
+    assert model.kind == P.BPE
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").filter("text is not null").collect()]
+    rng = random.Random(5)
+    texts += ["", " ", "   ", "aaaaaaa aaaa", " Elle des", "x" * 700, "日本語🙂🙂é" * 200, "".join(rng.choice("etaoins ") for _ in range(3000)), "ab" * 3000]
+    texts += ["".join(rng.choice("abcdeéß日🙂 .,ingthe\n") for _ in range(rng.randint(1, 90))) for _ in range(1500)]
+    for t, ids in zip(texts, model.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == sp.encode(t), t
+
+
+def test_both_ways_of_merging_agree(model):
+    rng = random.Random(6)
+    words = ["▁" + "".join(rng.choice("etaoinshé🙂") for _ in range(40)) for _ in range(300)]
+    assert model.merge(words) == [model.merge_long(w) for w in words]
