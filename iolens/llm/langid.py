@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from iolens.llm.common import map_text, prepare, table
+from iolens.llm.common import map_text, prepare, table, written
 
 BITS = 13
 DIM = 1 << BITS
@@ -143,9 +143,23 @@ def floors(cos: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
+def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's rows of different (lang, h): copies of a text go before they are shuffled."""
+    seen: set[tuple[str, int]] = set()
+    for b in batches:
+        take = []
+        for at, x in enumerate(zip(b.column("lang").to_pylist(), b.column("h").to_pylist())):
+            if x not in seen:
+                seen.add(x)
+                take.append(at)
+        if take:
+            yield b.take(pa.array(take, pa.int64()))
+
+
 def fit(train: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Model:
     """Model from rows of ``text`` and ``lang``; rows where either is null or the
     text has no letter don't count."""
+    prepare(train.sparkSession)
     train = train.select("text", F.col("lang").cast("string").alias("lang")).filter("text is not null and lang is not null")
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,13 +188,28 @@ def fit(train: DataFrame, clusters: int = CLUSTERS, sample: int = SAMPLE) -> Mod
             df[r.bucket] = r.n
     idf = (np.log((1 + sum(docs.values())) / (1 + df)) + 1).astype(np.float32)
 
-    # different texts by the least hashes: as many as wanted, from about twice as many candidates
-    h = train.withColumn("h", F.xxhash64("text"))
+    # different texts by the least hashes: as many as wanted, from about twice as
+    # many candidates. Copies don't count: a language's share is that of its different texts
     top = (1 << 63) - 1
-    limit = F.create_map(*[F.lit(x) for lang, n in docs.items() for x in (lang, min(top, 2 * sample * top // n))])
-    some = h.filter(F.abs(F.when(F.col("h") < -top, F.lit(top)).otherwise(F.col("h"))) <= F.element_at(limit, F.col("lang")))
-    some = some.dropDuplicates(["lang", "h"])
-    some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
+    h = train.filter(F.col("text").rlike(r"\p{L}")).withColumn("h", F.xxhash64("text"))
+    distinct = {r.lang: r.n for r in h.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}  # a row a language
+
+    def draw(part: dict[str, int]) -> DataFrame:
+        limit = F.element_at(F.create_map(*[F.lit(x) for item in part.items() for x in item]), F.col("lang"))
+        some = h.filter(F.abs(F.when(F.col("h") < -top, F.lit(top)).otherwise(F.col("h"))) <= limit)
+        some = some.mapInArrow(_once, "text string, lang string, h long").dropDuplicates(["lang", "h"])
+        some = some.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("k") <= sample)
+        return written(some, "langid-sample")
+
+    limits = {lang: min(top, 2 * sample * top // max(n, 1)) for lang, n in distinct.items()}
+    if not limits:
+        return Model([], np.zeros((0, DIM), np.float32), idf, {})
+    some = draw(limits)
+    got = {r.lang: r.n for r in some.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    # a cut language has more than `sample` different texts
+    short = {lang: top for lang, n in limits.items() if n < top and got.get(lang, 0) < sample}
+    if short:
+        some = some.filter(~F.col("lang").isin(*short)).union(draw(short))
 
     def one(group: pd.DataFrame) -> pd.DataFrame:
         lang = group["lang"].iloc[0]

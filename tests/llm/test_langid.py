@@ -62,3 +62,14 @@ def test_edge_rows(spark):
     assert by == {(1, "und"), (2, "und"), (3, "und"), (4, "en"), (None, "es"), (7, "en")}
     none = L.fit(docs.limit(0))
     assert {r.lang_pred for r in L.identify(docs, none).collect()} == {"und"} and L.identify(docs.limit(0), model).count() == 0
+
+
+def test_copies_dont_thin_the_sample(spark):
+    words = "lorem ipsum dolor amet sit elit nunc".split()
+    texts = [" ".join(words[(k * j + j * j) % 7] + str(k) for j in range(40)) for k in range(60)]
+    train = spark.createDataFrame([(t, "aa") for t in texts] * 200, "text string, lang string")
+    m = L.fit(train, clusters=2, sample=20)
+    # 2 * 20 of 12,000 rows would be less than one of the 60 texts
+    assert set(m.langs) == {"aa"} and m.floor["aa"].max() > 0
+    lang, score, bad = m.predict([texts[0], "ччч щщщ ъъъ ыыы " * 30])
+    assert not bad[0] and bad[1]
