@@ -7,6 +7,9 @@ ids (little-endian bytes) are kept in a bounded cache: a text's ids are the
 joined ids of its chunks, exactly those of the whole text
 (``tests/llm/test_packing.py``). A tokenizer of another kind, or a text that
 holds one of its added tokens as a string, is encoded whole.
+
+The operators take ``encoder(path)``: the file's tokenizer as it is, so a special
+token that a text spells out, such as ``<|endoftext|>``, is one id.
 """
 
 from __future__ import annotations
@@ -48,14 +51,15 @@ class _Ids(dict):
 
 
 class Encoder:
-    """``bytes_of(text)``: the ids as little-endian unsigned integers of ``width`` bytes."""
+    """``bytes_of(text)``: the ids as little-endian unsigned integers of ``width`` bytes.
+    Special tokens spelled out in a text are their ids with ``special``, else plain characters."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        self.tok.encode_special_tokens = not special
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
@@ -63,7 +67,7 @@ class Encoder:
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         self.plain = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
                       and not spec.get("normalizer") and model["type"] == "BPE" and not model.get("dropout"))
-        self.added = [t["content"] for t in spec.get("added_tokens") or [] if not t.get("special")]
+        self.added = [t["content"] for t in spec.get("added_tokens") or [] if special or not t.get("special")]
         self.chunk = regex.compile(f"[{_SPACE}]*+[^{_SPACE}]++|[{_SPACE}]++")
         self.other = regex.compile(f"[{_SPACE}--\n ]|  |\n[ \n]| \n", regex.V1)
         self.piece = regex.compile(_PIECES)
@@ -105,7 +109,7 @@ class Encoder:
 
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return Encoder(path, special=True)
 
 
 def ids32(ids: bytes, width: int) -> bytes:

@@ -155,3 +155,15 @@ def test_edge_rows(spark, tok):
     check_result(P.pack(docs).collect(), texts, tok)
     assert P.pack(docs.limit(0)).count() == 0
     assert P.piece_lengths(1024, 1024) == [1024] and P.piece_lengths(1025, 1024) == [1, 1024]
+
+
+SPECIAL = [(1, "<|endoftext|>"), (2, "a <|endoftext|> b"), (3, "x<|endoftext|><|endoftext|>\n\ny"), (4, "<|endoftext| >"), (5, "word " * 900 + "<|endoftext|>")]
+
+
+def test_special_tokens_in_texts_are_the_librarys(spark):
+    plain = Tokenizer.from_file(T.vocab_file(P.VOCAB))
+    enc = T.encoder(T.vocab_file(P.VOCAB))
+    for t in [t for _, t in SPECIAL] + ["plain words, no token"]:
+        assert ids(enc, t) == plain.encode(t, add_special_tokens=False).ids, t
+    docs = spark.createDataFrame(SPECIAL, "doc_id long, text string")
+    check_result(P.pack(docs).collect(), SPECIAL, plain)

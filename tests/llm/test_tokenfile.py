@@ -62,3 +62,14 @@ def test_edge_rows(spark):
     assert by_doc(got.collect()) == expected(texts)[0]
     empty = F.write(docs.limit(0), scratch_path(spark, "t-tokens"), T.vocab_file(F.VOCAB))
     assert empty.count() == 0 and F.read_documents(empty).count() == 0
+
+
+def test_special_tokens_in_texts_are_the_librarys(spark):
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "tail"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = F.read_documents(F.write(docs, scratch_path(spark, "t-tokens"), T.vocab_file(F.VOCAB))).collect()
+    tok, start = Tokenizer.from_file(T.vocab_file(F.VOCAB)), 0
+    for r in sorted(got, key=lambda r: r.start):
+        want = tok.encode(texts[r.doc_id], add_special_tokens=False).ids + [F.END_ID]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(want), zlib.crc32(np.array(want, "<u4").tobytes()))
+        start += len(want)
