@@ -27,15 +27,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near copies the document with the smallest doc_id.
-    Of rows that repeat that doc_id one stays; rows without a doc_id go, as
-    they can't be told apart."""
-    prepare(spark)
-    groups = written(simhash.near_duplicates(docs), "pipeline-groups")
-    heads = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("head"))
-    n = heads.agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("head").alias("ids")).first()
-    out = docs.join(heads.distinct(), docs["doc_id"].cast("long") == F.col("head"), "left_semi")
-    return out if n["rows"] == n["ids"] else out.dropDuplicates(["doc_id"])
+    """Keeps of each group of near copies the row with the smallest doc_id, a null
+    one last, and of rows that repeat it the one with the least hash of its text."""
+    return simhash.keep_one(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

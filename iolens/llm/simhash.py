@@ -305,6 +305,43 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
+    """One row of ``docs`` of each group of near copies, columns as they were: the
+    one with the least doc_id (null after all others), of these with the least
+    hash of its text, then of all columns. Groups are named by fingerprint, not
+    by doc_id, so doc_ids may be null or repeat."""
+    prepare(docs.sparkSession)
+    every = [docs[f"`{c}`"] for c in docs.columns]
+    text = F.coalesce(docs["text"], F.lit(""))
+    key = {"id": docs["doc_id"].cast("long"), "text_hash": F.xxhash64(text),
+           "row_hash": F.xxhash64(*every, *[c.isNull() for c in every])}  # nulls add nothing to a hash
+
+    names = list(key)
+
+    def batch(b: pa.RecordBatch) -> dict:
+        fps = np.array([fingerprint(t, shingle) for t in text_bytes(b.column("text"))], np.uint64)
+        return {k: b.column(k) for k in names} | {"fp": fps.view(np.int64)}
+
+    rows = map_text(docs.select(*[v.alias(k) for k, v in key.items()], text.alias("text")),
+                    "id long, text_hash long, row_hash long, fp long", batch)
+    rows = written(rows, "simhash-rows")
+    nodes = written(rows.select("fp").distinct(), "simhash-distinct")
+    roots = written(components(links(nodes, max_bits)), "simhash-roots")
+    each = rows.groupBy("fp", *key).agg(F.count(F.lit(1)).alias("copies")).join(roots, F.col("fp") == F.col("node"), "left")
+    least = F.min(F.struct(F.col("id").isNull().alias("no_id"), *key, "copies"))
+    heads = each.groupBy(F.coalesce("root", "fp").alias("root")).agg(least.alias("head")).select("head.*")
+    heads = written(heads, "simhash-heads")
+
+    def of(part: DataFrame) -> DataFrame:
+        same = key["id"].eqNullSafe(part["id"]) & (key["text_hash"] == part["text_hash"]) & (key["row_hash"] == part["row_hash"])
+        return docs.join(part, same, "left_semi")
+
+    if heads.filter("copies > 1").isEmpty():
+        return of(heads)
+    # rows that are equal in all columns
+    return of(heads.filter("copies = 1")).union(of(heads.filter("copies > 1")).distinct())
+
+
 def hex64(fp):
     """A signed long's 64 bits as 16 lowercase hex digits."""
     return F.lpad(F.lower(F.hex(fp)), 16, "0")

@@ -46,3 +46,20 @@ def test_run_and_edge_rows(spark, tmp_path):
     assert len({(r.doc_id, r.piece) for r in rows}) == len(rows)
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert C.run(spark, f"{tmp_path}/none").count() == 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    def text(k):
+        return " ".join(f"w{k}x{j * j % 97}" for j in range(80))
+
+    docs = [(None, text(1), "en"), (None, text(1), "en"), (None, text(2), "en"), (None, text(2), None),  # groups without a doc_id
+            (5, text(3), "en"), (5, text(4), "en"),  # unlinked texts with one doc_id
+            (6, text(5), "en"), (7, text(5), "en"), (7, text(6), "en"), (None, text(5), "en"),  # 7: a copy, and a text of its own
+            (8, text(7), "en"), (8, text(7), "en"), (8, text(7), "de")]
+    frame = spark.createDataFrame([(*d, "s", len(d[1])) for d in docs], "doc_id long, text string, lang string, id string, copies int")
+    out = C.near_duplicates(spark, frame, "")
+    rows = out.collect()
+    assert out.dtypes == frame.dtypes and {tuple(r) for r in rows} <= {tuple(r) for r in frame.collect()}
+    got = sorted(((r.doc_id or 0, r.text) for r in rows))
+    assert got == sorted([(0, text(1)), (0, text(2)), (5, text(3)), (5, text(4)), (6, text(5)), (7, text(6)), (8, text(7))])
+    assert C.near_duplicates(spark, frame.limit(0), "").count() == 0
