@@ -2,8 +2,8 @@
 
 A byte-level BPE tokenizer splits a text before it merges, and never inside a
 run of characters that are not white space followed by white space. So a text
-is cut there into chunks, each chunk is encoded by the library once, and its
-ids (little-endian bytes) are kept in a bounded cache: a text's ids are the
+is cut there into chunks, each chunk is encoded by the library's own model, and its
+ids (little-endian bytes) are remembered in a bounded cache: a text's ids are the
 joined ids of its chunks, exactly those of the whole text
 (``tests/llm/test_packing.py``). A tokenizer of another kind, or a text that
 holds one of its added tokens as a string, is encoded whole.
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import os
+import struct
 from functools import lru_cache
 
 import numpy as np
@@ -25,7 +26,8 @@ import regex
 _SPACE = "\t-\r \x85\xa0  -     　"
 #: the byte-level splitting pattern (fixed value)
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-CACHE_ROWS = 400_000
+#: entries of a cache's generation; a cache has two. Longer chunks are not kept
+CACHE_ROWS = 250_000
 _LONGEST = 64
 
 
@@ -36,18 +38,49 @@ def vocab_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-class _Ids(dict):
-    """chunk -> ids as little-endian bytes."""
+class Remembered(dict):
+    """key -> ``make(key)`` for the keys met lately, in two generations of ``rows``
+    entries: when the young one is full it becomes the old one, and an old entry that
+    is met again moves to the young one. So keys in steady use stay, at any corpus size."""
 
-    def __init__(self, encode, dtype: str):
+    def __init__(self, make, rows: int):
         super().__init__()
-        self.encode, self.dtype = encode, dtype
+        self.make, self.rows, self.old = make, rows, {}
 
-    def __missing__(self, chunk: str) -> bytes:
-        ids = np.array(self.encode(chunk), self.dtype).tobytes()
-        if len(chunk) <= _LONGEST:
-            self[chunk] = ids
-        return ids
+    def __missing__(self, key):
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:
+        if len(self) >= self.rows:
+            self.old = dict(self)
+            self.clear()
+        if len(key) <= _LONGEST:
+            self[key] = value
+
+    def holds(self, key) -> bool:
+        return key in self or key in self.old
+
+
+def shown_bytes() -> dict[int, str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class OddSpace(ValueError):
+    """A text has white space other than a single space or line end between other characters."""
+
+
+def check_word(word: str) -> None:
+    """Raises ``OddSpace`` unless ``word``, a line end before it aside, has characters and no white space."""
+    core = word[1:] if word[:1] == "\n" else word
+    if core.split() != [core]:
+        raise OddSpace
 
 
 class Encoder:
@@ -64,47 +97,53 @@ class Encoder:
             spec = json.load(f)
         self.width = 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
         self.dtype = f"<u{self.width}"
+        self.pack = {n: struct.Struct(f"<{n}{'H' if self.width == 2 else 'I'}").pack for n in range(1, 2 * _LONGEST)}
         pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
         self.plain = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True)
                       and not spec.get("normalizer") and model["type"] == "BPE" and not model.get("dropout"))
         self.added = [t["content"] for t in spec.get("added_tokens") or [] if special or not t.get("special")]
         self.chunk = regex.compile(f"[{_SPACE}]*+[^{_SPACE}]++|[{_SPACE}]++")
-        self.other = regex.compile(f"[{_SPACE}--\n ]|  |\n[ \n]| \n", regex.V1)
         self.piece = regex.compile(_PIECES)
-        seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
-        rest = [b for b in range(256) if b not in seen]
-        self.shown = {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(rest)}
-        self.pieces = _Ids(self._merge, self.dtype)
-        self.chunks = _Ids(self._split, self.dtype)
-        self.after_space = _Ids(lambda w: self._split(" " + w if w[:1] != "\n" else w), self.dtype)
-
-    def _merge(self, piece: str) -> list[int]:
-        return [t.id for t in self.tok.model.tokenize(piece.encode().decode("latin-1").translate(self.shown))]
-
-    def _split(self, chunk: str) -> np.ndarray:
-        body = chunk[1:] if chunk[:1] == " " else chunk
-        if body.isalpha():
-            got = self.pieces[chunk]
-        elif body[:-1].isalpha() and body[-1] in ".,":
-            got = self.pieces[chunk[:-1]] + self.pieces[chunk[-1]]
-        else:
-            got = b"".join(map(self.pieces.__getitem__, self.piece.findall(chunk)))
-        return np.frombuffer(got, self.dtype)
+        self.shown = shown_bytes()
+        self.space = self.shown[ord(" ")]
+        self.pieces = Remembered(self._merge, CACHE_ROWS // 4)
+        self.chunks = Remembered(self._split, CACHE_ROWS // 4)
+        #: words without the space before them, or with the line end
+        self.words = Remembered(self._word, CACHE_ROWS)
+
+    def _ids(self, shown: str) -> bytes:
+        ids = [t.id for t in self.tok.model.tokenize(shown)]
+        pack = self.pack.get(len(ids))
+        return pack(*ids) if pack else np.array(ids, self.dtype).tobytes()
+
+    def _merge(self, piece: str) -> bytes:
+        return self._ids(piece.encode().decode("latin-1").translate(self.shown))
+
+    def _split(self, chunk: str) -> bytes:
+        return b"".join(map(self.pieces.__getitem__, self.piece.findall(chunk)))
+
+    def _word(self, word: str) -> bytes:
+        if word.isalpha():
+            return self._ids(self.space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.shown)))
+        body = word[:-1]
+        if body.isalpha() and word[-1] in ".,":
+            return self.words[body] + self.pieces[word[-1]]
+        check_word(word)
+        return self._split(word if word[:1] == "\n" else " " + word)
 
     def bytes_of(self, text: str) -> bytes:
         if not text:
             return b""
         if not self.plain or any(t in text for t in self.added):
             return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
-        for kept in (self.chunks, self.after_space, self.pieces):
-            if len(kept) > CACHE_ROWS:
-                kept.clear()
-        if text[0] in " \n" or self.other.search(text):
-            return b"".join(map(self.chunks.__getitem__, self.chunk.findall(text)))
         # single spaces and line ends only: splitting at spaces is faster. A line
-        # end becomes a part of its own line's first word, as in the chunks above
+        # end becomes a part of its own line's first word, as in the chunks below
         first, *words = text.replace("\n", " \n").split(" ")
-        return self.chunks[first] + b"".join(map(self.after_space.__getitem__, words))
+        try:
+            check_word(first)
+            return self.chunks[first] + b"".join(map(self.words.__getitem__, words))
+        except OddSpace:
+            return b"".join(map(self.chunks.__getitem__, self.chunk.findall(text)))
 
 
 @lru_cache(maxsize=2)
