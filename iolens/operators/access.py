@@ -14,7 +14,7 @@ from iolens.functions.blocks import explode_blocks, idiv
 from iolens.functions.time import time_floor
 from iolens.operators import cdf
 from iolens.operators.cdf import join_on_keys
-from iolens.plans.order import join_null_safe, materialized
+from iolens.plans.order import BKT, join_null_safe, materialized, time_buckets
 from iolens.sources.readers import normalize_sector
 
 # Number of log-spaced edges of the access histogram; ranks.
@@ -68,13 +68,14 @@ def access_histogram_log(counts: DataFrame, bins: int = LOG_EDGES - 1, keys=())
 def access_nearest_rank(counts: DataFrame, ps=(0.9, 0.99), keys=()) -> DataFrame:
     """Percentiles of the access count as sorted[int(n*p)] (0-based, no interpolation)."""
     keys = list(keys)
-    h = cdf.cumulative_histogram(counts, "accesses", keys, out="accesses")
-    cols = []
+    h = cdf.histogram_of(counts, "accesses", keys)
+    n = materialized(h.groupBy(*keys).agg(F.sum("cnt").alias("__n")))  # a row a key
+    out = n.drop("__n") if keys else None
     for p in ps:
-        r = (F.col("n") * F.lit(float(p))).cast("long")
-        hit = (F.col("cb") <= r) & (r < F.col("cb") + F.col("cnt"))
-        cols.append(F.max(F.when(hit, F.col("accesses"))).alias(f"p{round(p * 100):d}"))
-    return h.groupBy(*keys).agg(*cols)
+        ranks = n.select(*keys, F.least((F.col("__n") * F.lit(float(p))).cast("long"), F.col("__n") - 1).alias("__rank")).filter("__n > 0")
+        at = cdf.value_at_rank(h, ranks, keys).select(*keys, F.col("__v").alias(f"p{round(p * 100):d}"))
+        out = at if out is None else join_on_keys(out, at, keys)
+    return out
 
 
 def access_count_cdf(counts: DataFrame, keys=()) -> DataFrame:
@@ -94,13 +95,14 @@ def access_space(df: DataFrame, mode: str = "cover", keys=()) -> DataFrame:
 
 def access_arrival(df: DataFrame, ranks: DataFrame, mode: str = "cover", keys=()) -> DataFrame:
     """(timestamp, device, block, first-arrival rank) for every access. Ranks
-    are one row per block; a hot block's accesses are counted by timestamp first,
-    so what meets at its rank is one row per (timestamp, block), then unfolded."""
+    are one row per block. They are copied to the stretches of time that visit a
+    block, and accesses meet them by (block, stretch): a hot block's accesses are as
+    many joins as it has stretches, each about a bucket's rows."""
     by = _names(*keys, "device_id", "block")
-    times = access_space(df, mode, keys).groupBy(*_names(*by, "timestamp")).agg(F.count(F.lit(1)).alias("__n"))
-    j = join_null_safe(times, ranks.select(*by, "rank"), by)
-    return j.withColumn("__i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(
-        *_names(*keys, "timestamp", "device_id", "block", "rank"))
+    o = time_buckets(df.select(*_names(*keys, "device_id", "offset", "length", "timestamp")), "timestamp")
+    ex = explode_blocks(o.df, mode).select(*_names(*by, "timestamp"), BKT)
+    visits = join_null_safe(ex.select(*by, BKT).distinct(), ranks.select(*by, "rank"), by)
+    return join_null_safe(ex, visits, [*by, BKT]).select(*_names(*keys, "timestamp", "device_id", "block", "rank"))
 
 
 def access_pattern_sector(df: DataFrame, mode: str = "cover", keys=()) -> DataFrame:

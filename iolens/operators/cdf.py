@@ -9,7 +9,7 @@ spread over tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from iolens.plans.order import BKT, FB, PLACE, assign_buckets, join_null_safe, materialized, prefix_sum
@@ -24,11 +24,6 @@ def join_on_keys(df: DataFrame, small: DataFrame, keys) -> DataFrame:
         F.broadcast(small.withColumn("__one", F.lit(0))), "__one").drop("__one")
 
 
-# A value -> count table with at most this many rows is small enough for one
-# aggregation buffer per key (Spark's exact percentile keeps such a map).
-SMALL_HISTOGRAM_ROWS = 1_000_000
-
-
 def cumulative_histogram(df: DataFrame, x, keys=(), out: str = "x", weight: str | None = None,
                          materialize: bool = True) -> DataFrame:
     """(keys, x, cnt, cb, n): cnt rows equal x; cb rows with a smaller value; n rows in key.
@@ -92,31 +87,64 @@ def index_cdf(df: DataFrame, x: str, keys=(), out: str = "x", one_based: bool =
                     ((F.col("cb") + F.col("cnt") - 1 + add) / F.col("n")).alias("cdf_last"))
 
 
-def quantile_from_histogram(h: DataFrame, q: float, keys=(), x: str = "__x", out: str = "quantile",
-                            extra=()) -> DataFrame:
-    """Exact quantile (linear interpolation at position (n-1)*q) per key from a
-    ``cumulative_histogram``; ``extra`` aggregates ride along in the same pass."""
-    keys = list(keys)
-    pos = (F.col("n") - 1).cast("double") * F.lit(float(q))
-    lo, hi = F.floor(pos), F.ceil(pos)
+#: bits of a value that one pass of ``value_at_rank`` settles
+DIGIT_BITS = 16
 
-    def at(r):
-        return F.max(F.when((F.col("cb") <= r) & (r < F.col("cb") + F.col("cnt")), F.col(x)))
-    a = h.groupBy(*keys).agg(at(lo).alias("__lo"), at(hi).alias("__hi"), F.first(pos).alias("__pos"), *extra)
-    frac = F.col("__pos") - F.floor("__pos")
-    val = (F.col("__lo").cast("double") + (F.col("__hi").cast("double") - F.col("__lo").cast("double")) * frac)
-    return a.withColumn(out, val).drop("__lo", "__hi", "__pos")
 
+def value_at_rank(hist: DataFrame, ranks: DataFrame, keys=(), x: str = "__x", cnt: str = "cnt") -> DataFrame:
+    """Radix selection. ``hist``: a written value -> count table by key, with long
+    values; ``ranks``: one row a key with a 0-based rank ``__rank``. Returns, by key, the value
+    there, ``__v``, and how many rows equal to it lie after that rank, ``__after``.
 
-def histogram_stats(df: DataFrame, x: str, q: float, keys=(), out: str = "quantile", extra=()) -> DataFrame:
-    """Exact quantile of ``x`` per key plus aggregates over the histogram (columns
-    __x and cnt available to ``extra``). The value -> count histogram is written
-    once; when its size is checked to be small, Spark's exact percentile with a
-    frequency column runs in one pass, otherwise the two-level cumulative form."""
+    Each pass counts the rows that share the digits found so far by their next
+    digit, at most ``2 ** DIGIT_BITS`` counts a key, and takes the one the rank
+    falls in. Nothing is sorted but these counts, and no value list is held."""
     keys = list(keys)
-    hist = materialized(df.groupBy(*keys, F.col(x).alias("__x")).agg(F.count(F.lit(1)).alias("cnt"))
+    low, high = hist.agg(F.min(x), F.max(x)).first()
+    low, high = (low or 0), (high or 0)
+    passes = max(1, -(-(high - low).bit_length() // DIGIT_BITS))
+    state = ranks.select(*keys, F.lit(0).cast("long").alias("__v"), F.col("__rank").cast("long").alias("__left"))
+    value = F.col(x) - F.lit(low)
+    for k in range(passes - 1, -1, -1):
+        # a row's digits down to this one, and those of them that are settled
+        digits = F.shiftright(value, DIGIT_BITS * k)
+        settled = F.shiftright(value, DIGIT_BITS * (k + 1)) if k < passes - 1 else F.lit(0).cast("long")
+        rows = hist.select(*keys, settled.alias("__p"), digits.alias("__d"), F.col(cnt).alias("__c"))
+        counts = (join_on_keys(rows, state, keys).filter("__p = __v").groupBy(*keys, "__d")
+                  .agg(F.sum("__c").alias("__c"), F.first("__left").alias("__left")))
+        upto = F.sum("__c").over(Window.partitionBy(*keys).orderBy("__d").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        state = (counts.withColumn("__upto", upto)
+                 .filter((F.col("__left") >= F.col("__upto") - F.col("__c")) & (F.col("__left") < F.col("__upto")))
+                 .select(*keys, F.col("__d").alias("__v"), (F.col("__left") - F.col("__upto") + F.col("__c")).alias("__left"),
+                         (F.col("__upto") - F.col("__left") - 1).alias("__after")))
+    return state.select(*keys, (F.col("__v") + F.lit(low)).alias("__v"), "__after")
+
+
+def histogram_of(df: DataFrame, x, keys=()) -> DataFrame:
+    """The written value -> count table of a long column, ``__x`` and ``cnt``, nulls left out."""
+    xc = F.col(x) if isinstance(x, str) else x
+    return materialized(df.groupBy(*list(keys), xc.cast("long").alias("__x")).agg(F.count(F.lit(1)).alias("cnt"))
                         .filter(F.col("__x").isNotNull()))
-    if hist.count() <= SMALL_HISTOGRAM_ROWS:
-        return hist.groupBy(*keys).agg(F.percentile("__x", F.lit(float(q)), F.col("cnt")).alias(out), *extra)
-    h = cumulative_histogram(hist, "__x", keys, out="__x", weight="cnt", materialize=False)
-    return quantile_from_histogram(h, q, keys, out=out, extra=extra)
+
+
+def histogram_quantile(hist: DataFrame, q: float, keys=(), out: str = "quantile", scale: float = 1.0, extra=()) -> DataFrame:
+    """Exact quantile (linear interpolation at position (n - 1) * q) of ``__x / scale``
+    per key of a ``histogram_of``; ``extra`` aggregates of the histogram ride along."""
+    keys = list(keys)
+    sums = hist.groupBy(*keys).agg(F.sum("cnt").alias("__n"), *extra)
+    sums = materialized(sums)  # a row a key
+    pos = (F.col("__n") - 1).cast("double") * F.lit(float(q))
+    at = materialized(value_at_rank(hist, sums.select(*keys, F.floor(pos).alias("__rank")), keys))
+    # the next rank's value is the same, or the next larger one
+    above = join_on_keys(hist, at.select(*keys, F.col("__v").alias("__low")), keys).groupBy(*keys).agg(
+        F.min(F.when(F.col("__x") > F.col("__low"), F.col("__x"))).alias("__next"))
+    j = join_on_keys(join_on_keys(at, above, keys), sums, keys)
+    lo = F.col("__v").cast("double") / F.lit(scale)
+    hi = F.when(F.col("__after") > 0, F.col("__v")).otherwise(F.coalesce("__next", "__v")).cast("double") / F.lit(scale)
+    return j.withColumn(out, lo + (hi - lo) * (pos - F.floor(pos))).drop("__v", "__after", "__next", "__n")
+
+
+def histogram_stats(df: DataFrame, x: str, q: float, keys=(), out: str = "quantile", extra=()) -> DataFrame:
+    """Exact quantile of a long column ``x`` per key plus aggregates over its histogram
+    (columns __x and cnt available to ``extra``)."""
+    return histogram_quantile(histogram_of(df, x, keys), q, keys, out, extra=extra)

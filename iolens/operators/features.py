@@ -1,7 +1,8 @@
 """Feature tables for clustering.
 
 Inter-arrival times (W10) are computed per device over the whole trace first
-and only then grouped, as the reference does (diff before windowing).
+and only then grouped, as the reference does (diff before windowing). The trace
+is not numbered for them, so no step writes it.
 """
 
 from __future__ import annotations

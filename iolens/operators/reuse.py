@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from iolens.functions.blocks import (BLOCK_SIZE, block_of_offset, col_floordiv, end_block, explode_blocks,
                                      idiv)
 from iolens.operators.cdf import histogram_stats, join_on_keys
-from iolens.plans.order import (BKT, Ordered, global_index, join_null_safe, keyed_prev, materialized,
-                                number_in_cells, prefix_sum)
+from iolens.plans.order import (BKT, FB, Ordered, global_index, join_null_safe, keyed_prev, lag_in_time, materialized,
+                                number_in_cells, prefix_sum, rank_in)
 
 TRACE_COLS = ("device_id", "opcode", "offset", "length", "timestamp")
 
@@ -25,7 +25,16 @@ def request_sequence(df: DataFrame, order, out: str = "seq", keys=()) -> DataFra
     return number_in_cells(df, order, keys, out).df.drop(BKT)
 
 
-def _seq(df: DataFrame, order, cols, keys=()) -> Ordered:
+def ordered(df: DataFrame, order, keys=()) -> Ordered:
+    """The trace numbered once (``keys``: in each cell). The order-dependent
+    operators take it in place of the trace, with the same ``order`` and
+    ``keys``, and then neither order nor write the trace again."""
+    return number_in_cells(df, order, keys)
+
+
+def _seq(df, order, cols, keys=()) -> Ordered:
+    if isinstance(df, Ordered):
+        return df
     keep = list(dict.fromkeys(list(keys) + list(cols) + list(order)))
     return number_in_cells(df.select(*keep), order, keys)
 
@@ -150,12 +159,18 @@ def first_reuse_segments(df: DataFrame, order, keys=()) -> DataFrame:
 
 
 def inter_arrival(df: DataFrame, order, keys=("device_id",), ts: str = "timestamp",
-                  extra=()) -> DataFrame:
-    """Ts - previous ts in request order per key; the first row gets 0."""
+                  extra=(), positions: bool = False) -> DataFrame:
+    """Ts - previous ts in request order per key; the first row gets 0.
+    ``order`` begins with ``ts``, so the rows are shuffled once by (key, stretch of
+    time) and neither numbered nor written; ``positions`` adds ``seq``, for which
+    the trace is ordered first."""
     keys = list(keys)
-    o = global_index(df.select(*_names(*keys, ts, *extra, *order)), order)
-    p = keyed_prev(o, keys, [ts]).df
-    return p.drop(BKT).withColumn(
+    t = df.select(*_names(*keys, ts, *extra, *order))
+    if positions:
+        p = keyed_prev(global_index(t, order), keys, [ts]).df.drop(BKT)
+    else:
+        p = lag_in_time(t, order, keys, ts, "prev_" + ts)
+    return p.withColumn(
         "inter_arrival", F.coalesce(F.col(ts) - F.col("prev_" + ts), F.lit(0).cast("long"))
     ).drop("prev_" + ts)
 
@@ -163,11 +178,16 @@ def inter_arrival(df: DataFrame, order, keys=("device_id",), ts: str = "timestam
 def first_arrival_rank(df: DataFrame, order, mode: str = "cover", keys=()) -> DataFrame:
     """0-based id of every (device, block) in order of first appearance
     (request order, then block order inside a request); ``keys``: in each cell.
-    First accesses are numbered in ranges of their own order, so the many of a
-    trace's beginning are spread."""
-    o = _seq(df, order, TRACE_COLS, keys)
-    firsts = explode_blocks(o.df, mode).groupBy(*_names(*keys, "device_id", "block")).agg(F.min("seq").alias("first_seq"))
-    return number_in_cells(materialized(firsts), ("first_seq", "block", "device_id"), keys, "rank").df.drop(BKT)
+    The trace is ordered once: a request's fine bucket is an ordered range already, so first
+    accesses are ranked inside the one they fall in, after those of earlier ones."""
+    keys = list(keys)
+    o = df if isinstance(df, Ordered) else number_in_cells(df.select(*_names(*keys, *TRACE_COLS, *order)), order, keys, fine=True)
+    bucket = FB if FB in o.df.columns else BKT
+    firsts = explode_blocks(o.df, mode).groupBy(*_names(*keys, "device_id", "block")).agg(
+        F.min("seq").alias("first_seq"), F.min(bucket).alias(BKT))
+    firsts = materialized(firsts)  # read for its counts and for its ranks
+    n = len(o.before) if bucket == FB else o.nb
+    return rank_in(Ordered(firsts, n, ()), ("first_seq", "block", "device_id"), keys, "rank").drop(BKT)
 
 
 def reuse_stats(distances: DataFrame, keys=("opcode",), col: str = "distance") -> DataFrame:

@@ -18,14 +18,11 @@ def small_request_share(df: DataFrame, keys=(), op: str = "opcode", size: str =
         .alias("small_pct"))
 
 
-def size_p99(df: DataFrame, keys=(), op: str = "opcode", size_kb=None, p: float = 0.99) -> DataFrame:
-    """A10: P99 of request size in KB per op, linear interpolation. An absent op has no row."""
-    keys = list(keys)
-    kb = size_kb if size_kb is not None else F.col("length") / F.lit(1024.0)
-    h = df.groupBy(*keys, op, kb.alias("__kb")).agg(F.count(F.lit(1)).alias("__n"))
-    # from the value -> count histogram: a group's buffer holds its distinct sizes, and an
-    # int length of whole sectors has at most 2**31 / 512 of them, whatever the trace
-    return h.groupBy(*keys, op).agg(F.percentile("__kb", F.lit(p), F.col("__n")).alias("p99_kb"))
+def size_p99(df: DataFrame, keys=(), op: str = "opcode", size: str = "length", per_kb: float = 1024.0, p: float = 0.99) -> DataFrame:
+    """A10: P99 of request size in KB per op, linear interpolation, by radix selection on
+    the counts of whole sizes (``per_kb`` of them make a KB: 2 for sectors). An absent op has no row."""
+    by = [*keys, op]
+    return cdf.histogram_quantile(cdf.histogram_of(df, size, by), p, by, out="p99_kb", scale=per_kb)
 
 
 def size_cdf_sampled(df: DataFrame, keys=(), op: str = "opcode", points: int = 1000) -> DataFrame:

@@ -9,14 +9,14 @@ from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
-from iolens.operators import access, cdf, features, rates, reuse, sizes
+from iolens.operators import access, cdf, features, rates, report, reuse, sizes
 from iolens.operators.unique_distance import unique_reuse_distance
 from iolens.plans.order import CONF_ROWS_PER_BUCKET
 from iolens.queries import register
 from iolens.queries.aggregates import A15_SQL, _round_std
 from iolens.queries.sources import GRID_BASE, GRID_SQL
 from iolens.queries.sqlparts import SEQ_NULLS, SEQ_TRACE, exploded, volume
-from iolens.queries.windows import TO, W2_SQL, W11_SQL, W12_SQL, _w12_select
+from iolens.queries.windows import TO, W2_SQL, W11_SQL, W12_SQL, _w12_cells, _w12_select
 from iolens.sources import readers as R
 from iolens.sources import views as V
 from iolens.sources.views import with_views
@@ -89,7 +89,15 @@ def q_all_reuse_volume_nulls_bucketed(spark, sf):
 
 @_bucketed("inter_arrival_nulls_bucketed", _W10_NULLS)
 def q_inter_arrival_nulls_bucketed(spark, sf):
-    return reuse.inter_arrival(_null_trace(spark, sf), TO).select("device_id", "timestamp", "seq", "inter_arrival")
+    return reuse.inter_arrival(_null_trace(spark, sf), TO, positions=True).select("device_id", "timestamp", "seq", "inter_arrival")
+
+
+@_bucketed("inter_arrival_in_time_nulls_bucketed", with_views(SEQ_NULLS + """
+SELECT device_id, "timestamp", tie,
+       coalesce("timestamp" - lag("timestamp") OVER (PARTITION BY device_id ORDER BY seq), 0) AS inter_arrival
+FROM r""", "trace"))
+def q_inter_arrival_in_time_nulls_bucketed(spark, sf):
+    return reuse.inter_arrival(_null_trace(spark, sf), TO).select("device_id", "timestamp", "tie", "inter_arrival")
 
 
 # --------------------------------------------------------- many order buckets
@@ -261,3 +269,63 @@ SELECT slice_start, device_id, "timestamp" AS time_s, "offset" FROM g""", "trace
 def q_access_raw_offset_per_slice(spark, sf):
     """X4 per cell, in the canonical trace's units."""
     return access.access_raw_offset(_cells(spark, sf).withColumnsRenamed({"timestamp": "Timestamp", "offset": "Offset"}), keys=CELL)
+
+
+@register("unique_reuse_distance_per_slice", with_views(_w12_cells("slice_start, device_id", "p IS NOT NULL", SEQ_CELL), "trace"))
+def q_unique_reuse_distance_per_slice(spark, sf):
+    return unique_reuse_distance(_cells(spark, sf), TO, keys=CELL)
+
+
+@_bucketed("unique_reuse_distance_per_slice_bucketed", with_views(_w12_cells("slice_start, device_id", "acc = 2", SEQ_CELL), "trace"))
+def q_unique_reuse_distance_per_slice_bucketed(spark, sf):
+    return unique_reuse_distance(_cells(spark, sf), TO, first_only=True, keys=CELL)
+
+
+@_bucketed("access_arrival_bucketed", with_views(W11_SQL + """
+SELECT e."timestamp", e.device_id, e.block, w11.rank FROM e JOIN w11 USING (device_id, block)""", "trace"))
+def q_access_arrival_bucketed(spark, sf):
+    t = V.trace(spark, sf)
+    return access.access_arrival(t, reuse.first_arrival_rank(t, TO))
+
+
+# --------------------------------------------- S8: six analyses of every cell in one run
+def _ends(frame: str, x: str, name: str) -> str:
+    """C4's last position by (cell, op, value)."""
+    return f"""
+SELECT slice_start, device_id, '{name}' AS analysis, opcode, CAST({x} AS DOUBLE) AS x,
+       CASE WHEN n = 1 THEN CAST(0 AS DOUBLE) WHEN max(i) = n - 1 THEN CAST(1 AS DOUBLE) ELSE max(i) * (CAST(1 AS DOUBLE) / (n - 1)) END AS y
+FROM (SELECT *, row_number() OVER (PARTITION BY slice_start, device_id, opcode ORDER BY {x}) - 1 AS i,
+             count(*) OVER (PARTITION BY slice_start, device_id, opcode) AS n FROM {frame}) GROUP BY slice_start, device_id, opcode, {x}, n"""
+
+
+@register("cell_report", with_views(_segments_sql(
+    SEQ_CELL.replace("SELECT *, row_number", "SELECT *, device_id AS dev, row_number"), "slice_start, dev,") + f"""
+, lg AS (SELECT slice_start, opcode, device_id, seq, lag(seq) OVER (PARTITION BY slice_start, opcode, device_id, "offset" // 4096 ORDER BY seq) AS p FROM r),
+  gp AS (SELECT slice_start, device_id, opcode, seq - p AS gap FROM lg WHERE p IS NOT NULL),
+  cs AS (SELECT slice_start, device_id, opcode, "length", row_number() OVER (PARTITION BY slice_start, device_id, opcode ORDER BY "length") - 1 AS i,
+               count(*) OVER (PARTITION BY slice_start, device_id, opcode) AS n FROM g),
+  sc AS (SELECT slice_start, device_id, "timestamp" - "timestamp" % 1000000 AS sec, count(*) AS n FROM g GROUP BY 1, 2, 3),
+  f0 AS (SELECT slice_start, device_id, min(sec) AS f, max(sec) AS l, min(sec) - min(sec) % 86400000000 AS d0 FROM sc GROUP BY 1, 2),
+  ag AS (SELECT sc.slice_start, sc.device_id, sc.sec - (sc.sec - f0.d0) % 10000000 AS bin_start, sum(n) / count(*) AS mean_iops
+         FROM sc JOIN f0 USING (slice_start, device_id) GROUP BY 1, 2, 3),
+  bn AS (SELECT slice_start, device_id, unnest(generate_series(f - (f - d0) % 10000000, l - (l - d0) % 10000000, 10000000)) AS bin_start FROM f0),
+  ex AS ({exploded('r', 'cover', 'slice_start, device_id, seq, "timestamp"')}),
+  fa AS (SELECT slice_start, device_id, block, min(seq) AS first_seq FROM ex GROUP BY 1, 2, 3),
+  rk AS (SELECT *, row_number() OVER (PARTITION BY slice_start, device_id ORDER BY first_seq, block) - 1 AS rank FROM fa)
+SELECT slice_start, device_id, 'size_cdf' AS analysis, opcode, CAST("length" AS DOUBLE) AS x, (i + 1) / n AS y FROM cs
+UNION ALL SELECT bn.slice_start, bn.device_id, 'request_rate', NULL, CAST(bin_start AS DOUBLE), ag.mean_iops FROM bn LEFT JOIN ag USING (slice_start, device_id, bin_start)
+UNION ALL {_ends('gp', 'gap', 'reuse_cdf')}
+UNION ALL {_ends('w9', 'distance', 'unique_reuse_cdf')}
+UNION ALL SELECT ex.slice_start, ex.device_id, 'arrival', NULL, CAST(ex."timestamp" AS DOUBLE), CAST(rk.rank AS DOUBLE) FROM ex JOIN rk USING (slice_start, device_id, block)
+UNION ALL SELECT slice_start, device_id, 'space', NULL, CAST("timestamp" AS DOUBLE), CAST(block AS DOUBLE) FROM ex""", "trace"))
+def q_cell_report(spark, sf):
+    """The points of every cell's six charts, from one ordering of the grid."""
+    t = report.cell_report(_cells(spark, sf), TO, CELL)
+    xy = {"size_cdf": ("opcode", "length", "cdf"), "request_rate": (None, "bin_start", "mean_iops"), "reuse_cdf": ("opcode", "gap", "pct_last"),
+          "unique_reuse_cdf": ("opcode", "distance", "pct_last"), "arrival": (None, "timestamp", "rank"), "space": (None, "timestamp", "block")}
+    out = None
+    for name, (op, x, y) in xy.items():
+        rows = t[name].select(*CELL, F.lit(name).alias("analysis"), (F.col(op) if op else F.lit(None).cast("string")).alias("opcode"),
+                              F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -104,7 +104,19 @@ SELECT device_id, "timestamp", seq,
        coalesce("timestamp" - lag("timestamp") OVER (PARTITION BY device_id ORDER BY seq), 0) AS inter_arrival
 FROM r""", "trace"))
 def q_inter_arrival(spark, sf):
-    return reuse.inter_arrival(V.trace(spark, sf), TO).select("device_id", "timestamp", "seq", "inter_arrival")
+    return reuse.inter_arrival(V.trace(spark, sf), TO, positions=True).select("device_id", "timestamp", "seq", "inter_arrival")
+
+
+W10_SQL = SEQ_TRACE + """
+SELECT device_id, "timestamp", tie,
+       coalesce("timestamp" - lag("timestamp") OVER (PARTITION BY device_id ORDER BY seq), 0) AS inter_arrival
+FROM r"""
+
+
+@register("inter_arrival_in_time", with_views(W10_SQL, "trace"))
+def q_inter_arrival_in_time(spark, sf):
+    """W10 without positions: the trace is neither numbered nor written."""
+    return reuse.inter_arrival(V.trace(spark, sf), TO).select("device_id", "timestamp", "tie", "inter_arrival")
 
 
 W11_SQL = SEQ_TRACE + f"""
@@ -191,6 +203,27 @@ def q_unique_first_reuse_distance(spark, sf):
     return unique_reuse_distance(V.trace(spark, sf), TO, first_only=True)
 
 
+def _w12_cells(cells: str, where: str, seq: str) -> str:
+    """W12 in each cell; ``cells``: a cell's columns."""
+    on = " AND ".join(f"e.{c} = q.{c}" for c in cells.split(", "))
+    of = ", ".join(dict.fromkeys([*cells.split(", "), "opcode", "device_id", "block"]))
+    return seq + f"""
+, e AS ({exploded('r', 'cover', ", ".join(dict.fromkeys([*cells.split(", "), "opcode", "device_id", "seq"])))}),
+  a AS (SELECT *, lag(seq) OVER (PARTITION BY {of} ORDER BY seq) AS p, row_number() OVER (PARTITION BY {of} ORDER BY seq) AS acc FROM e)
+SELECT {", ".join("q." + c for c in of.split(", "))}, q.seq,
+       (SELECT count(*) FROM (SELECT DISTINCT e.device_id, e.block FROM e
+         WHERE {on} AND e.opcode = q.opcode AND e.seq > q.p AND e.seq < q.seq)) AS distance
+FROM (SELECT * FROM a WHERE {where}) q"""
+
+
+SEQ_DEVICE = """, r AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY "timestamp", tie) - 1 AS seq FROM trace)"""
+
+
+@register("unique_reuse_distance_per_device", with_views(_w12_cells("device_id", "p IS NOT NULL", SEQ_DEVICE), "trace"))
+def q_unique_reuse_distance_per_device(spark, sf):
+    return unique_reuse_distance(V.trace(spark, sf), TO, keys=["device_id"])
+
+
 # --------------------------------------------- keyed by device (per-device runs)
 @register("all_reuse_volume_per_device", with_views(volume("floor", per="device_id, opcode") + """
 SELECT device_id, opcode, block, seq, distance FROM v WHERE ps IS NOT NULL""", "trace"))

@@ -2,7 +2,8 @@
 
 All loaders declare their schema (no inference pass) and express time and
 device restrictions as filters, so Parquet scans prune partitions and row
-groups and CSV scans filter while parsing.
+groups. Text goes through the built-in CSV parser once: it reads every field of
+a line, so the columns used later cannot change which lines are bad.
 """
 
 from __future__ import annotations
@@ -56,22 +57,37 @@ def first_rows(df: DataFrame, nrows: int | None, order=CANONICAL_ORDER) -> DataF
     return global_index(df, order, "__seq").df.filter(F.col("__seq") < nrows).drop("__seq", BKT)
 
 
-def _parsed(lines: DataFrame, layout: T.StructType, keep=()) -> DataFrame:
-    """Columns of ``layout`` from comma-separated text lines (``value``): a line
-    counts if it has exactly that many fields and all its numbers parse. The test
-    is on the line, so the columns read later cannot change which rows there are."""
-    p = F.split(F.trim(F.col("value")), ",", -1)
-    raw = lines.select(p.alias("__p"), *keep).filter(F.size("__p") == len(layout))
-    cols = [F.col("__p")[i].alias(f.name) if isinstance(f.dataType, T.StringType)
-            else F.trim(F.col("__p")[i]).try_cast(f.dataType).alias(f.name) for i, f in enumerate(layout)]
+_BAD = "__bad_line"
+#: fixed values: comma-separated fields without quotes or comments, a line that doesn't fit kept in ``_BAD``
+_CSV = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": _BAD, "columnPruning": "false", "quote": "", "escape": "", "comment": "",
+        "ignoreLeadingWhiteSpace": "true", "ignoreTrailingWhiteSpace": "true"}
+
+
+def _layout(layout: T.StructType) -> T.StructType:
+    return T.StructType([*layout.fields, T.StructField(_BAD, T.StringType())])
+
+
+def _good(rows: DataFrame, layout: T.StructType) -> DataFrame:
+    """Rows of lines with exactly the layout's fields, all numbers of which parse."""
     numbers = [f.name for f in layout if not isinstance(f.dataType, T.StringType)]
-    return raw.select(*cols, *keep).na.drop(subset=numbers)
+    return rows.filter(F.col(_BAD).isNull()).drop(_BAD).na.drop(subset=numbers)
+
+
+def _read(spark: SparkSession, path, layout: T.StructType) -> DataFrame:
+    """The good lines of text files, parsed in the scan."""
+    return _good(spark.read.schema(_layout(layout)).options(**_CSV).csv(path), layout)
+
+
+def _parsed(lines: DataFrame, layout: T.StructType) -> DataFrame:
+    """The good lines of a column ``value``, by the same parser."""
+    got = F.from_csv("value", F.lit(_layout(layout).simpleString()[len("struct<"):-1].replace(":", " ")), _CSV)
+    return _good(lines.select(got.alias("__r")).filter("__r is not null").select("__r.*"), layout)
 
 
 def load_trace_range(spark: SparkSession, path, start=None, nhours=None, nrows=None) -> DataFrame:
     """Canonical CSV; keep start <= ts <= start + nhours (both inclusive); bad lines skipped;
     then the first ``nrows``."""
-    return first_rows(_range(_parsed(spark.read.text(path), CANONICAL), "timestamp", start, nhours), nrows)
+    return first_rows(_range(_read(spark, path, CANONICAL), "timestamp", start, nhours), nrows)
 
 
 def load_trace_tolerant(spark: SparkSession, path, start=None, nhours=None, nrows=None) -> DataFrame:
@@ -116,7 +132,7 @@ def load_sector_trace(spark: SparkSession, path, start=None, nhours=None, nrows=
                       normalize: bool = True) -> DataFrame:
     """Sector-unit CSV (seconds, 512-byte sectors); the range filter applies only
     when both start and nhours are given; bad lines are skipped."""
-    df = _parsed(spark.read.text(path), SECTOR)
+    df = _read(spark, path, SECTOR)
     if start is not None and nhours is not None:
         df = _range(df, "Timestamp", start, nhours, unit_per_hour=3600, scale=1_000_000)
     if nrows is not None:
@@ -126,17 +142,30 @@ def load_sector_trace(spark: SparkSession, path, start=None, nhours=None, nrows=
 
 def load_object_trace(spark: SparkSession, path, bad_lines: str = "error") -> DataFrame:
     """Whitespace-separated object trace; text after '#' is a comment. A line has
-    all ten fields or the first eight (the rest null); any other line is an error,
-    or left out with ``bad_lines="skip"``."""
+    all ten fields or the first eight (the rest null), and its numbers parse; any
+    other line is an error that names it, or left out with ``bad_lines="skip"``."""
     if bad_lines not in ("error", "skip"):
         raise ValueError("bad_lines is error or skip")
     lines = spark.read.text(path).select(F.split(F.col("value"), "#", 2)[0].alias("v"))
     v = F.regexp_replace("v", r"^\s+|\s+$", "")
     p = lines.select(v.alias("v")).filter(F.col("v") != "").select("v", F.split("v", r"\s+").alias("p"))
     full, short = len(OBJECT_FIELDS), len(OBJECT_FIELDS) - 2
-    bad = F.raise_error(F.concat(F.lit("object trace line without eight or ten fields: "), F.col("v"))).cast("boolean")
-    p = p.filter(F.when(F.size("p").isin(short, full), F.lit(True)).otherwise(bad if bad_lines == "error" else F.lit(False)))
-    return p.select(*[F.get("p", F.lit(i)).try_cast(t).alias(n) for i, (n, t) in enumerate(OBJECT_FIELDS)])
+    fields = [(F.get("p", F.lit(i)), n, t) for i, (n, t) in enumerate(OBJECT_FIELDS)]
+    wrong = F.lit(False)
+    for field, _, t in fields:
+        if t != "string":
+            # a whole number is digits alone: a cast would cut a fraction off
+            fits = field.try_cast(t).isNotNull() & (field.rlike(r"^[+-]?[0-9]+$") if t != "double" else F.lit(True))
+            wrong = wrong | (field.isNotNull() & ~fits)
+
+    def refuse(why: str):
+        if bad_lines == "skip":
+            return F.lit(False)
+        return F.raise_error(F.concat(F.lit(f"object trace line {why}: "), F.col("v"))).cast("boolean")
+
+    p = p.filter(F.when(~F.size("p").isin(short, full), refuse("without eight or ten fields"))
+                 .when(wrong, refuse("with a bad number")).otherwise(F.lit(True)))
+    return p.select(*[field.try_cast(t).alias(n) for field, n, t in fields])
 
 
 def load_device_slice(spark: SparkSession, path, device_id: int, start_hour: float = 0,

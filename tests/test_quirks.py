@@ -139,16 +139,25 @@ def test_reuse_stats_median_interpolates(spark):
     assert (r["R"].min_distance, r["R"].max_distance, r["R"].reuse_count) == (1, 11, 4)
 
 
-def test_reuse_stats_both_histogram_paths_agree(spark, monkeypatch, small_buckets):
+@pytest.mark.parametrize("span", [0, 40, 70_000, 1 << 40])
+def test_quantiles_by_radix_selection_are_the_sorted_lists(spark, span):
     import random
+
+    import numpy as np
     from iolens.operators import cdf as C
-    rnd = random.Random(5)
-    rows = [(rnd.choice("RW"), rnd.randrange(-1, 40)) for _ in range(300)]
-    df = spark.createDataFrame(rows, "opcode string, distance long")
-    small = sorted(tuple(r) for r in reuse.reuse_stats(df).collect())
-    monkeypatch.setattr(C, "SMALL_HISTOGRAM_ROWS", 0)
-    big = sorted(tuple(r) for r in reuse.reuse_stats(df).collect())
-    assert small == big
+    rnd = random.Random(span)
+    rows = [(rnd.choice(["R", "W", None]), rnd.randint(-span // 2, span)) for _ in range(400)] + [("one", 3), ("none", None)]
+    df = spark.createDataFrame(rows, "opcode string, v long")
+    by = {op: sorted(v for o, v in rows if o == op and v is not None) for op in {o for o, _ in rows}}
+    hist = C.histogram_of(df, "v", ["opcode"])
+    for q in (0.0, 0.5, 0.99, 1.0):
+        got = {r.opcode: r.quantile for r in C.histogram_quantile(hist, q, ["opcode"]).collect()}
+        assert got == {op: pytest.approx(np.percentile(v, 100 * q)) for op, v in by.items() if v}
+    every = sorted(v for _, v in rows if v is not None)
+    got = C.histogram_quantile(C.histogram_of(df, "v"), 0.5, out="m").collect()
+    assert [r.m for r in got] == [pytest.approx(np.percentile(every, 50))]
+    empty = C.histogram_quantile(C.histogram_of(df.filter("v is null and v = 1"), "v", ["opcode"]), 0.5, ["opcode"])
+    assert empty.count() == 0
 
 
 def test_reuse_stats_of_long_distances(spark):
