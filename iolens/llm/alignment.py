@@ -20,6 +20,8 @@ side, as two tokens share one stretch at most.
 between other characters (checked on the model's pieces, and on the pattern of the
 byte-level split), so a plain text is the chain of its units, a word with the
 space or line end before it, and a worker aligns a unit once while it remembers it.
+Neither joins a letter to a full stop or comma (checked likewise), so these are
+units of their own after a word of letters.
 Any other text (white space of another kind, at an end or in runs; a unit whose
 bytes differ) is encoded whole by the libraries.
 
@@ -43,8 +45,10 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +64,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: pairs of the corpus table that a task holds at once (16 bytes each)
 SLICE = 4_000_000
 #: units that a worker remembers in a generation
-UNITS = 100_000
+UNITS = 300_000
 _SPACE = "▁"  # fixed value: how SentencePiece writes a space
 
 #: numbers of A tokens, B tokens and groups; the groups as text; the links' pairs, packed integers B id * len(A) + A id
@@ -71,6 +75,8 @@ def refined(spans: list[tuple[int, int]], sizes: list[int], loose: list[bool] |
     """Byte ends of tokens from their spans: a span's end is a cut if it isn't
     empty, the next span begins there or later, and it isn't ``loose`` (what
     spans say is no cut); elsewhere the token's decoded bytes count on from the cut before."""
+    if not (loose and any(loose)) and all(x[1] <= y[0] and x[0] < x[1] for x, y in zip(spans, spans[1:])) and spans and spans[-1][0] < spans[-1][1]:
+        return [e for _, e in spans]
     ends, at, last = [], 0, len(spans) - 1
     for k, ((begin, end), size) in enumerate(zip(spans, sizes)):
         clean = end > begin and (k == last or spans[k + 1][0] >= end) and not (loose and loose[k])
@@ -90,23 +96,26 @@ class Aligner:
         self.tok = Tokenizer.from_file(a_path)
         self.tok.encode_special_tokens = True
         self.sp = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        byte_of = {c: b for b, c in shown_bytes().items()}
+        self.shown = shown_bytes()
+        self.space = self.shown[ord(" ")]
+        byte_of = {c: b for b, c in self.shown.items()}
         self.n_a, self.n_b = self.tok.get_vocab_size(), self.sp.get_piece_size()
         self.a_bytes: list[bytes] = [b""] * self.n_a
         for token, k in self.tok.get_vocab().items():
             self.a_bytes[k] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        pieces = [self.sp.id_to_piece(k) for k in range(self.n_b)]
+        pieces = self.pieces = [self.sp.id_to_piece(k) for k in range(self.n_b)]
         self.fallback = [self.sp.is_byte(k) for k in range(self.n_b)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if f else p.replace(_SPACE, " ").encode() for p, f in zip(pieces, self.fallback)]
         self.a_text, self.b_text = ([str(k) for k in range(n)] for n in (self.n_a, self.n_b))
         self.lone_space = self.sp.piece_to_id(_SPACE)
-        self.kind = np.uint32 if self.n_a * self.n_b < 1 << 32 else np.uint64
+        self.kind, self.code = (np.uint32, "I") if self.n_a * self.n_b < 1 << 32 else (np.uint64, "Q")
         with open(a_path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
         self.in_units = (pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) and not spec.get("normalizer")
                          and not any(not t.get("special") for t in spec.get("added_tokens") or [])
                          and not any(regex.search(f"[^{_SPACE}]{_SPACE}|\n", p) for p in pieces))
+        self.marks = {m: x for m in ".," if (x := self._mark(m))} if self.in_units else {}
         self.units = Remembered(self._unit, units)
 
     def a_tokens(self, text: str, got=None) -> tuple[list[int], list[int]] | None:
@@ -127,15 +136,17 @@ class Aligner:
         """B's ids of a string and their byte ends in a space and the string; None if
         their bytes are not those. ``got``: the library's proto, if it is there already."""
         got = got or self.sp.encode(text, return_type="proto")
-        # spans don't count the space that the model puts first
-        found = [(p.id, p.begin + 1, p.end + 1) for p in got.pieces]
-        ids = [k for k, _, _ in found]
-        decoded = list(map(self.b_bytes.__getitem__, ids))
+        found = [(p.id, p.end + 1) for p in got.pieces]  # spans don't count the space that the model puts first
+        ids, ends = map(list, zip(*found))
+        decoded = [self.b_bytes[k] for k in ids]
         if b"".join(decoded) != b" " + text.encode():
             return None
-        spans = [(b, e) for _, b, e in found]
-        spans[0] = 0, spans[0][1]
-        return ids, refined(spans, list(map(len, decoded)), list(map(self.fallback.__getitem__, ids)))
+        sizes = list(map(len, decoded))
+        if list(accumulate(sizes)) != ends:  # spans that are no cuts
+            spans = [(p.begin + 1, p.end + 1) for p in got.pieces]
+            spans[0] = 0, spans[0][1]
+            ends = refined(spans, sizes, [self.fallback[k] for k in ids])
+        return ids, ends
 
     def align(self, text: str) -> Summary | None:
         """The summary of a text that the libraries encode whole, or None if it has no tokens."""
@@ -143,7 +154,12 @@ class Aligner:
         return self.summary(*a, *b) if a and b else None
 
     def _unit(self, unit: str, a=None, b=None) -> Summary | None:
-        """The summary of a unit: a word (after a space), or a line end and a word."""
+        """The summary of a unit: a word (after a space), or a line end and a word. ``a``, ``b``: as of ``a_tokens`` and ``b_tokens``."""
+        if unit[-1:] in self.marks and unit[:-1].isalpha():
+            word, mark = self.units[unit[:-1]], self.marks[unit[-1]]
+            return tuple([x + y for x, y in zip(word[:3], mark[:3])] + [word[3] + b";" + mark[3], word[4] + mark[4]]) if word and mark else None
+        if unit.isalpha():
+            return self._word(unit, b)
         check_word(unit)
         if unit[0] != "\n":
             a, b = self.a_tokens(" " + unit, a), self.b_tokens(unit, b)
@@ -153,28 +169,74 @@ class Aligner:
                 b = (b[0][1:], [e - 1 for e in b[1][1:]]) if b[0][0] == self.lone_space else None
         return self.summary(*a, *b) if a and b else None
 
+    def _word(self, word: str, b=None) -> Summary | None:
+        """A unit of letters: A's model takes it in one piece, in characters that stand
+        for its bytes, so the model's own offsets (in UTF-8 of these characters) are the cuts."""
+        shown = self.space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.shown))
+        got = self.tok.model.tokenize(shown)
+        if word.isascii():  # the space's character alone has two bytes
+            ends = [t.offsets[1] - 1 for t in got]
+        else:
+            place = [k for k, c in enumerate(shown) for _ in range(1 + (c > "\x7f"))] + [len(shown)]
+            ends = [place[t.offsets[1]] for t in got]
+        b = self.b_tokens(word, b)
+        return self.summary([t.id for t in got], ends, *b) if b else None
+
+    def _mark(self, mark: str) -> Summary | None:
+        """A mark after a word, if B has no piece of a letter and the mark: what both make of it in ``a`` and the mark."""
+        if any(regex.search(rf"\p{{L}}{regex.escape(mark)}", p) for p in self.pieces):
+            return None
+        a, b = self.a_tokens(" a" + mark), self.b_tokens("a" + mark)
+        if not a or not b or 2 not in a[1] or 2 not in b[1]:
+            return None
+        i, j = a[1].index(2) + 1, b[1].index(2) + 1
+        return self.summary(a[0][i:], [e - 2 for e in a[1][i:]], b[0][j:], [e - 2 for e in b[1][j:]])
+
     def summary(self, a: list[int], a_ends: list[int], b: list[int], b_ends: list[int]) -> Summary:
         """Walks both sides' tokens along the bytes."""
-        n_a, links, groups = self.n_a, [], []
+        n_a, a_text, b_text, links, groups = self.n_a, self.a_text, self.b_text, [], []
         i = j = first_a = first_b = 0
-        while i < len(a):
+        x, y, last = a_ends[0], b_ends[0], len(a) - 1
+        while True:
             links.append(b[j] * n_a + a[i])
-            x, y = a_ends[i], b_ends[j]
-            i, j = i + (x <= y), j + (y <= x)
-            if x == y:
-                groups.append(f"{','.join(map(self.a_text.__getitem__, a[first_a:i]))}|{','.join(map(self.b_text.__getitem__, b[first_b:j]))}")
-                first_a, first_b = i, j
-        return len(a), len(b), len(groups), ";".join(groups).encode(), np.array(links, self.kind).tobytes()
+            if x < y:
+                i += 1
+                x = a_ends[i]
+            elif y < x:
+                j += 1
+                y = b_ends[j]
+            else:
+                groups.append(",".join([a_text[k] for k in a[first_a:i + 1]]) + "|" + ",".join([b_text[k] for k in b[first_b:j + 1]]))
+                if i == last:
+                    break
+                i, j = i + 1, j + 1
+                first_a, first_b, x, y = i, j, a_ends[i], b_ends[j]
+        return len(a), len(b), len(groups), ";".join(groups).encode(), array(self.code, links).tobytes()
 
     def learn(self, units: set[str]) -> None:
-        """Align new units in few calls of the libraries."""
-        todo = [u for u in units if u.split() == [u] and not self.units.holds(u)]
-        for k in range(0, len(todo), 4096):
-            part = todo[k:k + 4096]
-            a = self.tok.encode_batch([" " + u for u in part], add_special_tokens=False)
-            b = self.sp.encode(part, return_type="proto", num_threads=1)
-            for u, x, y in zip(part, a, b):
-                self.units.keep(u, self._unit(u, x, y))
+        """Align new units, in few calls of the libraries."""
+        known, words, others = self.units, [], []
+        for u in units:
+            if not known.holds(u):
+                if u[-1:] in self.marks and u[:-1].isalpha():
+                    u = u[:-1]  # put together from its word and the mark
+                    if known.holds(u) or u in units:
+                        continue
+                if u.isalpha():
+                    words.append(u)
+                elif u.split() == [u]:
+                    others.append(u)
+        for todo, by_words in ((words, True), (others, False)):
+            for k in range(0, len(todo), 4096):
+                part = todo[k:k + 4096]
+                b = self.sp.encode(part, return_type="proto", num_threads=1)
+                if by_words:
+                    for u, y in zip(part, b):
+                        known.keep(u, self._word(u, y))
+                else:
+                    a = self.tok.encode_batch([" " + u for u in part], add_special_tokens=False)
+                    for u, x, y in zip(part, a, b):
+                        known.keep(u, self._unit(u, x, y))
 
     def texts(self, texts: list[str | None]) -> list[Summary | None]:
         """The summaries of whole texts; None for one that has no tokens."""
