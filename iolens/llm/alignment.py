@@ -107,6 +107,9 @@ class Aligner:
         self.fallback = [self.sp.is_byte(k) for k in range(self.n_b)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if f else p.replace(_SPACE, " ").encode() for p, f in zip(pieces, self.fallback)]
         self.a_text, self.b_text = ([str(k) for k in range(n)] for n in (self.n_a, self.n_b))
+        #: an id and what follows it in the groups' text
+        self.text_of = np.array([[f"{k}{c}" for k in range(max(self.n_a, self.n_b))] for c in (",", "|", ";", "\n")], object)
+        self.b_size = list(map(len, self.b_bytes))
         self.lone_space = self.sp.piece_to_id(_SPACE)
         self.kind, self.code = (np.uint32, "I") if self.n_a * self.n_b < 1 << 32 else (np.uint64, "Q")
         with open(a_path, encoding="utf-8") as f:
@@ -159,7 +162,7 @@ class Aligner:
             word, mark = self.units[unit[:-1]], self.marks[unit[-1]]
             return tuple([x + y for x, y in zip(word[:3], mark[:3])] + [word[3] + b";" + mark[3], word[4] + mark[4]]) if word and mark else None
         if unit.isalpha():
-            return self._word(unit, b)
+            return self._word(unit)
         check_word(unit)
         if unit[0] != "\n":
             a, b = self.a_tokens(" " + unit, a), self.b_tokens(unit, b)
@@ -169,18 +172,61 @@ class Aligner:
                 b = (b[0][1:], [e - 1 for e in b[1][1:]]) if b[0][0] == self.lone_space else None
         return self.summary(*a, *b) if a and b else None
 
-    def _word(self, word: str, b=None) -> Summary | None:
-        """A unit of letters: A's model takes it in one piece, in characters that stand
-        for its bytes, so the model's own offsets (in UTF-8 of these characters) are the cuts."""
-        shown = self.space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.shown))
-        got = self.tok.model.tokenize(shown)
-        if word.isascii():  # the space's character alone has two bytes
-            ends = [t.offsets[1] - 1 for t in got]
-        else:
-            place = [k for k, c in enumerate(shown) for _ in range(1 + (c > "\x7f"))] + [len(shown)]
-            ends = [place[t.offsets[1]] for t in got]
-        b = self.b_tokens(word, b)
-        return self.summary([t.id for t in got], ends, *b) if b else None
+    def _shown(self, word: str) -> str:
+        """A's characters for a space and a word."""
+        return self.space + (word if word.isascii() else word.encode().decode("latin-1").translate(self.shown))
+
+    def _word(self, word: str) -> Summary | None:
+        return self._words([word])[0]
+
+    def _words(self, words: list[str]) -> list[Summary | None]:
+        """Units of letters, together. A's model takes such a word in one piece, in characters that stand
+        for its bytes, so the model's own offsets (in UTF-8 of these characters) are the cuts;
+        B's spans are, unless they differ from the decoded bytes' running sum."""
+        a_ids, a_ends, a_n, b_ids, b_ends, b_n, base = [], [], [], [], [], [], 0
+        for word, proto in zip(words, self.sp.encode(words, return_type="proto", num_threads=1)):
+            shown = self._shown(word)
+            got = self.tok.model.tokenize(shown)
+            a_n.append(len(got))
+            a_ids += [t.id for t in got]
+            if word.isascii():  # the space's character alone has two bytes
+                a_ends += [base + t.offsets[1] - 1 for t in got]
+            else:
+                place = [k for k, c in enumerate(shown) for _ in range(1 + (c > "\x7f"))] + [len(shown)]
+                a_ends += [base + place[t.offsets[1]] for t in got]
+            pieces = proto.pieces
+            b_n.append(len(pieces))
+            b_ids += [p.id for p in pieces]
+            b_ends += [base + p.end + 1 for p in pieces]
+            base += len(shown)
+        raw = b" " + " ".join(words).encode()
+        if list(accumulate(map(self.b_size.__getitem__, b_ids))) != b_ends or b"".join([self.b_bytes[k] for k in b_ids]) != raw:
+            # a word whose bytes differ or whose spans are no cuts: one by one
+            both = [(self.a_tokens(" " + w), self.b_tokens(w)) for w in words]
+            return [self.summary(*x, *y) if x and y else None for x, y in both]
+        return self._summaries(*(np.array(x, np.int64) for x in (a_ids, a_ends, a_n, b_ids, b_ends, b_n)))
+
+    def _summaries(self, a, a_ends, a_n, b, b_ends, b_n) -> list[Summary]:
+        """``summary`` of many units that lie one after another: ids, ends and numbers of tokens of both sides."""
+        ends = np.union1d(a_ends, b_ends)
+        x, y = np.searchsorted(a_ends, ends), np.searchsorted(b_ends, ends)
+        pairs = (b[y] * self.n_a + a[x]).astype(self.kind).tobytes()
+        common = np.intersect1d(a_ends, b_ends, assume_unique=True)
+        last_a, last_b = np.searchsorted(a_ends, common), np.searchsorted(b_ends, common)  # a group's last tokens
+        close = a_ends[np.cumsum(a_n) - 1]  # ends of the units
+        # a group is A's ids, a bar, B's ids, and a semicolon or the unit's end
+        mark_a, mark_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        mark_a[last_a] = 1
+        mark_b[last_b] = 2
+        mark_b[np.cumsum(b_n) - 1] = 3
+        out = np.empty(len(a) + len(b), object)
+        group_a, group_b = np.searchsorted(last_a, np.arange(len(a))), np.searchsorted(last_b, np.arange(len(b)))
+        out[np.arange(len(a)) + np.concatenate(([0], last_b + 1))[group_a]] = self.text_of[mark_a, a]
+        out[np.arange(len(b)) + last_a[group_b] + 1] = self.text_of[mark_b, b]
+        groups = "".join(out.tolist()).encode().split(b"\n")
+        cut = (np.searchsorted(ends, close) + 1) * self.kind(0).itemsize
+        n_groups = np.diff(np.searchsorted(common, close) + 1, prepend=0)
+        return [(n, m, k, g, pairs[i:j]) for n, m, k, g, i, j in zip(a_n.tolist(), b_n.tolist(), n_groups.tolist(), groups, [0, *cut.tolist()], cut.tolist())]
 
     def _mark(self, mark: str) -> Summary | None:
         """A mark after a word, if B has no piece of a letter and the mark: what both make of it in ``a`` and the mark."""
@@ -226,17 +272,16 @@ class Aligner:
                     words.append(u)
                 elif u.split() == [u]:
                     others.append(u)
-        for todo, by_words in ((words, True), (others, False)):
-            for k in range(0, len(todo), 4096):
-                part = todo[k:k + 4096]
-                b = self.sp.encode(part, return_type="proto", num_threads=1)
-                if by_words:
-                    for u, y in zip(part, b):
-                        known.keep(u, self._word(u, y))
-                else:
-                    a = self.tok.encode_batch([" " + u for u in part], add_special_tokens=False)
-                    for u, x, y in zip(part, a, b):
-                        known.keep(u, self._unit(u, x, y))
+        for k in range(0, len(words), 2048):
+            part = words[k:k + 2048]
+            for u, got in zip(part, self._words(part)):
+                known.keep(u, got)
+        for k in range(0, len(others), 2048):
+            part = others[k:k + 2048]
+            a = self.tok.encode_batch([" " + u for u in part], add_special_tokens=False)
+            b = self.sp.encode(part, return_type="proto", num_threads=1)
+            for u, x, y in zip(part, a, b):
+                known.keep(u, self._unit(u, x, y))
 
     def texts(self, texts: list[str | None]) -> list[Summary | None]:
         """The summaries of whole texts; None for one that has no tokens."""
