@@ -64,7 +64,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: pairs of the corpus table that a task holds at once (16 bytes each)
 SLICE = 4_000_000
 #: units that a worker remembers in a generation
-UNITS = 300_000
+UNITS = 450_000
 _SPACE = "▁"  # fixed value: how SentencePiece writes a space
 
 #: numbers of A tokens, B tokens and groups; the groups as text; the links' pairs, packed integers B id * len(A) + A id

@@ -27,7 +27,7 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 #: the byte-level splitting pattern (fixed value)
 _PIECES = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: entries of a cache's generation; a cache has two. Longer chunks are not kept
-CACHE_ROWS = 250_000
+CACHE_ROWS = 500_000
 _LONGEST = 64
 
 
