@@ -41,8 +41,9 @@ from itertools import accumulate, combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from iolens.llm.common import doc_text, map_text, prepare, text_bytes, written
 
@@ -305,13 +306,30 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
     return fps.join(of, "fp").select("doc_id", "fp", "component_id")
 
 
+def _hashable(column: Column, kind: T.DataType) -> Column:
+    """What of a column goes into a row's hash: itself, a map's sorted entries, the
+    JSON of a column that a map lies deeper in, a variant's text."""
+    def nested(t: T.DataType) -> bool:
+        if isinstance(t, T.ArrayType):
+            return nested(t.elementType)
+        if isinstance(t, T.StructType):
+            return any(nested(f.dataType) for f in t)
+        return isinstance(t, T.MapType)
+
+    if isinstance(kind, T.MapType) and not nested(kind.keyType) and not nested(kind.valueType):
+        return F.array_sort(F.map_entries(column))
+    if nested(kind):
+        return F.to_json(F.struct(column.alias("c")))
+    return column.cast("string") if isinstance(kind, T.VariantType) else column
+
+
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS) -> DataFrame:
     """One row of ``docs`` of each group of near copies, columns as they were: the
     one with the least doc_id (null after all others), of these with the least
-    hash of its text, then of all columns. Groups are named by fingerprint, not
+    hash of its text, then of all columns (a map as its sorted entries). Groups are named by fingerprint, not
     by doc_id, so doc_ids may be null or repeat."""
     prepare(docs.sparkSession)
-    every = [docs[f"`{c}`"] for c in docs.columns]
+    every = [_hashable(docs[f"`{f.name}`"], f.dataType) for f in docs.schema]
     text = F.coalesce(docs["text"], F.lit(""))
     key = {"id": docs["doc_id"].cast("long"), "text_hash": F.xxhash64(text),
            "row_hash": F.xxhash64(*every, *[c.isNull() for c in every])}  # nulls add nothing to a hash
@@ -332,14 +350,18 @@ def keep_one(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX_BITS)
     heads = each.groupBy(F.coalesce("root", "fp").alias("root")).agg(least.alias("head")).select("head.*")
     heads = written(heads, "simhash-heads")
 
-    def of(part: DataFrame) -> DataFrame:
+    def of(part: DataFrame, once: bool = False) -> DataFrame:
         same = key["id"].eqNullSafe(part["id"]) & (key["text_hash"] == part["text_hash"]) & (key["row_hash"] == part["row_hash"])
-        return docs.join(part, same, "left_semi")
+        rows = docs.join(part, same, "left_semi")
+        if not once:
+            return rows
+        names = {f"__key_{k}": v for k, v in key.items()}
+        return rows.withColumns(names).dropDuplicates(list(names)).drop(*names)
 
     if heads.filter("copies > 1").isEmpty():
         return of(heads)
     # rows that are equal in all columns
-    return of(heads.filter("copies = 1")).union(of(heads.filter("copies > 1")).distinct())
+    return of(heads.filter("copies = 1")).union(of(heads.filter("copies > 1"), once=True))
 
 
 def hex64(fp):

@@ -131,3 +131,13 @@ def test_query_against_brute_force(spark):
     for d, f in fp.items():
         least[group[f]] = min(d, least.get(group[f], d))
     assert {d: r.component_id for d, r in got.items()} == {d: least[group[f]] for d, f in fp.items()}
+
+
+def test_keep_one_with_map_columns(spark):
+    rows = [(1, "one two three four", {"a": 1, "b": 2}, [{"x": 1}]), (1, "one two three four", {"a": 1, "b": 2}, [{"x": 1}]),
+            (2, "one two three four", None, None), (3, "quite another text of words", {}, []), (None, "quite another text of words", {"z": 9}, [{}])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tags map<string, int>, more array<map<string, int>>")
+    got = S.keep_one(docs).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "one two three four"), (3, "quite another text of words")]
+    assert {r.doc_id: r.tags for r in got} == {1: {"a": 1, "b": 2}, 3: {}}
+    assert got[0].asDict().keys() == {"doc_id", "text", "tags", "more"}
