@@ -6,7 +6,9 @@ Hannan-Rissanen -- a long autoregression gives residual estimates, then
 ordinary least squares on lags of the differenced series and of those
 residuals -- fitted on the training part of each series inside
 ``applyInPandas`` keyed by the series key. Fits that are not stationary or not
-invertible are rejected, and the orders are chosen on a held-out tail. Each
+invertible are rejected, and the orders are chosen on a held-out tail. The chosen
+fit starts a search for a higher exact Gaussian likelihood, which a Kalman
+recursion gives with hours missing. Each
 group is one key's hourly series, bounded by the number of hours, not by the trace.
 """
 
@@ -109,6 +111,83 @@ def fit_arma(d: np.ndarray, p: int, q: int, long_ar: int | None = None) -> Fit |
     return Fit(p, q, float(b[0]), ar, ma, e)
 
 
+def innovations(d: np.ndarray, fit: Fit) -> tuple[np.ndarray, np.ndarray]:
+    """One-step errors of ``d`` (NaN where missing) and their variances over that of the
+    noise, by the Kalman recursion of the ARMA process in state space, started in its
+    stationary distribution. A missing value is predicted over."""
+    r = max(fit.p, fit.q + 1)
+    move, load = np.zeros((r, r)), np.zeros(r)
+    move[:fit.p, 0] = fit.ar
+    move[:-1, 1:] += np.eye(r - 1)
+    load[0], load[1:1 + fit.q] = 1.0, fit.ma
+    noise = np.outer(load, load)
+    spread, step = noise.copy(), move.copy()
+    for _ in range(60):  # stationary covariance, twice as many terms each time
+        more = step @ spread @ step.T
+        spread = spread + more
+        step = step @ step
+        if np.abs(more).max() <= 1e-14 * np.abs(spread).max():
+            break
+    mean = fit.c / (1 - fit.ar.sum()) if fit.p else fit.c
+    state = np.zeros(r)
+    error, scale = np.full(len(d), np.nan), np.full(len(d), np.nan)
+    for t, x in enumerate(d - mean):
+        if not np.isnan(x):
+            error[t], scale[t] = x - state[0], spread[0, 0]
+            gain = spread[:, 0] / scale[t]
+            state = state + gain * error[t]
+            spread = spread - np.outer(gain, spread[0])
+        state, spread = move @ state, move @ spread @ move.T + noise
+    return error, scale
+
+
+def log_likelihood(d: np.ndarray, fit: Fit) -> float:
+    """Exact Gaussian log-likelihood of the observed ``d``, at the noise variance that maximises it."""
+    error, scale = innovations(d, fit)
+    seen = ~np.isnan(error)
+    n = int(seen.sum())
+    if not n or (scale[seen] <= 0).any():
+        return -np.inf
+    variance = float(np.mean(error[seen] ** 2 / scale[seen]))
+    return -np.inf if variance <= 0 else -0.5 * (n * np.log(2 * np.pi * variance) + n + float(np.log(scale[seen]).sum()))
+
+
+#: likelihoods tried for one fit
+TRIES = 200
+
+
+def refined(d: np.ndarray, fit: Fit, tries: int = TRIES) -> Fit:
+    """A fit of the same orders whose likelihood is not below ``fit``'s: parameters are
+    moved one by one, by less when nothing helps; only stationary and invertible ones count."""
+    values = np.concatenate(([fit.c], fit.ar, fit.ma))
+    size = np.concatenate(([max(abs(fit.c), float(np.nanstd(d)) * 0.1, 1e-9)], np.full(fit.p + fit.q, 0.1)))
+
+    def of(v: np.ndarray) -> Fit:
+        return Fit(fit.p, fit.q, float(v[0]), v[1:1 + fit.p], v[1 + fit.p:], fit.resid)
+
+    best, left = log_likelihood(d, fit), tries
+    smallest = size * 1e-3
+    while left > 0 and (size > smallest).all():
+        gained = False
+        for k in range(len(values)):
+            for sign in (1, -1):
+                v = values.copy()
+                v[k] += sign * size[k]
+                trial = of(v)
+                if left <= 0 or not (_stable(trial.ar) and _stable(-trial.ma)):
+                    continue
+                left -= 1
+                value = log_likelihood(d, trial)
+                if value > best:
+                    best, values, gained = value, v, True
+                    break
+        if not gained:
+            size = size / 2
+    out = of(values)
+    out.resid = innovations(d, out)[0]
+    return out
+
+
 def roll_out(y: np.ndarray, fit: Fit | None, steps: int) -> np.ndarray:
     """Levels of the ``steps`` hours after the last one of ``y``. The recursion
     starts at the last observed hour, so hours missing at the end are forecast
@@ -170,8 +249,10 @@ def fit_forecast(values: np.ndarray, steps: int, p: int, q: int) -> tuple[np.nda
             if fit is not None and (e := error(fit)) < last:
                 ranked.append((e, a, b))
     for _, a, b in sorted(ranked):
-        fit = fit_arma(np.diff(y), a, b)
-        if fit is not None:
+        start = fit_arma(np.diff(y), a, b)
+        if start is None:
+            continue
+        for fit in (refined(np.diff(y), start), start):
             out = roll_out(y, fit, steps)
             if np.abs(out).max() <= bound:
                 return out, a, b

@@ -40,7 +40,7 @@ from pyspark.sql import types as T
 BKT = "_bkt"
 FB = "_fb"
 PLACE = "_place"
-FINE_SPLIT = 8
+FINE_SPLIT = 2
 MAX_BUCKETS = 100_000
 SMALL_BYTES = 64 << 20
 DEFAULT_ROWS_PER_BUCKET = 2_000_000

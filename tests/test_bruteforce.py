@@ -160,3 +160,77 @@ def test_unique_distance(spark, small_buckets, seed, first):
     df = spark.createDataFrame(rows, COLS)
     got = sorted(tuple(x) for x in unique_reuse_distance(df, ORDER, first_only=first).collect())
     assert got == unique_loop(rows, first)
+
+
+@pytest.mark.parametrize("seed,first,rows_per_bucket", [(11, False, "7"), (12, True, "30"), (13, False, "100000")])
+def test_unique_distance_in_cells(spark, seed, first, rows_per_bucket):
+    from iolens.operators.unique_distance import unique_reuse_distance
+    key = "iolens.order.rowsPerBucket"
+    rows = make_trace(seed, 260)
+    rows = [(None if r[0] == 2 else r[0], *r[1:]) for r in rows]  # a null key is a cell, and a device, of its own
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, rows_per_bucket)
+    try:
+        got = unique_reuse_distance(spark.createDataFrame(rows, COLS), ORDER, first_only=first, keys=["device_id"]).collect()
+    finally:
+        spark.conf.set(key, old) if old else spark.conf.unset(key)
+    want = [x for d in (0, 1, None) for x in unique_loop([r for r in rows if r[0] == d], first)]
+    assert sorted((r.opcode, str(r.device_id), r.block, r.seq, r.distance) for r in got) == sorted((x[0], str(x[1]), *x[2:]) for x in want)
+
+
+def test_count_below_is_the_plain_count():
+    import numpy as np
+    from iolens.operators.unique_distance import count_below
+    rng = np.random.default_rng(4)
+    for n in (0, 1, 2, 7, 64, 300):
+        rank = rng.permutation(n)
+        upto, below = rng.integers(0, n + 1, 50), rng.integers(0, n + 1, 50)
+        assert count_below(rank, upto, below).tolist() == [int((rank[:u] < b).sum()) for u, b in zip(upto, below)]
+
+
+def test_unique_distance_of_one_hot_block(spark, small_buckets):
+    """A block that half of all requests touch is one carry row a range."""
+    from iolens.operators.unique_distance import unique_reuse_distance
+    rows = [(0, "R", 0 if i % 2 else (i % 14) * B, 512, i, i) for i in range(200)]
+    got = sorted(tuple(x) for x in unique_reuse_distance(spark.createDataFrame(rows, COLS), ORDER).collect())
+    assert got == unique_loop(rows)
+
+
+def test_accesses_of_a_hot_block_meet_its_rank_in_many_keys(spark, small_buckets):
+    from iolens.operators import access
+    from pyspark.sql import functions as F
+    rows = [(0, "R", 0 if i % 2 else (i % 50) * B, 512, i, i) for i in range(400)] + [(1, "W", 0, 512, None, 900 + i) for i in range(5)]
+    df = spark.createDataFrame(rows, COLS)
+    got = access.access_arrival(df, reuse.first_arrival_rank(df, ORDER))
+    ids, want = {}, []
+    for r in sorted(rows, key=lambda r: (r[4] is not None, r[4] or 0, r[5])):
+        want.append((r[4], r[0], r[2] // B, ids.setdefault((r[0], r[2] // B), len(ids))))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
+    from iolens.plans.order import BKT, time_buckets
+    hot = time_buckets(df.filter("offset = 0 and device_id = 0"), "timestamp").df.groupBy(BKT).agg(F.count("*").alias("n")).collect()
+    assert len(hot) > 10 and max(r.n for r in hot) < 60  # half of all accesses, spread
+
+
+@pytest.mark.parametrize("rows_per_bucket", ["5", "50", "100000"])
+def test_a_large_input_is_dealt_again_only_where_needed(spark, monkeypatch, rows_per_bucket):
+    """The path of inputs that are not small: sampled ranges, counts from the written table."""
+    from iolens.plans import order as O
+    monkeypatch.setattr(O, "SMALL_BYTES", -1)
+    key = O.CONF_ROWS_PER_BUCKET
+    rows = make_trace(14)
+    old = spark.conf.get(key, None)
+    spark.conf.set(key, rows_per_bucket)
+    try:
+        df = spark.createDataFrame(rows, COLS)
+        o = O.global_index(df, ORDER)
+        assert {r.tie: r.seq for r in o.df.collect()} == {r[5]: i for i, r in enumerate(ordered(rows))}
+        assert o.n == len(rows) and o.nb == o.df.select(O.BKT).distinct().count()
+        assert sorted(tuple(x) for x in reuse.all_reuse_volume(df, ORDER).collect()) == volume_loop(rows)
+    finally:
+        spark.conf.set(key, old) if old else spark.conf.unset(key)
+
+
+def test_lag_in_time_across_stretches_without_rows(spark, small_buckets):
+    rows = [(d, "R", 0, 512, t, i) for i, (d, t) in enumerate([(0, 0), (0, 5), (0, 10_000), (1, 4), (1, None), (1, None), (None, 7), (None, 9_000), (0, 10_000), (2, 3)])]
+    got = {r.tie: r.inter_arrival for r in reuse.inter_arrival(spark.createDataFrame(rows, COLS), ORDER).collect()}
+    assert got == {0: 0, 1: 5, 2: 9_995, 8: 0, 4: 0, 5: 0, 3: 0, 6: 0, 7: 8_993, 9: 0}

@@ -97,6 +97,26 @@ def test_object_lines_with_eight_or_ten_fields_and_comments(spark):
         R.load_object_trace(spark, _write(spark, "obj", "1 2 3\n")).count()
 
 
+def test_object_lines_with_bad_numbers_are_errors_or_left_out(spark):
+    import pytest
+
+    good = "310 262144 4325376 1572074461.5 1 ns1 u1 3 5 h1"
+    for bad in ("310 262144 x 1572074461.5 1 ns1 u1 3 5 h1", "310 262144 1.5 1572074461.5 1 ns1 u1 3 5 h1", "310 1 2 when 1 ns1 u1 3 5 h1",
+                "310 1 2 3.5 99999999999 ns1 u1 3 5 h1"):
+        p = _write(spark, "objbad", f"{good}\n{bad}\n")
+        with pytest.raises(Exception, match="bad number"):
+            R.load_object_trace(spark, p).count()
+        assert [r.io_size for r in R.load_object_trace(spark, p, bad_lines="skip").collect()] == [4325376]
+
+
+def test_quotes_and_signs_are_plain_text(spark):
+    p = _write(spark, "quote", '1,"R,4096,512,100\n1,"R",4096,512,101\n+1,W,-8,512,102\n1,W,8.0,512,103\n1,#,8,512,104\n99999999999,R,0,1,5\n')
+    got = sorted((r.timestamp, r.device_id, r.opcode, r.offset) for r in R.load_trace_range(spark, p).collect())
+    assert got == [(100, 1, '"R', 4096), (101, 1, '"R"', 4096), (102, 1, "W", -8), (104, 1, "#", 8)]
+    lines = spark.read.text(p)
+    assert sorted(r.timestamp for r in R._parsed(lines, R.CANONICAL).collect()) == [100, 101, 102, 104]
+
+
 def test_sample_is_spread_and_depends_on_the_seed(spark):
     from iolens.sources import writers as W
     n = 20_000
