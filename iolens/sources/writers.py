@@ -28,10 +28,19 @@ def _ranged(df: DataFrame, start, end) -> DataFrame:
     return df
 
 
+def _input_bytes(df: DataFrame) -> int:
+    """Spark's estimate of the frame's size, at most the bytes of all tables it reads:
+    its estimate of a join is the product of both sides."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    read = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return min(int(str(plan.stats().sizeInBytes())), read)
+
+
 def _layout(df: DataFrame, n: int | None) -> DataFrame:
     """Ranges of (device, time), as many as the input's size asks for."""
     if not n:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        size = _input_bytes(df)
         n = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(100_000, -(-size // TASK_BYTES)))
     return df.repartitionByRange(n, "device_id", "timestamp").sortWithinPartitions("device_id", "timestamp")
 

@@ -126,3 +126,22 @@ def test_sample_is_spread_and_depends_on_the_seed(spark):
     assert len(a) == len(b) == n // 10 and len(a & b) < n // 50
     for k in range(10):
         assert 140 <= sum(k * n // 10 <= t < (k + 1) * n // 10 for t in a) <= 260
+
+
+def test_ranges_of_an_annotated_trace_follow_the_tables_it_reads(spark, tmp_path, monkeypatch):
+    """Spark takes a join's size for the product of both sides; the sink's ranges must not."""
+    import re
+
+    from iolens.operators import reuse
+    from iolens.sources import writers as W
+    p = str(tmp_path / "trace")
+    cols = "device_id int, opcode string, offset long, length int, timestamp long"
+    rows = [(k % 3, "RW"[k % 2], (k % 40) * 4096, 8192, k) for k in range(3000)]
+    spark.createDataFrame(rows, cols).write.parquet(p)
+    a = reuse.annotate_first_reuse(spark.read.parquet(p), ["timestamp", "device_id", "offset"])
+    monkeypatch.setattr(W, "TASK_BYTES", 4096)
+    plan = W._layout(a, None)._jdf.queryExecution().optimizedPlan().toString()
+    ranges = int(re.search(r"RepartitionByExpression \[.*?\], (\d+)", plan).group(1))
+    assert ranges <= 100
+    out = spark.read.parquet(W.write_annotated_trace(a, str(tmp_path / "out")))
+    assert sorted(map(tuple, out.select(*a.columns).collect())) == sorted(map(tuple, a.collect()))
