@@ -24,9 +24,9 @@ range of the block's next access), at most half of ranges x ranges rows.
 What ranges must know of each other is a carry: one row for each (op, block,
 range), with the block's last request in an earlier range, its first in a later
 one, and its accesses so far. It comes from an aggregate and a window by block
-over ranges, so a hot block has one row a range. Ranges hold at most
-``RANGE_REQUESTS`` requests, or four times the square root of their number if
-that is more, which keeps ranges x ranges below the trace.
+over ranges, so a hot block has one row a range. Ranges hold as many requests as
+have ``RANGE_ROWS`` accesses in the mean, which is what a Python worker holds, or
+the square root of all accesses if that is more: ranges x ranges stay below the accesses.
 
 An access is shuffled once to its range; a carry row to its block and to its range;
 and only accesses whose previous one is in another range are shuffled again,
@@ -44,11 +44,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from iolens.functions.blocks import explode_blocks
+from iolens.functions.blocks import block_range, explode_blocks
 from iolens.operators.reuse import TRACE_COLS
 from iolens.plans.order import BKT, join_null_safe, materialized, number_in_cells, rows_per_bucket
 
-RANGE_REQUESTS = 250_000
+#: accesses of a range; a worker takes about 700 bytes for each
+RANGE_ROWS = 250_000
 
 
 def count_below(rank: np.ndarray, upto: np.ndarray, below: np.ndarray) -> np.ndarray:
@@ -169,6 +170,13 @@ def _between(carry: DataFrame, by: list[str]) -> DataFrame:
             .filter("asked").drop("asked"))
 
 
+def range_requests(n: int, trace: DataFrame, mode: str) -> int:
+    """Requests of a range of a trace of ``n``, by the mean number of blocks of a request."""
+    start, last = block_range(mode)
+    rows = trace.agg(F.sum(F.greatest(last - start + 1, F.lit(0).cast("long")))).first()[0] or 0
+    return max(1, max(RANGE_ROWS, math.isqrt(rows)) * n // max(1, rows))
+
+
 def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only: bool = False, keys=()) -> DataFrame:
     """(opcode, device_id, block, seq, distance) for every re-access
     (``first_only``: only each block's first re-access). ``keys``: distances inside
@@ -177,7 +185,7 @@ def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only:
     cells = list(dict.fromkeys([*keys, "opcode"]))
     by = list(dict.fromkeys([*cells, "device_id", "block"]))
     trace = df.select(*dict.fromkeys([*keys, *TRACE_COLS, *order]))
-    o = number_in_cells(trace, order, keys, rpb=lambda n: min(rows_per_bucket(df), max(RANGE_REQUESTS, 4 * math.isqrt(max(n, 0)))))
+    o = number_in_cells(trace, order, keys, rpb=lambda n, placed: min(rows_per_bucket(df), range_requests(n, placed, mode)))
     ex = explode_blocks(o.df, mode).select(*by, "seq", BKT)
     rows = ex.select("*", *[F.lit(None).cast("long").alias(c) for c in _CARRY])
     if o.nb > 1:

@@ -234,3 +234,18 @@ def test_lag_in_time_across_stretches_without_rows(spark, small_buckets):
     rows = [(d, "R", 0, 512, t, i) for i, (d, t) in enumerate([(0, 0), (0, 5), (0, 10_000), (1, 4), (1, None), (1, None), (None, 7), (None, 9_000), (0, 10_000), (2, 3)])]
     got = {r.tie: r.inter_arrival for r in reuse.inter_arrival(spark.createDataFrame(rows, COLS), ORDER).collect()}
     assert got == {0: 0, 1: 5, 2: 9_995, 8: 0, 4: 0, 5: 0, 3: 0, 6: 0, 7: 8_993, 9: 0}
+
+
+@pytest.mark.parametrize("keys", [(), ("device_id",)])
+def test_ranges_of_unique_distance_are_cut_by_accesses(spark, monkeypatch, keys):
+    """Few requests of many blocks: a worker must not take them all at once."""
+    from iolens.operators import unique_distance as U
+    monkeypatch.setattr(U, "RANGE_ROWS", 100, raising=False)
+    cuts, number = [], U.number_in_cells
+    monkeypatch.setattr(U, "number_in_cells", lambda *a, **k: cuts.append(number(*a, **k)) or cuts[-1])
+    rows = [(i % 2, "RW"[i % 3 == 0], (i * 7 % 30) * B, 12 * B, i, i) for i in range(120)]  # 1,440 accesses
+    got = sorted(tuple(r[c] for c in ("opcode", "device_id", "block", "seq", "distance"))
+                 for r in U.unique_reuse_distance(spark.createDataFrame(rows, COLS), ORDER, keys=keys).collect())
+    assert cuts[0].nb >= 10
+    parts = [[r for r in rows if r[0] == d] for d in (0, 1)] if keys else [rows]
+    assert got == sorted(x for part in parts for x in unique_loop(part))
