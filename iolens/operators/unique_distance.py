@@ -27,6 +27,7 @@ one, and its accesses so far. It comes from an aggregate and a window by block
 over ranges, so a hot block has one row a range. Ranges hold as many requests as
 have ``RANGE_ROWS`` accesses in the mean, which is what a Python worker holds, or
 the square root of all accesses if that is more: ranges x ranges stay below the accesses.
+Where requests are longer than in the mean, a range of twice as many accesses or more is cut again.
 
 An access is shuffled once to its range; a carry row to its block and to its range;
 and only accesses whose previous one is in another range are shuffled again,
@@ -37,16 +38,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from iolens.functions.blocks import block_range, explode_blocks
 from iolens.operators.reuse import TRACE_COLS
-from iolens.plans.order import BKT, join_null_safe, materialized, number_in_cells, rows_per_bucket
+from iolens.plans.order import BKT, Ordered, join_null_safe, looked_up, materialized, number_in_cells, rows_per_bucket
 
 #: accesses of a range; a worker takes about 700 bytes for each
 RANGE_ROWS = 250_000
@@ -170,11 +172,35 @@ def _between(carry: DataFrame, by: list[str]) -> DataFrame:
             .filter("asked").drop("asked"))
 
 
+def _accesses(mode: str) -> Column:
+    start, last = block_range(mode)
+    return F.greatest(last - start + 1, F.lit(0).cast("long"))
+
+
+def range_accesses(rows: int) -> int:
+    """Accesses of a range of a trace with ``rows`` of them."""
+    return max(RANGE_ROWS, math.isqrt(rows))
+
+
 def range_requests(n: int, trace: DataFrame, mode: str) -> int:
     """Requests of a range of a trace of ``n``, by the mean number of blocks of a request."""
-    start, last = block_range(mode)
-    rows = trace.agg(F.sum(F.greatest(last - start + 1, F.lit(0).cast("long")))).first()[0] or 0
-    return max(1, max(RANGE_ROWS, math.isqrt(rows)) * n // max(1, rows))
+    rows = trace.agg(F.sum(_accesses(mode))).first()[0] or 0
+    return max(1, range_accesses(rows) * n // max(1, rows))
+
+
+def cut_bursts(o: Ordered, keys, mode: str) -> Ordered:
+    """Ranges of requests with each that has twice the accesses it should, or more, cut
+    at every so many of them: a range has less than twice as many and one request more."""
+    held = {r[0]: r[1] or 0 for r in o.df.groupBy(BKT).agg(F.sum(_accesses(mode))).collect()}  # a number for each range
+    most = range_accesses(sum(held.values()))
+    parts = [max(1, held.get(b, 0) // most) for b in range(o.nb)]
+    if max(parts) == 1:
+        return o
+    w = Window.partitionBy(BKT).orderBy(*keys, "seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum(_accesses(mode)).over(w), F.lit(0))
+    part = F.least(F.floor(before / F.lit(most)), looked_up(parts, F.col(BKT)) - 1)
+    cut = o.df.withColumn("__part", part).withColumn(BKT, looked_up([*accumulate(parts, initial=0)], F.col(BKT)) + F.col("__part"))
+    return Ordered(materialized(cut.drop("__part")), sum(parts), o.order, o.n)
 
 
 def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only: bool = False, keys=()) -> DataFrame:
@@ -186,6 +212,8 @@ def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only:
     by = list(dict.fromkeys([*cells, "device_id", "block"]))
     trace = df.select(*dict.fromkeys([*keys, *TRACE_COLS, *order]))
     o = number_in_cells(trace, order, keys, rpb=lambda n, placed: min(rows_per_bucket(df), range_requests(n, placed, mode)))
+    if o.nb > 1:
+        o = cut_bursts(o, keys, mode)
     ex = explode_blocks(o.df, mode).select(*by, "seq", BKT)
     rows = ex.select("*", *[F.lit(None).cast("long").alias(c) for c in _CARRY])
     if o.nb > 1:

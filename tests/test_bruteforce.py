@@ -249,3 +249,26 @@ def test_ranges_of_unique_distance_are_cut_by_accesses(spark, monkeypatch, keys)
     assert cuts[0].nb >= 10
     parts = [[r for r in rows if r[0] == d] for d in (0, 1)] if keys else [rows]
     assert got == sorted(x for part in parts for x in unique_loop(part))
+
+
+@pytest.mark.parametrize("name", ["unique_reuse_distance_bucketed", "unique_reuse_distance_per_device"])
+def test_a_burst_of_long_requests_is_cut_by_accesses(spark, monkeypatch, tmp_path, name):
+    """40 of 300 requests have 80 blocks and the others one: ranges of the mean number of requests would hold 1,300 accesses."""
+    import datetime
+    from iolens.operators import unique_distance as U
+    from iolens.plans.order import BKT
+    from iolens.queries import queries
+    from iolens.sources import views as V
+    monkeypatch.setattr(U, "RANGE_ROWS", 200)
+    seen, carry = [], U._carry
+    monkeypatch.setattr(U, "_carry", lambda ex, by: seen.append(ex) or carry(ex, by))
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, start + datetime.timedelta(seconds=i), i % 2, "click" if i % 3 else "signup", 639.0 if 200 <= i < 240 else 1.0, f'{{"k": {i * 7 % 50}}}')
+            for i in range(300)]
+    cols = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r[c] for c in ("opcode", "device_id", "block", "seq", "distance")) for r in queries()[name](spark, str(tmp_path)).collect())
+    assert max(r["count"] for r in seen[0].groupBy(BKT).count().collect()) < 2 * 200 + 81
+    trace = [tuple(r) for r in V.trace(spark, str(tmp_path)).collect()]
+    parts = [[r for r in trace if r[0] == d] for d in (0, 1)] if "device" in name else [trace]
+    assert got == sorted(x for part in parts for x in unique_loop(part))
