@@ -212,8 +212,7 @@ def unique_reuse_distance(df: DataFrame, order, mode: str = "cover", first_only:
     by = list(dict.fromkeys([*cells, "device_id", "block"]))
     trace = df.select(*dict.fromkeys([*keys, *TRACE_COLS, *order]))
     o = number_in_cells(trace, order, keys, rpb=lambda n, placed: min(rows_per_bucket(df), range_requests(n, placed, mode)))
-    if o.nb > 1:
-        o = cut_bursts(o, keys, mode)
+    o = cut_bursts(o, keys, mode)  # also a single range: requests that agree in the whole order key are never dealt to several
     ex = explode_blocks(o.df, mode).select(*by, "seq", BKT)
     rows = ex.select("*", *[F.lit(None).cast("long").alias(c) for c in _CARRY])
     if o.nb > 1:

@@ -272,3 +272,17 @@ def test_a_burst_of_long_requests_is_cut_by_accesses(spark, monkeypatch, tmp_pat
     trace = [tuple(r) for r in V.trace(spark, str(tmp_path)).collect()]
     parts = [[r for r in trace if r[0] == d] for d in (0, 1)] if "device" in name else [trace]
     assert got == sorted(x for part in parts for x in unique_loop(part))
+
+
+@pytest.mark.parametrize("keys", [(), ("device_id",)])
+def test_requests_that_agree_in_the_whole_order_key_are_cut_by_accesses(spark, monkeypatch, keys):
+    """No range of the order can part them, so the ordering gives them as one range."""
+    from iolens.operators import unique_distance as U
+    from iolens.plans.order import BKT
+    monkeypatch.setattr(U, "RANGE_ROWS", 100)
+    seen, run = [], U.explode_blocks
+    monkeypatch.setattr(U, "explode_blocks", lambda *a, **k: seen.append(run(*a, **k)) or seen[-1])
+    df = spark.createDataFrame([(0, "R", 0, 3 * B, None, None)] * 300, COLS)  # 900 accesses
+    got = sorted((r.block, r.seq, r.distance) for r in U.unique_reuse_distance(df, ORDER, keys=keys).collect())
+    assert max(r["count"] for r in seen[0].groupBy(BKT).count().collect()) < 2 * 100 + 4
+    assert got == [(b, s, 0) for b in range(3) for s in range(1, 300)]
