@@ -140,3 +140,65 @@ def test_bands_are_exact_quartiles(spark):
     assert got.keys() == want.keys()
     assert all(np.allclose(got[k], want[k], rtol=1e-12) for k in want)
     assert Q.bands(rows.filter("m.failed")) == {}
+
+
+def plain_bigrams(texts):
+    """The words' model by dictionaries: bits of every word of a text, its own count taken out."""
+    spelled = Counter(w for t in texts for w in t.split())
+    p, sym = plain_model(Counter({w.encode().decode("latin-1"): n for w, n in spelled.items()}), Q.BYTES)
+    after = lambda t: list(zip(["", "", *t.split()], ["", *t.split()], t.split()))
+    c = Counter((u, w) for _, u, w in {g for t in texts for g in after(t)})
+    before = Counter(w for _, w in c)
+    d, e = (Q.discounts(np.array(list(x.values()))) for x in (c, before))
+
+    def bits(u, w):
+        s = [Q.END] * (Q.ORDER - 1) + [sym(x) for x in w.encode().decode("latin-1")] + [Q.END]
+        p0 = 2.0 ** max(-Q.WORD_BITS, sum(math.log2(p(tuple(s[k:k + Q.ORDER]))) for k in range(len(s) - Q.ORDER + 1)))
+        one = {x: n - (x == w and c[u, w] == 1) for x, n in before.items()}
+        two = {x: n - (x == w) for (v, x), n in c.items() if v == u}
+
+        def mixed(n, disc, below):
+            total = sum(n.values())
+            return (max(n[w] - disc[min(n[w], 3)], 0) + sum(disc[min(x, 3)] for x in n.values()) * below) / total if total else below
+
+        return min(Q.WORD_BITS, -math.log2(mixed(two, d, mixed(one, e, p0))))
+
+    return lambda t: [bits(u, w) for _, u, w in after(t)]
+
+
+def test_words_against_a_plain_model(spark):
+    """Every bigram of every text, in one text's order, across lines, twice in a text and over repeated rows."""
+    rng = random.Random(9)
+    vocab = ["the", "of", "é", "日本", "a", "b1", "zz", "of,"]
+    texts = [" ".join(rng.choices(vocab, range(8, 0, -1), k=rng.randint(1, 25))) for _ in range(25)] + ["once only\nmore", "the", "the of\tthe of the of"]
+    docs = spark.createDataFrame([(t, x) for x in ("en", None) for t in texts] + [(texts[0], "en")] * 3 + [(None, "en"), ("", None)], "text string, lang string")
+    got = docs.select(Q.text_key(docs.text, docs.lang).alias("t"), "text", "lang").distinct().join(Q.perplexities(docs), "t", "left").collect()
+    for x, part in (("en", texts + texts[:1] * 3), (None, texts)):
+        plain = plain_bigrams(part)
+        for r in got:
+            if r.lang == x and r.text:
+                want = plain(r.text)
+                assert abs(r.log2ppl - sum(want) / len(want)) < 1e-3, r
+    assert [r.log2ppl for r in got if not r.text] == [None, None]
+
+
+def test_order_of_words_counts(spark):
+    """The same words in another order are another text; copies of it don't make it likely."""
+    rng = random.Random(3)
+    vocab = ["".join(rng.choice("etaoinshr") for _ in range(rng.randint(2, 8))) for _ in range(300)]
+    follow = {w: rng.sample(vocab, 4) for w in vocab}
+    texts = []
+    for _ in range(200):
+        words = [rng.choice(vocab)]
+        while len(words) < 120:
+            words.append(rng.choice(follow[words[-1]]))
+        texts.append(" ".join(words))
+    salad = texts[0].split()
+    rng.shuffle(salad)
+    rows = [(k, t, "xx") for k, t in enumerate(texts)] + [(1000 + k, " ".join(salad), "xx") for k in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = {r.doc_id: r for r in Q._scored(docs, [docs.doc_id, docs.lang], "m").collect()}
+    ppl = {k: r.m.log2ppl for k, r in found.items()}
+    assert abs(found[0].m.spelling - found[1000].m.spelling) < 1e-9  # by spelling they are one
+    assert ppl[1000] > max(ppl[k] for k in range(200)) + 2
+    assert {r.doc_id for r in Q.filter_quality(docs).collect()} == set(range(200))
